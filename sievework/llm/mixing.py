@@ -10,6 +10,7 @@ where perm is a seeded permutation, so a source of more seats than blocks repeat
 from __future__ import annotations
 
 import heapq
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,15 +132,19 @@ def placed(docs: DataFrame, source: Column, size: Column, keys: list[str], bins:
     return rows, bin_
 
 
-def n_words(text: Column | str) -> Column:
-    """The number of words of a text column."""
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size (words) and crc (of the text) of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
 
-    @F.arrow_udf(LongType())
-    def count(text: pa.Array) -> pa.Array:
-        out = [words_of(texts_of(part.column(0))).counts() for part in slices(pa.record_batch([text], ["text"]))]
-        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())
+    def count(batches):
+        for whole in batches:
+            for b in slices(whole):
+                t = texts_of(b.column(2))
+                crc = [zlib.crc32(t.buf[i:j]) for i, j in zip(t.offsets[:-1], t.offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words_of(t).counts(), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "source", "size", "crc"])
 
-    return count(text)
+    schema = StructType([*rows.schema.fields[:2], StructField("size", LongType()), StructField("crc", LongType())])
+    return rows.mapInArrow(count, schema)
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -152,8 +157,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     from .tables import written
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.coalesce(F.col(text_col), F.lit(""))).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"))
-    rows = written(rows, "mix-sizes")
+    rows = written(measured(docs, id_col, text_col, source_col), "mix-sizes")
     return _mix(spark, rows, weights, share, most, shards, seed)[0]
 
 
@@ -199,7 +203,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **rules) -> DataFrame:
 
     spark, names = docs.sparkSession, docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
-    sizes = written(docs.select("doc_id", "source", n_words(text).alias("size"), F.crc32(text.cast("binary")).alias("crc")), "mix-sizes")
+    sizes = written(measured(docs, "doc_id", "text", "source"), "mix-sizes")
     block, plans = plan(_sizes(sizes), seed=seed, **rules)
     known = spark.createDataFrame([(i, p.source) for i, p in enumerate(plans)], "_k int, _name string")
     keyed = lambda d: d.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
