@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, tokenfiles
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_mixing": mixing.op3_mixing,
+    "op9_token_files": tokenfiles.op9_token_files,
 }
 
 ORACLES: dict[str, str] = {}
