@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, tokenfiles
+from . import decontaminate, mixing, quality, sharding, tokenfiles
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op9_token_files": tokenfiles.op9_token_files,
 }
 
