@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .arrowtext import slices
+from .arrowtext import Texts, Words, hashes, slices, sums, texts_of
 
 MAGIC = b"SWTK"
 _HEAD = struct.Struct("<4sHHIIIQQQIIII")
@@ -90,16 +90,30 @@ def documents_of(counts: np.ndarray, blocks: Iterator[np.ndarray]) -> Iterator[n
         rest = rest[n:]
 
 
+def _blank_before(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before byte `at` is white space: ASCII with its separators, or Unicode's."""
+    back = lambda k: np.where(at >= k, buf[np.maximum(at - k, 0)], 0)
+    a, b, c = back(1), back(2), back(3)
+    two = (b == 0xC2) & ((a == 0x85) | (a == 0xA0))
+    e2 = (c == 0xE2) & (((b == 0x80) & (((a >= 0x80) & (a <= 0x8A)) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))) | ((b == 0x81) & (a == 0x9F)))
+    three = e2 | ((c == 0xE1) & (b == 0x9A) & (a == 0x80)) | ((c == 0xE3) & (b == 0x80) & (a == 0x80))
+    return ((a >= 9) & (a <= 13)) | ((a >= 28) & (a <= 32)) | two | three
+
+
+def _pool(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start[i] .. start[i] + size[i] - 1, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Encoder:
     """The tokenizer, called once for each distinct piece of some texts, with a bounded table of known pieces.
 
     Cut before a blank that follows a non-blank, a text's pieces tokenize alone as they do within it,
     as no pre-token spans such a cut. So new pieces go to the tokenizer as one text; the bytes that each
-    id stands for tell where a piece ends. A text with a piece that is empty or ends with a blank goes to
-    the tokenizer whole.
+    id stands for tell where a piece ends. Pieces are known by a 64-bit hash of their bytes.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 3_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -109,55 +123,70 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.length[i] = len(token.encode()) if token in special else len(token)
         self.exact = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
-        self.known: dict[str, bytes | None] = {}
         self.most = most
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, new: list[str], lead: str) -> list[bytes]:
-        """The ids of lead + piece for each; pieces neither start a cut nor end with a blank."""
-        if not new:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(new)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.cumsum([len(u.encode()) + len(lead) for u in new])
-        upto = np.cumsum(self.length[ids])
-        at = np.searchsorted(upto, ends)
-        if not len(ids) or not np.array_equal(upto[np.minimum(at, len(ids) - 1)], ends):
-            return self.ids([lead + u for u in new])
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        stop = ((at + 1) * size).tolist()
-        return [raw[i:j] for i, j in zip([0, *stop[:-1]], stop, strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as bytes of self.dtype."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.dtype)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, t: Texts, w: Words, h: np.ndarray) -> None:
+        """Adds the distinct pieces w of t, of hashes h, to the table."""
+        size = w.end - w.start
+        safe = (t.buf[w.start] == 0x20) & ~_blank_before(t.buf, w.end)
+        one = np.flatnonzero(safe)
+        own: list[np.ndarray] = []
+        count = np.zeros(len(h), np.int64)
+        if len(one):
+            ids = np.array(self.tokenizer.encode_batch_fast([t.buf[_pool(w.start[one], size[one])].tobytes().decode()], add_special_tokens=False)[0].ids, self.dtype)
+            upto, ends = np.cumsum(self.length[ids]), np.cumsum(size[one])
+            at = np.searchsorted(upto, ends)
+            if len(ids) and np.array_equal(upto[np.minimum(at, len(ids) - 1)], ends):
+                count[one] = np.diff(np.concatenate([[-1], at]))
+                own.append(ids)
+            else:
+                safe[:] = False
+        rest = np.flatnonzero(~safe)
+        late = self.plain([t.buf[i:j].tobytes().decode() for i, j in zip(w.start[rest], w.end[rest], strict=True)])
+        count[rest] = [len(x) for x in late]
+        order = np.concatenate([np.flatnonzero(safe), rest])
+        start = np.cumsum(count[order]) - count[order] + len(self.ids)
+        self.ids = np.concatenate([self.ids, *own, *late])
+        everything = np.concatenate([self.hash, h[order]])
+        by = np.argsort(everything, kind="stable")
+        self.hash, self.start, self.size = everything[by], np.concatenate([self.start, start])[by], np.concatenate([self.size, count[order].astype(np.int32)])[by]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and the number of each."""
         if not self.exact:
-            return self.ids(texts)
-        split = [t.split(" ") for t in texts]
-        heads = [units[0] for units in split]
-        new = set().union(*[units[1:] for units in split]) - self.known.keys()
-        plain = [u for u in new if u and not u[-1].isspace()]
-        own = dict.fromkeys(new)
-        own |= zip(plain, self.pieces(plain, " "), strict=True)
-        if len(self.known) + len(own) <= self.most:
-            self.known |= own
-            find = self.known.__getitem__
-        else:
-            known = self.known
-            find = lambda u: own[u] if u in own else known[u]
-        first = self.ids(heads)
-        out: list[bytes | None] = []
-        for head, code, units in zip(heads, first, split, strict=True):
-            try:
-                if len(units) > 1 and (not head or head[-1].isspace()):
-                    raise TypeError
-                out.append(code + b"".join(map(find, units[1:])))
-            except TypeError:
-                out.append(None)
-        late = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(late, self.ids([texts[i] for i in late]), strict=True):
-            out[i] = x
-        return out
+            out = self.plain([x or "" for x in column.to_pylist()])
+            return np.concatenate([np.zeros(0, self.dtype), *out]), np.array([len(x) for x in out], np.int64)
+        t = texts_of(column)
+        blank = np.flatnonzero(t.buf == 0x20)
+        cut = np.zeros(len(t.buf) + 1, dtype=bool)
+        cut[blank[~_blank_before(t.buf, blank)]] = True
+        cut[t.offsets] = True
+        edge = np.flatnonzero(cut)
+        w = Words(edge[:-1], edge[1:], np.searchsorted(edge, t.offsets))
+        if not len(w.start):
+            return np.zeros(0, self.dtype), np.zeros(len(t), np.int64)
+        each, first, which = np.unique(hashes(t, w), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hash, each)
+        new = (at == len(self.hash)) | (self.hash[np.minimum(at, max(len(self.hash) - 1, 0))] != each if len(self.hash) else True)
+        if new.any():
+            if len(self.hash) + new.sum() > self.most:
+                self.forget()
+                new = np.ones(len(each), dtype=bool)
+            i = first[new]
+            self.learn(t, Words(w.start[i], w.end[i], w.first), each[new])
+            at = np.searchsorted(self.hash, each)
+        start, size = self.start[at][which], self.size[at][which].astype(np.int64)
+        return self.ids[_pool(start, size)], sums(size, w.first)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -195,26 +224,25 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
         from pyspark import TaskContext
 
         tool, part, file, before = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], tool.dtype).tobytes()
-        ids, texts, size = [], [], 0
+        ids: list[int | None] = []
+        counts: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
 
         def flush():
-            nonlocal ids, texts, size, file, before
-            counts = np.array([len(x) for x in texts], np.int64) // tool.dtype.itemsize
-            data = pack(ids, counts, np.frombuffer(b"".join(texts), tool.dtype), part, file, before)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["part", "file", "n_docs", "n_tokens", "data"])
-            ids, texts, before, size, file = [], [], before + size, 0, file + 1
+            nonlocal ids, counts, tokens, file, before
+            data = pack(ids, np.concatenate(counts), own := np.concatenate(tokens), part, file, before)
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([data], pa.binary())], names=["part", "file", "n_docs", "n_tokens", "data"])
+            ids, counts, tokens, before, file = [], [], [], before + len(own), file + 1
             return out
 
         for whole in batches:
-            for b in slices(whole):
-                coded = tool.encode(b.column(1).to_pylist())
-                for i, x in zip(b.column(0).to_pylist(), coded, strict=True):
-                    ids.append(i)
-                    texts.append(x + end)
-                    size += len(x) // tool.dtype.itemsize + 1
-                    if size >= file_tokens:
-                        yield flush()
+            for b in slices(whole, most=8 << 20):
+                own, n = tool.encode(b.column(1))
+                ids += b.column(0).to_pylist()
+                counts.append(n + 1)
+                tokens.append(np.insert(own, np.cumsum(n), end_id))
+                if sum(map(len, tokens)) >= file_tokens:
+                    yield flush()
         if ids:
             yield flush()
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -42,8 +43,9 @@ def test_checksums():
 def test_pieces_equal_whole_texts(tokenizer):
     odd = ["", " ", "  a", "a ", "a  b", "x \n y", "\n a b", "it's we'll 'd  've", "tab\t x", "a  b", "a  b", "<|endoftext|> a <|endoftext|>b", "é漢 字 🙂 x", "\x1c a\x1d b", "a" * 500 + " b", "1 22 333. !! ?x"]
     tool = tokenfiles.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=20)
-    for _ in range(2):
-        assert [np.frombuffer(x, tool.dtype).tolist() for x in tool.encode(odd)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    for part in (odd, odd[::-1], odd[3:5], [""], [], [None, *odd]):
+        ids, n = tool.encode(pa.array(part, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(part)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
 
 
 def brute(rows, tokenizer):
