@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding, tokenfiles
+from . import decontaminate, mixing, pii, quality, sharding, tokenfiles, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_pii": pii.op8_pii,
     "op9_token_files": tokenfiles.op9_token_files,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

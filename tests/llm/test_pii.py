@@ -1,0 +1,66 @@
+import hashlib
+import re
+import time
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sievework.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in CARD.finditer(text):
+        d = [int(c) for c in m.group() if c in "0123456789"]
+        if 12 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= sum(c in "0123456789" for c in m.group()) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a.@b-_%+ 0123459()é", max_size=60))
+def test_base_patterns(text):
+    assert [(s.start, s.rank, s.end) for s in pii.find(text) if s.rank < 4] == brute(text)
+
+
+def test_query_against_brute_force(spark, sf, local):
+    got = {r.doc_id: r for r in pii.op8_pii(spark, sf).collect()}
+    assert len(got) == len(local)
+    for i, text in local:
+        want = brute(text)
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(x[1] == n for x in want) for n in range(4)]
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(joined.split(",")) - {""} <= set(got[i].spans.split(","))
+
+
+def test_checksums_and_context():
+    kinds = lambda t: [s.kind for s in pii.find(t)]
+    assert kinds("pay to IBAN DE89 3704 0044 0532 0130 00 today") == ["iban"]
+    assert kinds("pay to IBAN DE88 3704 0044 0532 0130 00 today") == []
+    assert kinds("her SSN is 123-45-6789.") == ["ssn"] and kinds("code 123-45-6789.") == []
+    assert kinds("call (555) 123-4567 now") == ["local_phone"] and kinds("about 555 123 4567 of") == []
+    assert kinds("card 4111 1111 1111 1111") == ["card"] and kinds("card 4111 1111 1111 1112") == []
+    assert pii.redacted("é a.b@c.de, 10.0.0.1!") == "é [email], [ip]!"
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000 + ".", "1." * 150_000, "+1 (" * 80_000, "a@" * 150_000, "1 " * 150_000, "A1" * 150_000):
+        t = time.time()
+        pii.find(text)
+        assert time.time() - t < 5, text[:4]
+
+
+def test_odd_rows(odd, none):
+    got = pii.spans_of(odd).collect()
+    assert len(got) == odd.count() and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got if r.doc_id in (0, 1, 2))
+    assert pii.spans_of(none).count() == 0 and pii.redacted_documents(none).count() == 0
+    assert pii.redacted_documents(odd).schema == odd.schema and pii.redacted_documents(odd).where("text is null").count() == 1
