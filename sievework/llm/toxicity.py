@@ -257,7 +257,7 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (2_000, 4_000), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (1_200, 2_400), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """The grammar's weights from labelled rows that aren't held out.
 
     most: so many toxic and other labelled rows at most are learned from, those of the lowest hash of
