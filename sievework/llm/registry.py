@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, pii, quality, sharding, tokenfiles, toxicity
+from . import decontaminate, jaccard, mixing, pii, quality, sharding, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_pii": pii.op8_pii,
