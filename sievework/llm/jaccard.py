@@ -79,7 +79,7 @@ class PartEnum:
     """
 
     percent: int = 85
-    n2: int = 2
+    n2: int = 3
     k2: int = 1
     rounds: int = 12
 
@@ -273,7 +273,8 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "do
     near = coarse.join(classes, F.col("node") == F.col("rep")).select("label", "rep", "hi", "lo", "n")
     total = near.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / block), F.lit(1)).alias("blocks"), F.count(F.lit(1)).alias("many")).where("many > 1").withColumnRenamed("label", "_label")
     near = written(near.join(total, F.col("label") == F.col("_label")).select("label", "rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "blocks"), "near")
-    features = _sets_of(rows.join(near, F.col("doc_id") == F.col("rep")), words)
+    # near grows with the corpus: it is never broadcast
+    features = _sets_of(rows.join(near.hint("merge"), F.col("doc_id") == F.col("rep")), words)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = features.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     pairs = pairs.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "features")

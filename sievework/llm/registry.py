@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, pii, quality, sharding, substrings, tokenfiles, toxicity
+from . import decontaminate, fuzzy_lines, jaccard, mixing, pii, quality, sharding, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_fuzzy_lines": fuzzy_lines.op6_fuzzy_lines,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_pii": pii.op8_pii,
     "op9_token_files": tokenfiles.op9_token_files,
