@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Hashable, Iterable, Sequence
 
+import numpy as np
+
 
 class SuffixAutomaton:
     """All substrings of some sequences. State 0 is the empty string.
 
     length[v] is the longest string of v, length[link[v]] + 1 the shortest; all of them end at the same
-    places. at[v] holds what add() was given for the places that made v, until close().
+    places. next[v] has the states that a further word leads to.
     """
 
     def __init__(self) -> None:
@@ -50,16 +52,33 @@ class SuffixAutomaton:
         return clone
 
     def insert(self, words: Iterable[Hashable]) -> list[int]:
-        """Adds a sequence; the state after each word."""
+        """Adds a sequence; the state after each word. As add() word by word, with its common case in line."""
+        next_, link, length = self.next, self.link, self.length
         last, out = 0, []
-        for w in words:
-            last = self.add(w, last)
+        for word in words:
+            if word in next_[last]:
+                last = self.add(word, last)
+            else:
+                cur = len(link)
+                next_.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                p = last
+                while p != -1:
+                    to = next_[p]
+                    if word in to:
+                        q = to[word]
+                        link[cur] = q if length[q] == length[p] + 1 else self._split(p, word, q)
+                        break
+                    to[word] = cur
+                    p = link[p]
+                last = cur
             out.append(last)
         return out
 
     def by_length(self) -> list[int]:
         """States from the longest to the shortest, without state 0: a state before its link."""
-        return sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True)
+        return (np.argsort(-np.array(self.length[1:], np.int64), kind="stable") + 1).tolist()
 
     def smallest(self, ends: Iterable[tuple[int, int]]) -> list[int | None]:
         """For each state the smallest owner of a sequence that holds its strings; ends: (state, owner) of every prefix."""

@@ -108,9 +108,11 @@ def _anchored(rows: DataFrame, window: int) -> DataFrame:
                     ids = ids[keep]
                 w = words_of(t)
                 _, at, g = anchors(w, hashes(t, w), window)
-                at = np.unique(at)
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
                 doc = np.searchsorted(w.first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array(g[at].view(np.int64))], names=["doc_id", "h"])
+                # an anchor counts once in a document
+                own = np.unique(mix(g[at] + doc.astype(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[own]], pa.int64()), pa.array(g[at[own]].view(np.int64))], names=["doc_id", "h"])
 
     return rows.mapInArrow(scan, "doc_id long, h long")
 
@@ -133,10 +135,7 @@ def _repeated(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _segments(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """(key, words, doc_id, crc, first, hot): for each repeated anchor the words under its windows, or for a hot one each window's.
-
-    Hot windows are keyed by their first and last words too, which deals out those that reach over a shared passage's border.
-    """
+    """(key, words, doc_id, crc, first, hot): for each repeated anchor the words under its windows; key is the anchor."""
     of = hits.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("warm")).withColumnRenamed("doc_id", "_id")
     text = rows.join(of, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "crc", "cold", "warm")
 
@@ -171,16 +170,12 @@ def _segments(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
                     own = np.flatnonzero(marked)
                     if not len(own):
                         continue
-                    if hot:
-                        a, z = start[own], start[own] + window - 1
-                        key = mix(name[own].view(_U) + mix(h[a] + mix(h[z]))).view(np.int64)
-                    else:
-                        # neighbouring windows of one anchor are one segment
-                        new = np.ones(len(own), dtype=bool)
-                        new[1:] = (at[own][1:] != at[own][:-1]) | (own[1:] != own[:-1] + 1)
-                        lead = np.flatnonzero(new)
-                        a, z = start[own[lead]], start[own[np.append(lead[1:], len(own)) - 1]] + window - 1
-                        key = name[own[lead]]
+                    # neighbouring windows of one anchor are one segment
+                    new = np.ones(len(own), dtype=bool)
+                    new[1:] = (at[own][1:] != at[own][:-1]) | (own[1:] != own[:-1] + 1)
+                    lead = np.flatnonzero(new)
+                    a, z = start[own[lead]], start[own[np.append(lead[1:], len(own)) - 1]] + window - 1
+                    key = name[own[lead]]
                     owner = np.searchsorted(w.first, a, side="right") - 1
                     keys.append(key)
                     words += [clean[i:j].tobytes() for i, j in zip(begin[a].tolist(), end[z].tolist(), strict=True)]
@@ -204,9 +199,18 @@ def shard_matches(segments: dict[bytes, int], window: int) -> dict[bytes, list[i
     for words, doc in segments.items():
         walk = sam.insert(words.split(b" "))
         walks[words] = walk
-        ends += [(v, doc) for v in walk]
-    low, cut = sam.smallest(ends), sam.cut(window)
-    return {words: [low[cut[v]] for v in walk[window - 1 :]] for words, walk in walks.items()}
+        ends += [(v, doc) for v in walk[window - 1 :]]
+    low, link, length = sam.smallest(ends), sam.link, sam.length
+    out = {}
+    for words, walk in walks.items():
+        lows = []
+        for v in walk[window - 1 :]:
+            # the state of the last `window` words alone
+            while length[link[v]] >= window:
+                v = link[v]
+            lows.append(low[v])
+        out[words] = lows
+    return out
 
 
 def _shards(segments: DataFrame, window: int) -> DataFrame:
@@ -221,19 +225,7 @@ def _shards(segments: DataFrame, window: int) -> DataFrame:
             if least.get(words, doc + 1) > doc:
                 least[words] = doc
         low = shard_matches(least, window)
-        out: list[tuple[int, int, int, int]] = []
-        for words, doc, crc, first in group:
-            lows = low[words]
-            i, n = 0, len(lows)
-            while i < n:
-                if lows[i] < doc:
-                    j = i
-                    while j + 1 < n and lows[j + 1] < doc:
-                        j += 1
-                    out.append((doc, crc, first + i, j - i + window))
-                    i = j
-                i += 1
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], [], []))], names=["doc_id", "crc", "first", "n"])
+        return _spans_batch([x for words, doc, crc, first in group for x in _runs(doc, crc, first, low[words], window)])
 
     def stream(batches):
         group: list[tuple[bytes, int, int, int]] = []
@@ -250,11 +242,60 @@ def _shards(segments: DataFrame, window: int) -> DataFrame:
             yield close(group)
 
     found = cold.mapInArrow(stream, "doc_id long, crc long, first long, n long")
-    warm = segments.where("hot")
-    least = warm.groupBy("key", "words").agg(F.min("doc_id").alias("low")).select(F.col("key").alias("_key"), F.col("words").alias("_words"), "low")
-    # a hot window's holders were combined before their shuffle; joined back, its rows may be split
-    warm = warm.join(least, (F.col("key") == F.col("_key")) & (F.col("words") == F.col("_words"))).where("low < doc_id")
-    return found.unionByName(warm.select("doc_id", "crc", "first", F.lit(window).cast("long").alias("n")))
+    return found.unionByName(_hot_spans(segments.where("hot").select("key", "words", "doc_id", "crc", "first"), window))
+
+
+def _hot_spans(segments: DataFrame, window: int) -> DataFrame:
+    """As _shards, of anchors that very many documents share, whose segments may not meet in one task.
+
+    Equal segments are combined before their shuffle. Windows of those left are keyed by their first and
+    last words too, which deals out the ones that reach over a shared passage's border, and equal
+    windows are combined before their shuffle as well; joins back to rows may be split.
+    """
+    least = segments.groupBy("key", "words").agg(F.min("doc_id").alias("doc_id"))
+    least = written(least.withColumn("seg", F.monotonically_increasing_id()), "hot-segments")
+
+    def part(batches):
+        for b in batches:
+            seg, no, text, doc = [], [], [], []
+            for words, d, s in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("words", "doc_id", "seg")), strict=True):
+                own = words.split(b" ")
+                for i in range(len(own) - window + 1):
+                    seg.append(s)
+                    no.append(i)
+                    text.append(b" ".join(own[i : i + window]))
+                    doc.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int64()), pa.array(no, pa.int32()), pa.array(text, pa.binary()), pa.array(doc, pa.int64())], names=["seg", "no", "window", "doc_id"])
+
+    each = least.mapInArrow(part, "seg long, no int, window binary, doc_id long")
+    low = each.groupBy("window").agg(F.min("doc_id").alias("low")).withColumnRenamed("window", "_window")
+    lows = each.join(low, F.col("window") == F.col("_window")).groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("no", "low"))).alias("lows"))
+    lows = least.join(lows.withColumnRenamed("seg", "_seg"), F.col("seg") == F.col("_seg")).select(F.col("key").alias("_key"), F.col("words").alias("_words"), F.col("lows.low").alias("lows"))
+    rows = segments.join(lows, (F.col("key") == F.col("_key")) & (F.col("words") == F.col("_words"))).select("doc_id", "crc", "first", "lows")
+
+    def runs(batches):
+        for b in batches:
+            out = [x for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in _runs(*row, window)]
+            yield _spans_batch(out)
+
+    return rows.mapInArrow(runs, "doc_id long, crc long, first long, n long")
+
+
+def _runs(doc: int, crc: int, first: int, lows: list[int], window: int):
+    """Spans of a segment's windows that a smaller document holds."""
+    i, n = 0, len(lows)
+    while i < n:
+        if lows[i] < doc:
+            j = i
+            while j + 1 < n and lows[j + 1] < doc:
+                j += 1
+            yield doc, crc, first + i, j - i + window
+            i = j
+        i += 1
+
+
+def _spans_batch(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], [], []))], names=["doc_id", "crc", "first", "n"])
 
 
 def _cut(rows: DataFrame, spans: DataFrame) -> DataFrame:
