@@ -25,8 +25,10 @@ from .tables import small_batches, written
 
 _U = np.uint64
 GRAM = 4
+#: Bytes of text that a task looks at together.
+PART = 1 << 20
 #: Words of distinct segments in one automaton, about; a shard is closed at the next anchor.
-SHARD_WORDS = 60_000
+SHARD_WORDS = 20_000
 #: One document in SAMPLE is looked at for anchors that very many documents share: those with HOT or more there.
 SAMPLE, HOT, MOST_HOT = 32, 64, 50_000
 
@@ -74,7 +76,7 @@ def _base(rows: DataFrame) -> DataFrame:
 
     def scan(batches):
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=PART):
                 t = texts_of(b.column(1))
                 w = words_of(t)
                 h = hashes(t, w)
@@ -94,7 +96,7 @@ def _anchored(rows: DataFrame, window: int) -> DataFrame:
     def scan(batches):
         seen: dict[bytes, int] = {}
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=PART):
                 t = texts_of(b.column(1))
                 ids = b.column(0).to_numpy()
                 keep = []
@@ -141,7 +143,7 @@ def _segments(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
 
     def scan(batches):
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=PART):
                 t = texts_of(b.column(1))
                 w = words_of(t)
                 h = hashes(t, w)
@@ -341,7 +343,7 @@ def deduplicated(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text
 
     def scan(batches):
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=PART):
                 t = texts_of(b.column(1))
                 w = words_of(t)
                 gone = _removed_words(w, b, 3)
