@@ -74,7 +74,7 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(buf[o[0] : o[-1]], o - o[0])
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of up to `most` bytes of text each, or of one row, so that memory follows the part, not the batch."""
     column = batch.column(batch.schema.get_field_index(text))
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -85,6 +85,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20) -> It
         to = min(max(to, at + 1), n)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass

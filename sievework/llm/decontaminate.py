@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from .arrowtext import ALNUM_WORDS, LOWER, Texts, Words, covered, hashes, inside, slices, sums, texts_of, windows, words_of
 from .automaton import SuffixAutomaton
@@ -101,9 +101,9 @@ class Matcher:
         return out
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[list[str], list[list[tuple[int, list[int]]]]]:
+def _shards(benchmark: DataFrame) -> tuple[list[str], list[list[tuple[int, list[int]]]]]:
     """Item ids as strings, and items by shard: (position of the id, hashes of its words)."""
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
+    rows = benchmark.select(F.col("item_id").cast("string"), "text").where(F.col("text").isNotNull())
     ids: list[str] = []
     shards: list[list[tuple[int, list[int]]]] = [[]]
     size = 0
@@ -119,73 +119,72 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[list[st
     return ids, shards
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """docs with _n_words, _n_hit, _items (positions of item ids) and _spans (first word, words after each other)."""
+def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, schema: StructType, emit) -> DataFrame:
+    """One pass over docs: emit(batch, words, hit marks, items of each row, item ids) makes the batch that comes out."""
     from .tables import small_batches
 
     spark = docs.sparkSession
     small_batches(spark)
-    ids, shards = _shards(benchmark, item_col, text_col)
+    ids, shards = _shards(benchmark)
     # one shard's automaton is built at a time in a worker; what is sent is the items' hashes alone
     sent = [spark.sparkContext.broadcast(s) for s in shards]
-    names = docs.columns
-    at = names.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("_n_words", LongType()), StructField("_n_hit", LongType()), StructField("_items", ArrayType(IntegerType())), StructField("_spans", ArrayType(LongType()))])
+    at = docs.columns.index(text_col)
 
     def scan(batches):
-        many = len(sent) > 1
-        one = None if many else Matcher(sent[0].value)
+        one = Matcher(sent[0].value) if len(sent) == 1 else None
         for whole in batches:
             for b in slices(whole, text_col):
                 _, w, h = normal_words(texts_of(b.column(at)))
-                start, size, doc, items = [], [], [], [set() for _ in range(b.num_rows)]
+                start, size, items = [], [], [set() for _ in range(b.num_rows)]
                 for s in sent:
                     for d, a, k, own in (one or Matcher(s.value)).hits(w, h):
-                        doc.append(d)
                         start.append(a)
                         size.append(k)
                         items[d].update(own)
                 hit = np.zeros(len(h), dtype=bool)
                 for k in set(size):
                     hit |= covered(np.array([a for a, x in zip(start, size, strict=True) if x == k]), k, len(h))
-                edge = np.zeros(len(h) + 1, dtype=bool)
-                edge[w.first] = True
-                begin = np.flatnonzero(hit & (~np.concatenate([[False], hit[:-1]]) | edge[:-1]))
-                end = np.flatnonzero(hit & (~np.concatenate([hit[1:], [False]]) | edge[1:])) + 1
-                by = np.searchsorted(begin, w.first)
-                spans = []
-                for i in range(b.num_rows):
-                    a, z = begin[by[i] : by[i + 1]], end[by[i] : by[i + 1]]
-                    spans.append(np.stack([a - w.first[i], z - a], 1).ravel().tolist() if len(a) else [])
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(w.counts(), pa.int64()), pa.array(sums(hit, w.first), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.int64()))],
-                    names=[*names, "_n_words", "_n_hit", "_items", "_spans"],
-                )
-
-    return docs.mapInArrow(scan, schema), ids
+                yield emit(b, w, hit, items, ids)
+
+    return docs.mapInArrow(scan, schema)
+
+
+def _contaminated(n_hit: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def _runs(w: Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of runs of hit words within documents, and the words after them."""
+    edge = np.zeros(len(hit) + 1, dtype=bool)
+    edge[w.first] = True
+    begin = np.flatnonzero(hit & (~np.concatenate([[False], hit[:-1]]) | edge[:-1]))
+    end = np.flatnonzero(hit & (~np.concatenate([hit[1:], [False]]) | edge[1:])) + 1
+    return begin, end
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans of every row of docs.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (first word, words, of each in turn) of every row of docs.
 
     Null texts and texts without words have no words and aren't contaminated; items without words match
     nothing; a null item id counts as "". Repeated rows are judged each; equal item ids with different
     texts count once. An empty benchmark hits nothing. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found, ids = _found(rows, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "item_id", "text")
-    found = found.drop("text")
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
 
-    def digest(batches):
-        for b in batches:
-            of = [sorted({ids[i] for i in x}) for x in b.column(b.schema.get_field_index("_items")).to_pylist()]
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in of]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in of], pa.int64()), pa.array(sha), b.column(4)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans"])
+    def emit(b, w, hit, items, ids):
+        n_words, n_hit = w.counts(), sums(hit, w.first)
+        of = [sorted({ids[i] for i in x}) for x in items]
+        begin, end = _runs(w, hit)
+        by = np.searchsorted(begin, w.first)
+        spans = [np.stack([begin[i:j] - f, end[i:j] - begin[i:j]], 1).ravel().tolist() for i, j, f in zip(by[:-1].tolist(), by[1:].tolist(), w.first.tolist(), strict=False)]
+        return pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in of], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in of], pa.string()), pa.array(_contaminated(n_hit, n_words)), pa.array(spans, pa.list_(pa.int64()))],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+        )
 
-    id_type = rows.schema["doc_id"].dataType
-    schema = StructType([StructField("doc_id", id_type), *(StructField(n, LongType()) for n in ("n_words", "n_hit", "n_items")), StructField("items_sha256", StringType()), StructField("spans", ArrayType(LongType()))])
-    out = found.mapInArrow(digest, schema)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
+    schema = StructType([rows.schema[0], *(StructField(n, LongType()) for n in ("n_words", "n_hit", "n_items")), StructField("items_sha256", StringType()), StructField("contaminated", BooleanType()), StructField("spans", ArrayType(LongType()))])
+    return _scan(rows, items, "text", schema, emit)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -194,27 +193,25 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     A span goes from its first word to its last, with what stands between them; documents without hits are unchanged.
     """
     names, at = docs.columns, docs.columns.index(text_col)
-    found, _ = _found(docs, benchmark.select("item_id", "text"), "item_id", "text")
-    found = found.where(~((F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words")))).select(*names, "_spans")
-
-    def cut(batches):
-        for b in batches:
-            spans, texts = b.column(len(names)).to_pylist(), b.column(at)
-            if any(spans):
-                out = []
-                for text, own in zip(texts.to_pylist(), spans, strict=True):
-                    if own:
-                        t, w, _ = normal_words(texts_of(pa.array([text])))
-                        raw, last, kept = text.encode(), 0, []
-                        for first, size in zip(own[::2], own[1::2], strict=True):
-                            kept.append(raw[last : w.start[first]])
-                            last = w.end[first + size - 1]
-                        text = b"".join([*kept, raw[last:]]).decode()
-                    out.append(text)
-                texts = pa.array(out, texts.type)
-            yield pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in range(len(names))], names=names)
-
-    return found.mapInArrow(cut, docs.schema)
+
+    def emit(b, w, hit, items, ids):
+        n_hit = sums(hit, w.first)
+        keep = ~_contaminated(n_hit, w.counts())
+        texts = b.column(at)
+        if (cut := np.flatnonzero(keep & (n_hit > 0))).size:
+            begin, end = _runs(w, hit)
+            by = np.searchsorted(begin, w.first)
+            t, out = texts_of(texts), texts.to_pylist()
+            for d in cut.tolist():
+                last, kept = t.offsets[d], []
+                for i in range(by[d], by[d + 1]):
+                    kept.append(t.buf[last : w.start[begin[i]]].tobytes())
+                    last = w.end[end[i] - 1]
+                out[d] = b"".join([*kept, t.buf[last : t.offsets[d + 1]].tobytes()]).decode()
+            texts = pa.array(out, texts.type)
+        return pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in range(len(names))], names=names).filter(pa.array(keep))
+
+    return _scan(docs, benchmark.select("item_id", "text"), text_col, docs.schema, emit)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

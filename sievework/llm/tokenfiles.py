@@ -113,7 +113,7 @@ class Encoder:
     id stands for tell where a piece ends. Pieces are known by a 64-bit hash of their bytes.
     """
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -236,7 +236,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
             return out
 
         for whole in batches:
-            for b in slices(whole, most=8 << 20):
+            for b in slices(whole, most=4 << 20):
                 own, n = tool.encode(b.column(1))
                 ids += b.column(0).to_pylist()
                 counts.append(n + 1)
