@@ -38,4 +38,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     # what the write shuffled is of no more use; else it stays until the driver happens to collect its garbage
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what written() wrote for df, once all that came from it is written itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
