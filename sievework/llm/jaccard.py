@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .arrowtext import LOWER, SPACE_WORDS, Texts, hashes, inside, mix, slices, texts_of, windows, words_of
 from .components import components
@@ -27,6 +27,8 @@ from .tables import small_batches, written
 _U = np.uint64
 #: Shingles that one comparing task holds of each of two blocks, about.
 BLOCK = 1_000_000
+#: Bands have so many names.
+TAGS = 128
 
 
 def shingles(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ class PartEnum:
         return spoilt + 1 + spare, spare, n2, k2
 
     def signatures(self, value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, signature) of all documents.
+        """(document, signature) of all documents; a signature's last bits name its band, in which its two sets are compared.
 
         A subset without features says nothing, so its signature is left out; a first-level part with such
         a subset is weak. That loses no pair: two sets within distance k agree in more first-level parts
@@ -159,7 +161,7 @@ class PartEnum:
                         for j in subset:
                             sig = mix(sig + content[emit, j])
                         out_doc.append(own[which[emit]])
-                        out_sig.append(sig)
+                        out_sig.append((sig & ~_U(TAGS - 1)) | (tag[which[emit]] % TAGS).astype(_U))
                     own = own[weak]
         return np.concatenate(out_doc), np.concatenate(out_sig)
 
@@ -245,11 +247,12 @@ def signed(docs: DataFrame, words: int, method: PartEnum, id_col: str = "doc_id"
 
 
 def candidates(sigs: DataFrame) -> DataFrame:
-    """Edges (u, v) that join all nodes of one signature to its smallest."""
+    """(a, b, tag) that join all nodes of one signature to its smallest."""
     from pyspark.sql import Window
 
     low = F.min("node").over(Window.partitionBy("sig"))
-    return sigs.withColumn("low", low).where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    found = sigs.withColumn("b", low).where("node <> b")
+    return found.select(F.col("node").alias("a"), "b", F.col("sig").bitwiseAND(F.lit(TAGS - 1)).alias("tag")).distinct()
 
 
 def linked(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -265,16 +268,25 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "do
     sets = written(measured(rows, words), "sets")
     classes = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_many"))
     copies = sets.join(classes.where("_many > 1").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "rep"), (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")))
-    edges = candidates(signed(rows, words, PartEnum(percent)))
-    edges = edges.unionByName(copies.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    coarse = components(edges)
+    copies = copies.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    pairs = written(candidates(signed(rows, words, PartEnum(percent))), "candidates")
+    for side in "ab":
+        known = copies.select(F.col("doc_id").alias("_id"), F.col("rep").alias("_rep"))
+        pairs = pairs.join(known, F.col(side) == F.col("_id"), "left").withColumn(side, F.coalesce("_rep", side)).drop("_id", "_rep")
+    # sets are gathered band by band: a document has a node in each of its two bands, so chains over many sizes don't form
+    pairs = written(pairs.where("a <> b").distinct().withColumns({"u": F.xxhash64("a", "tag"), "v": F.xxhash64("b", "tag")}), "candidates")
+    coarse = components(pairs.select("u", "v"))
+    nodes = pairs.select(F.col("u").alias("_node"), F.col("a").alias("rep")).unionByName(pairs.select(F.col("v").alias("_node"), F.col("b").alias("rep"))).distinct()
     classes = classes.drop("_many")
     # where several sets may link: a representative of each, with the blocks it is compared in
-    near = coarse.join(classes, F.col("node") == F.col("rep")).select("label", "rep", "hi", "lo", "n")
-    total = near.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / block), F.lit(1)).alias("blocks"), F.count(F.lit(1)).alias("many")).where("many > 1").withColumnRenamed("label", "_label")
-    near = written(near.join(total, F.col("label") == F.col("_label")).select("label", "rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "blocks"), "near")
+    near = coarse.join(nodes, F.col("node") == F.col("_node")).select("label", F.col("rep").alias("_rep")).distinct()
+    near = near.join(classes, F.col("_rep") == F.col("rep")).select("label", "rep", "hi", "lo", "n")
+    total = near.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / block), F.lit(1)).alias("blocks")).withColumnRenamed("label", "_label")
+    near = near.join(total, F.col("label") == F.col("_label"))
+    near = written(near.groupBy("rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).agg(F.collect_list(F.struct("label", "blocks")).alias("groups")), "near")
     # near grows with the corpus: it is never broadcast
     features = _sets_of(rows.join(near.hint("merge"), F.col("doc_id") == F.col("rep")), words)
+    features = features.select("rep", "features", F.inline("groups"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = features.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     pairs = pairs.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "features")
@@ -293,7 +305,7 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "do
 
 
 def _sets_of(rows: DataFrame, words: int) -> DataFrame:
-    """label, rep, blocks and features (the set as bytes) of rows whose text has the set that _hi and _lo name, once for each."""
+    """groups, rep and features (the set as bytes) of rows whose text has the set that _hi and _lo name."""
 
     def scan(batches):
         for whole in batches:
@@ -304,9 +316,9 @@ def _sets_of(rows: DataFrame, words: int) -> DataFrame:
                 keep = np.flatnonzero((hi == col("_hi").to_numpy()) & (lo == col("_lo").to_numpy()))
                 raw = [value[first[i] : first[i + 1]].tobytes() for i in keep.tolist()]
                 at = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([col("label").take(at), col("rep").take(at), col("blocks").take(at), pa.array(raw, pa.binary())], names=["label", "rep", "blocks", "features"])
+                yield pa.RecordBatch.from_arrays([col("groups").take(at), col("rep").take(at), pa.array(raw, pa.binary())], names=["groups", "rep", "features"])
 
-    return rows.mapInArrow(scan, "label long, rep long, blocks long, features binary")
+    return rows.mapInArrow(scan, StructType([rows.schema["groups"], StructField("rep", LongType()), StructField("features", BinaryType())]))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
