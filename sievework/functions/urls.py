@@ -75,18 +75,19 @@ LISTING_PATHS = ("/job-search", "/jobs/search", "/search-jobs", "/search-results
 SEARCH_KEYS = ("keyword", "keywords", "location", "q", "query", "search")
 
 
+def listing_rules(path: Column, query: Column, posting_id: Column) -> Column:
+    """Whether a path and query name one posting: an id key or fragment, else two path segments or more that aren't a list's."""
+    path = F.lower(F.regexp_replace(path, "/+$", ""))
+    keys = F.transform(F.split(F.lower(query), "&"), lambda x: F.split_part(x, F.lit("="), F.lit(1)))
+    listing = path.rlike("|".join(LISTING_PATHS)) | path.rlike(f"(^|/)({'|'.join(LISTING_SEGMENTS)})$") | (path == "") | F.arrays_overlap(keys, F.array(*map(F.lit, SEARCH_KEYS)))
+    has_id = F.arrays_overlap(keys, F.array(*map(F.lit, POSTING_KEYS))) | (posting_id != "")
+    return has_id | (~listing & path.rlike("[^/]/+[^/]"))
+
+
 def names_one_posting(c: C) -> Column:
-    """Whether a canonical URL's shape names one posting: an id key or fragment, else two path segments or more that aren't a list's."""
+    """listing_rules of a URL; a blank one names none."""
     p = parts(c)
-    path = F.lower(F.regexp_replace(p["path"], "/+$", ""))
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    keys = F.transform(F.split(F.lower(p["query"]), "&"), lambda x: F.split_part(x, F.lit("="), F.lit(1)))
-    listing = F.lit(False)
-    for part in LISTING_PATHS:
-        listing = listing | F.contains(path, F.lit(part))
-    listing = listing | F.coalesce(F.try_element_at(segments, F.lit(-1)).isin(*LISTING_SEGMENTS), F.lit(True)) | F.arrays_overlap(keys, F.array(*map(F.lit, SEARCH_KEYS)))
-    has_id = F.arrays_overlap(keys, F.array(*map(F.lit, POSTING_KEYS))) | (fragment_posting_id(c) != "")
-    return F.when(F.trim(text(c)) == "", F.lit(False)).otherwise(has_id | (~listing & (F.size(segments) >= 2)))
+    return (F.trim(text(c)) != "") & listing_rules(p["path"], p["query"], fragment_posting_id(c))
 
 
 def origin(c: C) -> Column:
