@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_lines, jaccard, mixing, pii, quality, sharding, substrings, tokenfiles, toxicity
+from . import decontaminate, fuzzy_lines, jaccard, mixing, oracles, pii, quality, sharding, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others permute, fit, tokenize or search with positions, which SQL can't: tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": oracles.SUBSTRINGS,
+    "op5_jaccard_join": oracles.JACCARD,
+    "op7_decontamination": oracles.CONTAMINATION,
+}
