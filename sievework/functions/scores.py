@@ -59,7 +59,7 @@ def action(total: Column, days: Column, confidence: Column, ineligible: Column,
     )
 
 
-def watcher_action(fit: Column, eligible: Column, expired: Column) -> Column:
+def fit_action(fit: Column, eligible: Column, expired: Column) -> Column:
     return F.when(~eligible | expired, "skip").when(fit >= 75, "apply_now").when(fit >= MAYBE, "apply_later").otherwise("research_more")
 
 
