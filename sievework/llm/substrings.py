@@ -221,16 +221,20 @@ def _shards(segments: DataFrame, window: int) -> DataFrame:
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = cold.repartition(parts, "key").sortWithinPartitions("key")
 
-    def close(group: list[tuple[bytes, int, int, int]]):
+    def close(group: list[tuple[int, bytes, int, int, int]]):
         least: dict[bytes, int] = {}
-        for words, doc, *_ in group:
+        of: dict[int, set[bytes]] = {}
+        for key, words, doc, *_ in group:
+            of.setdefault(key, set()).add(words)
             if least.get(words, doc + 1) > doc:
                 least[words] = doc
-        low = shard_matches(least, window)
-        return _spans_batch([x for words, doc, crc, first in group for x in _runs(doc, crc, first, low[words], window)])
+        # anchors don't share windows: a segment alone under its anchor holds nothing of others
+        alone = {w for own in of.values() if len(own) == 1 for w in own}
+        low = {w: [least[w]] * (w.count(b" ") + 2 - window) for w in alone} | shard_matches({w: d for w, d in least.items() if w not in alone}, window)
+        return _spans_batch([x for _, words, doc, crc, first in group for x in _runs(doc, crc, first, low[words], window)])
 
     def stream(batches):
-        group: list[tuple[bytes, int, int, int]] = []
+        group: list[tuple[int, bytes, int, int, int]] = []
         size, last = 0, None
         for b in batches:
             for key, words, doc, crc, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -238,7 +242,7 @@ def _shards(segments: DataFrame, window: int) -> DataFrame:
                     yield close(group)
                     group, size = [], 0
                 last = key
-                group.append((words, doc, crc, first))
+                group.append((key, words, doc, crc, first))
                 size += window + 4
         if group:
             yield close(group)
