@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, pay, scores, text, urls
-from ..operators import aggregates, joins, ranking, timelines
+from ..operators import aggregates, dedupe, health, joins, ranking, timelines
 
 QUERIES: dict[str, object] = {}
 ORACLES: dict[str, str] = {}
@@ -282,6 +282,33 @@ def rolling_24h(spark, sf):
     return timelines.trailing_count(_events(spark, sf), "user_id", "ts", 86400).select("event_id", "n_recent")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type <> 'error' AS ok FROM events), w AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER k AS wins, count(*) OVER k AS total FROM e WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT *, sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY user_id, wins ORDER BY ts, event_id) AS losses FROM w), s AS (SELECT *, CASE WHEN ok THEN 'healthy' WHEN losses >= 3 THEN 'failing' ELSE 'degraded' END AS status FROM f),
+p AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_status FROM s)
+SELECT event_id, total AS total_attempts, CAST(wins AS BIGINT) AS total_successes, CAST(losses AS BIGINT) AS consecutive_failures, status, previous_status, coalesce(previous_status IN ('degraded', 'failing') AND status = 'healthy', FALSE) AS recovery FROM p""")
+def health_fold(spark, sf):
+    e = read(spark, sf, "events")
+    null, no = F.lit(None), F.lit(False)
+    attempts = e.select(
+        F.col("user_id").cast("string").alias("health_key"), F.lit("feed").alias("source_kind"), F.lit("").alias("company"), F.lit(True).alias("attempted"), (F.col("event_type") != "error").alias("succeeded"),
+        F.lit(1).cast("long").alias("rows_returned"), F.lit("error").alias("error_kind"), F.col("ts").alias("observed_at"), *(null.cast("long").alias(c) for c in ("malformed_row_count", "schema_error_row_count", "duplicate_row_count", "failed_request_count")),
+        *(no.alias(c) for c in ("incomplete", "truncated", "degraded")), F.lit(True).alias("complete"), F.col("event_id").alias("seq"),
+    )
+    out = health.health_states(attempts)
+    return out.select(F.col("seq").alias("event_id"), "total_attempts", "total_successes", "consecutive_failures", "status", "previous_status", F.coalesce("recovery", F.lit(False)).alias("recovery"))
+
+
+@query(r"""WITH k AS (SELECT p_partkey, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS company, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS title FROM part)
+SELECT min(p_partkey) AS pos, count(*) - 1 AS merged FROM k GROUP BY company, title""")
+def posting_dedupe(spark, sf):
+    p = read(spark, sf, "part")
+    given = {"company": F.col("p_brand"), "title": F.col("p_type")}
+    rows = p.select(F.col("p_partkey").alias("pos"), *(given.get(f, F.lit("")).alias(f) for f in dedupe.FIELDS))
+    kept, report = dedupe.deduplicated(rows)
+    n = report.groupBy(F.col("duplicate_of").alias("_pos")).agg(F.count(F.lit(1)).alias("merged"))
+    return kept.select("pos").join(n, F.col("pos") == F.col("_pos"), "left").select("pos", F.coalesce("merged", F.lit(0)).cast("long").alias("merged"))
+
+
 # -- text, URLs, dates, scores ---------------------------------------------------------------------
 
 _SQUASH = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
