@@ -50,7 +50,10 @@ def board_requisition() -> Column:
         (host.endswith(".fa.oraclecloud.com") & path.rlike(oracle), "oracle_hcm", F.concat_ws(":", host, F.regexp_extract(path, oracle, 1)), F.regexp_extract(path, oracle, 2)),
         (host.isin("careers.google.com", "www.google.com") & (google != ""), "google_careers", host, google),
     ]
-    return F.coalesce(*(F.when(ok, F.struct(F.lit(name).alias("provider"), scope.alias("scope"), native.alias("native"))) for ok, name, scope, native in rules))
+    out = F
+    for ok, name, scope, native in rules:
+        out = out.when(ok, F.struct(F.lit(name).alias("provider"), scope.alias("scope"), native.alias("native")))
+    return out
 
 
 def fragment_requisition() -> Column:
