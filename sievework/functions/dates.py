@@ -13,23 +13,30 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 
 
 def parse_date(c: C) -> Column:
-    """The day a text names, or null. Month names may be short; two-digit years from 69 on are of the last century."""
-    s = F.lower(clean_cell(c, single_line=True))
-    s = F.regexp_replace(s, "(\\d)(?:st|nd|rd|th)\\b", "$1")
-    month = F.regexp_extract(s, "\\b(" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")\\b", 1)
-    number = F.coalesce(*(F.when(month.isin(m, m[:3]), F.lit(str(i))) for i, m in enumerate(MONTHS, 1)))
-    plain = F.regexp_extract(s, "^(\\d{4})-(\\d{1,2})-(\\d{1,2})$", 0)
-    parts = [
-        (plain != "", "^(\\d{4})-(\\d{1,2})-(\\d{1,2})$", (1, 2, 3)),
-        (s.rlike("^\\d{1,2}[/-]\\d{1,2}[/-]\\d{4}$") & ~s.rlike("/.*-|-.*/"), "^(\\d{1,2})[/-](\\d{1,2})[/-](\\d{4})$", (3, 1, 2)),
-    ]
-    out = [F.when(ok, F.try_to_date(F.concat_ws("-", *(F.regexp_extract(s, p, i) for i in order)), "y-M-d")) for ok, p, order in parts]
-    year = F.regexp_extract(s, "^(\\d{1,2})/(\\d{1,2})/(\\d{2})$", 3)
-    century = F.when(year >= "69", "19").otherwise("20")
-    out.append(F.when(year != "", F.try_to_date(F.concat_ws("-", F.concat(century, year), F.regexp_extract(s, "^(\\d{1,2})/(\\d{1,2})/(\\d{2})$", 1), F.regexp_extract(s, "^(\\d{1,2})/(\\d{1,2})/(\\d{2})$", 2)), "y-M-d")))
-    for p, y, d in (("^[a-z]+ (\\d{1,2}),? (\\d{4})$", 2, 1), ("^(\\d{1,2}) [a-z]+ (\\d{4})$", 2, 1)):
-        out.append(F.when(s.rlike(p) & number.isNotNull(), F.try_to_date(F.concat_ws("-", F.regexp_extract(s, p, y), number, F.regexp_extract(s, p, d)), "y-M-d")))
-    return F.when(~s.rlike(ROLLING), F.coalesce(*out))
+    """The day a text names, or null. Month names may be short; two-digit years from 69 on are of the last century.
+
+    The cleaned text is bound once, as the only element of an array: written out in each rule it would be
+    cleaned many times a row, in more code than a generated method may have.
+    """
+    s = F.regexp_replace(F.lower(clean_cell(c, single_line=True)), "(\\d)(?:st|nd|rd|th)\\b", "$1")
+    return F.get(F.transform(F.array(s), _day), F.lit(0))
+
+
+def _day(s: Column) -> Column:
+    take = lambda p, i: F.regexp_extract(s, p, i)
+    day = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, m, d), "y-M-d")
+    iso, us, short = "^(\\d{4})-(\\d{1,2})-(\\d{1,2})$", "^(\\d{1,2})([/-])(\\d{1,2})\\2(\\d{4})$", "^(\\d{1,2})/(\\d{1,2})/(\\d{2})$"
+    name = "(" + "|".join(f"{m}|{m[:3]}" for m in MONTHS) + ")"
+    first, second = f"^{name} (\\d{{1,2}}),? (\\d{{4}})$", f"^(\\d{{1,2}}) {name} (\\d{{4}})$"
+    number = lambda m: F.element_at(F.create_map(*(F.lit(x) for i, m_ in enumerate(MONTHS, 1) for k in dict.fromkeys((m_, m_[:3])) for x in (k, str(i)))), m)
+    return (
+        F.when(s.rlike(ROLLING), None)
+        .when(s.rlike(iso), day(take(iso, 1), take(iso, 2), take(iso, 3)))
+        .when(s.rlike(us), day(take(us, 4), take(us, 1), take(us, 3)))
+        .when(s.rlike(short), day(F.concat(F.when(take(short, 3) >= "69", "19").otherwise("20"), take(short, 3)), take(short, 1), take(short, 2)))
+        .when(s.rlike(first), day(take(first, 3), number(take(first, 1)), take(first, 2)))
+        .when(s.rlike(second), day(take(second, 3), number(take(second, 2)), take(second, 1)))
+    )
 
 
 def days_left(deadline: Column, today: Column) -> Column:
