@@ -138,7 +138,7 @@ def _repeated(rows: DataFrame, window: int) -> DataFrame:
 
 def _segments(rows: DataFrame, hits: DataFrame, window: int) -> DataFrame:
     """(key, words, doc_id, crc, first, hot): for each repeated anchor the words under its windows; key is the anchor."""
-    of = hits.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("warm")).withColumnRenamed("doc_id", "_id")
+    of = hits.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("warm")).withColumnRenamed("doc_id", "_id")
     text = rows.join(of, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "crc", "cold", "warm")
 
     def scan(batches):

@@ -34,7 +34,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder, read again: its lineage ends here and it outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # a writer holds a row group in memory
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     # what the write shuffled is of no more use; else it stays until the driver happens to collect its garbage
     gc.collect()
     spark.sparkContext._jvm.System.gc()
