@@ -13,15 +13,14 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb, exp, sqrt
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from ..operators.components import components
 from .arrowtext import LOWER, SPACE_WORDS, Texts, hashes, inside, mix, slices, texts_of, windows, words_of
-from .components import components
 from .tables import small_batches, written
 
 _U = np.uint64

@@ -1,13 +1,12 @@
-"""Where the operators read their tables and put what they cut lineage with."""
+"""Where the operators read their tables, and in what batches Python sees them."""
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from ..operators.storage import forget, shared_dir, written
+
+__all__ = ["forget", "shared_dir", "small_batches", "table", "written"]
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -19,33 +18,3 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none, as in tests, one is set here."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = _OWN.setdefault("dir", "/tmp/checkpoints/sievework")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage ends here and it outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    # a writer holds a row group in memory
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
-    # what the write shuffled is of no more use; else it stays until the driver happens to collect its garbage
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes what written() wrote for df, once all that came from it is written itself."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

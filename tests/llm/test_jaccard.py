@@ -5,7 +5,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from sievework.llm import components, jaccard
+from sievework.llm import jaccard
+from sievework.operators import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
