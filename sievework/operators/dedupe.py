@@ -22,10 +22,16 @@ FIELDS = ("company", "title", "location", "compensation", "description", "requir
 
 
 def with_keys(rows: DataFrame, extra: str | None = None) -> DataFrame:
-    """rows with req, url and fb, the three keys; extra names a map column of provenance."""
-    out = identity.with_requisition(identity.with_url_parts(rows), extra=extra)
+    """pos, req, url and fb, the three keys, of rows; extra names a map column of provenance.
+
+    The parts of URLs and the requisitions are written before rules read them: collapsed into one
+    expression, the rules would hold a copy of the URL's patterns for each mention.
+    """
+    slim = rows.select("pos", "company", "title", "location", "source_url", *([extra] if extra else []))
+    parts = written(identity.with_url_parts(slim), "urls")
+    out = written(identity.with_requisition(parts, extra=extra).drop(*([extra] if extra else [])), "requisitions")
     out = out.withColumn("url", identity.own_url_key()).withColumn("fb", identity.fallback_key("company", "title", "location"))
-    out = out.drop("u_url", "u_id", "u_host", "u_path", "u_query", "u_board")
+    out = written(out.select("pos", "req", "url", "fb"), "keys")
     # a URL that several requisitions share names none of them
     shared = out.where("url <> '' and req <> ''").groupBy(F.col("url").alias("_url")).agg(F.min("req").alias("a"), F.max("req").alias("b")).where("a <> b").select("_url", F.lit(True).alias("_shared"))
     out = out.join(shared, F.col("url") == F.col("_url"), "left")
@@ -96,13 +102,15 @@ def deduplicated(rows: DataFrame, extra: str | None = None) -> tuple[DataFrame,
     nulls count as blank. Filling a kept row's blanks doesn't give it keys that its input rows lack.
     """
     plain = rows.select("pos", *([extra] if extra else []), *(text(f).alias(f) for f in FIELDS))
-    keyed = written(with_keys(plain, extra).select("pos", *FIELDS, "req", "url", "fb"), "postings")
+    keyed = written(with_keys(plain, extra), "keys")
+    plain = plain.select("pos", *FIELDS)
     ends = reduce(DataFrame.unionByName, (keyed.where(f"{k} <> ''").select("pos", F.concat(F.lit(f"{k}:"), F.col(k)).alias("key")) for k in ("req", "url", "fb")))
     first = ends.groupBy(F.col("key").alias("_key")).agg(F.min("pos").alias("v"), F.max("pos").alias("z")).where("v < z").drop("z")
     edges = ends.join(first, F.col("key") == F.col("_key")).select(F.col("pos").alias("u"), "v")
     label = components(edges)
-    met = keyed.join(label, F.col("pos") == F.col("node")).drop("node")
-    alone = keyed.join(label, F.col("pos") == F.col("node"), "left_anti")
+    # only rows that may meet are shuffled with all their text
+    met = plain.join(keyed.join(label, F.col("pos") == F.col("node")).drop("node"), "pos")
+    alone = plain.join(label, F.col("pos") == F.col("node"), "left_anti")
     schema = "pos long, duplicate_of long, matched_on string, merged_fields array<string>, " + ", ".join(f"{f} string" for f in FIELDS)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
