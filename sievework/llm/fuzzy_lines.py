@@ -1,6 +1,6 @@
 """Line deduplication by MinHash over character shingles, in DataFrame operations only.
 
-A line's set has the shingles of SHINGLE characters that begin where its words begin. Distinct lines get
+A line's set has the shingles of SHINGLE characters at all of its positions. Distinct lines get
 MinHash signatures; lines that agree on a band are candidates, their exact Jaccard similarity decides,
 and one line of each component stays: the first of the corpus.
 """
@@ -23,15 +23,24 @@ THRESHOLD = 0.8
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
-def _found(line: Column) -> Column:
-    """A line's shingles; letters A-Z count as small. Each match takes a word and looks ahead from its start."""
-    small = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(small, F.lit(f"(?s)(?=({_WORD}.{{0,{SHINGLE - 1}}})){_WORD}+"), F.lit(1))
+def _characters(line: Column) -> Column:
+    """A line's characters, four bytes each, so that any of them is reached at once; letters A-Z count as small."""
+    return F.encode(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-32")
+
+
+def _starts(characters: Column) -> Column:
+    """Where a line's shingles begin: at every character that SHINGLE - 1 others follow; a shorter line is one shingle."""
+    return F.sequence(F.lit(0), F.greatest((F.length(characters) / 4).cast("int") - F.lit(SHINGLE), F.lit(0)))
+
+
+def _hash(characters: Column, start: Column) -> Column:
+    return F.xxhash64(F.substr(characters, start * F.lit(4) + F.lit(1), F.lit(4 * SHINGLE)))
 
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of a line's shingles."""
-    return F.array_distinct(F.transform(_found(line), lambda x: F.xxhash64(x)))
+    whole = F.transform(F.array(_characters(line)), lambda c: F.array_distinct(F.transform(_starts(c), lambda i: _hash(c, i))))
+    return F.element_at(whole, 1)
 
 
 def _masks(n: int) -> list[int]:
@@ -59,7 +68,7 @@ def signed(lines: DataFrame) -> DataFrame:
     probability: the least of h ^ mask is a MinHash, at the cost of one operation for each mask and shingle.
     A line's shingles stand together in a task, so what is shuffled is one row a line.
     """
-    each = lines.select("node", F.explode(_found(F.col("line"))).alias("x")).select("node", F.xxhash64("x").alias("h"))
+    each = lines.select("node", _characters(F.col("line")).alias("c")).select("node", "c", F.explode(_starts(F.col("c"))).alias("i")).select("node", _hash(F.col("c"), F.col("i")).alias("h"))
     return each.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(ROWS * BANDS))))
 
 

@@ -1,0 +1,67 @@
+from collections import defaultdict
+
+from sievework.llm import fuzzy_lines
+
+SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def set_of(line):
+    k, q = fuzzy_lines.SHINGLE, line.translate(SMALL)
+    return {q[i : i + k] for i in range(max(1, len(q) - k + 1))}
+
+
+def brute(docs):
+    """(doc_id, line number) of the lines that stay, by shingles at every position."""
+    first = {}
+    for i, t in sorted(docs):
+        for n, line in enumerate((t or "").split("\n")):
+            if line.strip(" \t\n\v\f\r"):
+                first.setdefault(line, (i, n))
+    lines = list(first)
+    sets, up, inverted = [set_of(x) for x in lines], list(range(len(lines))), defaultdict(list)
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, own in enumerate(sets):
+        both = defaultdict(int)
+        for g in own:
+            for j in inverted[g]:
+                both[j] += 1
+            inverted[g].append(i)
+        for j, n in both.items():
+            if n >= 0.8 * (len(own) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return {first[lines[i]] for i in range(len(lines)) if find(i) == i}
+
+
+def kept_of(frame):
+    return {(r.doc_id, n) for r in frame.collect() for n in r.kept}
+
+
+def test_documents_against_every_position(spark, sf, local):
+    found, want = kept_of(fuzzy_lines.op6_fuzzy_lines(spark, sf)), brute(local)
+    assert found >= want and len(found - want) <= 0.003 * len(want)
+
+
+def test_unspaced_lines_that_differ_later_stay(spark):
+    lines = [
+        "https://example.org/a/reports/2023/annual",
+        "https://example.org/zz/blog/17",
+        "我们今天下午三点在公园门口见面然后一起去吃饭",
+        "我们今天下午三点在公园取消了原定的全部活动安排",
+        "YWJjZGVmZ2hpamtsbW5vcA==aaaaaaaaaaaaaaaaaaaa",
+        "YWJjZGVmZ2hpamtsbW5vcA==" + "bcdefghijklmnopqrstu",
+        "abc",
+        "abd",
+    ]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert kept_of(fuzzy_lines.counted(frame)) == {(i, 0) for i in range(len(lines))}
+    long = "https://example.org/reports/" + "/".join(f"part{i}" for i in range(40))
+    both = spark.createDataFrame([(0, long), (1, long.upper() + "x"), (2, "ABC"), (3, "abc")], "doc_id long, text string")
+    assert kept_of(fuzzy_lines.counted(both)) == {(0, 0), (2, 0)}
+    sizes = frame.select(fuzzy_lines.shingles(frame.text).alias("set")).collect()
+    assert [len(r.set) for r in sizes] == [len(set_of(x)) for x in lines]
