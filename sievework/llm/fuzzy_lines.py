@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from .tables import forget, written
 
-SHINGLE = 10
+SHINGLE = 5
 #: At similarity 0.8 a pair agrees on a band with probability 1 - (1 - 0.8^3)^8 = 0.997, at 0.85 with 0.9997.
 ROWS, BANDS = 3, 8
 THRESHOLD = 0.8
@@ -79,13 +79,13 @@ def bands(signed: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, exactly."""
-    told = pairs.join(sets.select(F.col("node").alias("_u"), F.col("set").alias("a")), F.col("u") == F.col("_u"))
-    told = told.join(sets.select(F.col("node").alias("_v"), F.col("set").alias("b")), F.col("v") == F.col("_v"))
-    least, most = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
-    told = told.where(least >= F.lit(threshold) * most)
-    both = F.size(F.array_intersect("a", "b"))
-    return told.where(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both)).select("u", "v")
+    """The pairs (u, v) whose sets reach the threshold, exactly. Lines are what is shuffled; their sets are made again where a pair meets, if their sizes allow."""
+    told = pairs.join(sets.select(F.col("node").alias("_u"), F.col("line").alias("_a"), F.col("n").alias("_n")), F.col("u") == F.col("_u"))
+    told = told.join(sets.select(F.col("node").alias("_v"), F.col("line").alias("_b"), F.col("n").alias("_m")), F.col("v") == F.col("_v"))
+    told = told.where(F.least("_n", "_m") >= F.lit(threshold) * F.greatest("_n", "_m"))
+    both = F.size(F.array_intersect(shingles(F.col("_a")), shingles(F.col("_b"))))
+    told = told.select("u", "v", "_n", "_m", both.alias("both"))
+    return told.where(F.col("both") >= F.lit(threshold) * (F.col("_n") + F.col("_m") - F.col("both"))).select("u", "v")
 
 
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -120,7 +120,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(meet.join(many, F.col("band") == F.col("_band"), "left_semi"), "members")
     forget(meet)
     some = members.select(F.col("node").alias("_node")).distinct()
-    sets = written(distinct.join(some, F.col("node") == F.col("_node"), "left_semi").select("node", shingles(F.col("line")).alias("set")), "shingles")
+    sets = written(distinct.join(some, F.col("node") == F.col("_node"), "left_semi").select("node", "line", F.size(shingles(F.col("line"))).alias("n")), "candidates")
     forget(distinct)
     alike = components(_links(members, sets, threshold)).withColumnRenamed("node", "_node")
     place = places.join(alike, F.col("node") == F.col("_node"), "left")

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import numpy as np
+
 from sievework.llm import fuzzy_lines
 
 SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,3 +67,15 @@ def test_unspaced_lines_that_differ_later_stay(spark):
     assert kept_of(fuzzy_lines.counted(both)) == {(0, 0), (2, 0)}
     sizes = frame.select(fuzzy_lines.shingles(frame.text).alias("set")).collect()
     assert [len(r.set) for r in sizes] == [len(set_of(x)) for x in lines]
+
+
+def test_lines_with_a_changed_character_are_linked(spark):
+    rng = np.random.default_rng(11)
+    docs, letters = [], list("abcdefghijklmnopqrstuvwxyz")
+    for i in range(40):
+        line = " ".join("".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(12))
+        at = int(rng.integers(len(line)))
+        docs += [(2 * i, line), (2 * i + 1, line[:at] + "#" + line[at + 1 :])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert kept_of(fuzzy_lines.counted(frame)) == brute(docs)
+    assert len(brute(docs)) <= 41
