@@ -79,3 +79,19 @@ def test_lines_with_a_changed_character_are_linked(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert kept_of(fuzzy_lines.counted(frame)) == brute(docs)
     assert len(brute(docs)) <= 41
+
+
+def test_recall_of_small_sets_at_the_threshold(spark):
+    rng = np.random.default_rng(2)
+    letters = np.array([chr(c) for c in range(0x4E00, 0x5E00)])
+    for n in (5, 10, 20):
+        lines = []
+        for i in range(4000):
+            line = "".join(rng.choice(letters, n + 4, replace=False))
+            lines += [(2 * i, line), (2 * i + 1, line[: n * 4 // 5 + 4])]
+        frame = spark.createDataFrame(lines, "node long, line string")
+        bands = defaultdict(set)
+        for r in fuzzy_lines.bands(fuzzy_lines.signed(frame)).collect():
+            bands[r.node].add(r.band)
+        found = sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(4000)) / 4000
+        assert found >= 0.993
