@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .arrowtext import slices, sums, texts_of, words_of
 from .sharding import permute
@@ -100,22 +100,38 @@ def plan(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), s
     return block, [Plan(s, size[i], target[i], blocks[i], min(upto[-1][i], int(most * blocks[i])), tuple(u[i] for u in upto), seed + 1 + i) for i, s in enumerate(names)]
 
 
-def taken(start: np.ndarray, size: np.ndarray, source: np.ndarray, plans: list[Plan], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each overlap of a document with a block: its document, first and end token within it, and the times it is taken."""
+def taken(start: np.ndarray, size: np.ndarray, source: np.ndarray, plans: list[Plan], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each overlap of a document with a block: its document, first and end token within it, the times it is taken, and the first seat that takes it."""
     first = start // block
     many = np.where(size > 0, (start + size - 1) // block - first + 1, 0)
     doc = np.repeat(np.arange(len(start)), many)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
     low = np.maximum(at * block, start[doc]) - start[doc]
     high = np.minimum((at + 1) * block, start[doc] + size[doc]) - start[doc]
-    times = np.zeros(len(doc), np.int64)
+    times, seats = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
     of = source[doc]
     for s in np.unique(of):
         p, own = plans[s], of == s
         if p.blocks:
             seat = permute(at[own], p.blocks, p.seed, back=True)
             times[own] = np.maximum(0, -(-(p.seats - seat) // p.blocks))
-    return doc, low, high, times
+            seats[own] = seat
+    return doc, low, high, times, seats
+
+
+def dealt(doc: np.ndarray, words: np.ndarray, times: np.ndarray, seats: np.ndarray, source: np.ndarray, plans: list[Plan]) -> np.ndarray:
+    """Words that each shard takes of each document (a row of shards): seat j belongs to the first shard k whose upto[k] is above j."""
+    shards = len(plans[0].upto) if plans else 0
+    out = np.zeros((len(source), shards), np.int64)
+    each = np.repeat(np.arange(len(doc)), times)
+    turn = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+    of = source[doc[each]]
+    for s in np.unique(of):
+        own = of == s
+        at = each[own]
+        k = np.searchsorted(np.array(plans[s].upto), seats[at] + turn[own] * plans[s].blocks, side="right")
+        np.add.at(out, (doc[at], k), words[at])
+    return out
 
 
 def placed(docs: DataFrame, source: Column, size: Column, keys: list[str], bins: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +167,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     """doc_id, size (words), source, source_size, target (its source's, in words), taken and shard_words (array<long>) of every row.
 
     Weights repeat over sources in code point order, null last. taken counts repeats and is at most `most`
-    x size. A null or empty text has size 0 and is never taken; a null source is a source; rows with
+    x size; shard_words has the words of it that each shard takes. A null or empty text has size 0 and is never taken; a null source is a source; rows with
     equal id and size are interchangeable; an empty table gives none. Other columns are not read.
     """
     from .tables import written
@@ -180,17 +196,20 @@ def _mix(spark, rows: DataFrame, weights, share, most, shards, seed, extra: tupl
         for b in batches:
             col = lambda n: b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
             start, size = col("start").astype(np.int64), col("size").astype(np.int64)
-            doc, low, high, times = taken(start, size, col("k").astype(np.int64), plans, block)
+            k = col("k").astype(np.int64)
+            doc, low, high, times, seats = taken(start, size, k, plans, block)
             got = sums((high - low) * times, np.searchsorted(doc, np.arange(len(start) + 1)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int64())], names=[*b.schema.names, "taken"])
+            words = dealt(doc, high - low, times, seats, k, plans)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * words.shape[1], pa.int32()), pa.array(words.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int64()), lists], names=[*b.schema.names, "taken", "shard_words"])
 
-    return joined.mapInArrow(take, StructType([*joined.schema.fields, StructField("taken", LongType())])), block, plans
+    return joined.mapInArrow(take, StructType([*joined.schema.fields, StructField("taken", LongType()), StructField("shard_words", ArrayType(LongType()))])), block, plans
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     from .tables import table
 
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard_words")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, **rules) -> DataFrame:
@@ -224,7 +243,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **rules) -> DataFrame:
                 size = w.counts().astype(np.int64)
                 start = b.column(b.schema.get_field_index("_start")).to_numpy(zero_copy_only=False).astype(np.int64)
                 k = b.column(b.schema.get_field_index("_k")).to_numpy(zero_copy_only=False).astype(np.int64)
-                doc, low, high, times = taken(start, size, k, plans, block)
+                doc, low, high, times, _ = taken(start, size, k, plans, block)
                 rows, texts = [], []
                 at = np.searchsorted(doc, np.arange(len(start) + 1))
                 for i in range(len(start)):
