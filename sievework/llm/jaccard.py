@@ -186,8 +186,12 @@ class Union:
         return x != y
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join all linked sets, a forest of them: each set meets the earlier ones by their common features alone."""
+def spanning_links(sets: list[np.ndarray], percent: int, many: np.ndarray, band: np.ndarray, own: np.ndarray, tag: int, same: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join all linked sets, a forest of them, and for each set the rows of those it is linked with.
+
+    Each set meets the earlier ones by their common features alone. A pair can meet more than once: it counts
+    where the tag is the larger of its bands, and sets of one block only where the block meets itself.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     value = np.concatenate(sets) if n else np.zeros(0)
@@ -196,17 +200,21 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     order = np.argsort(feature, kind="stable")
     post, start = owner[order], np.searchsorted(feature[order], np.arange(int(feature.max(initial=-1)) + 2))
     first = np.concatenate([[0], np.cumsum(size)])
-    groups, out = Union(n), []
+    groups, out, rows = Union(n), [], np.zeros(n, np.int64)
     for i in range(1, n):
         f = feature[first[i] : first[i + 1]]
         lists = [post[start[x] : start[x + 1]] for x in f.tolist() if start[x + 1] - start[x] > 1]
         if not lists:
             continue
         both = np.bincount(np.concatenate(lists), minlength=n)[:i]
-        for j in np.flatnonzero(100 * both >= percent * (size[:i] + size[i] - both)).tolist():
-            if both[j] and groups.join(i, j):
+        hits = np.flatnonzero((both > 0) & (100 * both >= percent * (size[:i] + size[i] - both)))
+        here = hits[(np.maximum(band[hits], band[i]) % TAGS == tag) & (same | (own[hits] != own[i]))]
+        rows[i] += many[here].sum()
+        rows[here] += many[i]
+        for j in hits.tolist():
+            if groups.join(i, j):
                 out.append((j, i))
-    return out
+    return out, rows
 
 
 def measured(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,12 +263,12 @@ def candidates(sigs: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+    """doc_id, n_shingles, component_id and n_links (other rows whose set is linked with its own, directly) of every row.
 
     component_id is the smallest doc_id that links reach; equal sets are linked, a text without words has
     the empty set and is linked with nothing. A null text is empty; a row of null id takes part, and has the
     smallest id of its component or null; repeated rows are each returned; an empty table gives none. Other
-    columns are not read.
+    columns are not read. Sets that rows of null id alone have meet no others.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -275,32 +283,39 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "do
     # sets are gathered band by band: a document has a node in each of its two bands, so chains over many sizes don't form
     pairs = written(pairs.where("a <> b").distinct().withColumns({"u": F.xxhash64("a", "tag"), "v": F.xxhash64("b", "tag")}), "candidates")
     coarse = components(pairs.select("u", "v"))
-    nodes = pairs.select(F.col("u").alias("_node"), F.col("a").alias("rep")).unionByName(pairs.select(F.col("v").alias("_node"), F.col("b").alias("rep"))).distinct()
-    classes = classes.drop("_many")
+    nodes = pairs.select(F.col("u").alias("_node"), F.col("a").alias("rep"), "tag").unionByName(pairs.select(F.col("v").alias("_node"), F.col("b").alias("rep"), "tag")).distinct()
     # where several sets may link: a representative of each, with the blocks it is compared in
-    near = coarse.join(nodes, F.col("node") == F.col("_node")).select("label", F.col("rep").alias("_rep")).distinct()
-    near = near.join(classes, F.col("_rep") == F.col("rep")).select("label", "rep", "hi", "lo", "n")
+    near = coarse.join(nodes, F.col("node") == F.col("_node")).select("label", "tag", F.col("rep").alias("_rep")).distinct()
+    near = near.join(classes, F.col("_rep") == F.col("rep")).select("label", "tag", "rep", "hi", "lo", "n", "_many")
     total = near.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / block), F.lit(1)).alias("blocks")).withColumnRenamed("label", "_label")
     near = near.join(total, F.col("label") == F.col("_label"))
-    near = written(near.groupBy("rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).agg(F.collect_list(F.struct("label", "blocks")).alias("groups")), "near")
+    near = written(near.groupBy("rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).agg(F.collect_list(F.struct("label", "tag", "blocks", F.col("_many").alias("many"))).alias("groups")), "near")
     # near grows with the corpus: it is never broadcast
     features = _sets_of(rows.join(near.hint("merge"), F.col("doc_id") == F.col("rep")), words)
     features = features.select("rep", "features", F.inline("groups"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = features.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    pairs = pairs.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "features")
+    pairs = pairs.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "tag", "many", "own", "rep", "features")
 
     def compare(part: pa.Table) -> pa.Table:
         part = part.sort_by("rep")
-        rep = part.column("rep").to_pylist()
-        found = spanning_links([np.frombuffer(x, np.int64) for x in part.column("features").to_pylist()], percent)
-        return pa.table({"u": pa.array([rep[i] for i, _ in found], pa.int64()), "v": pa.array([rep[j] for _, j in found], pa.int64())})
-
-    links = pairs.groupBy("label", "a", "b").applyInArrow(compare, "u long, v long")
-    joined = components(links).select(F.col("node"), F.col("label").alias("_component"))
-    classes = classes.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("n").alias("_n"), F.coalesce("_component", "rep").alias("_component"))
+        rep, col = part.column("rep").to_pylist(), lambda n: part.column(n).to_numpy()
+        sets = [np.frombuffer(x, np.int64) for x in part.column("features").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        band = np.searchsorted(PartEnum(percent).bands(int(size.max())), size)
+        found, rows = spanning_links(sets, percent, col("many"), band, col("own"), int(col("tag")[0]), bool(col("a")[0] == col("b")[0]))
+        some = np.flatnonzero(rows).tolist()
+        u, v = [rep[i] for i, _ in found] + [rep[i] for i in some], [rep[j] for _, j in found] + [None] * len(some)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "rows": pa.array([None] * len(found) + rows[some].tolist(), pa.int64())})
+
+    # a row is a link of the forest (u, v) or says with how many rows u is linked (rows)
+    links = written(pairs.groupBy("label", "a", "b").applyInArrow(compare, "u long, v long, rows long"), "links")
+    joined = components(links.where("v is not null").select("u", "v")).select(F.col("node"), F.col("label").alias("_component"))
+    counts = links.where("rows is not null").groupBy(F.col("u").alias("_u")).agg(F.sum("rows").alias("_rows"))
+    classes = classes.join(counts, F.col("rep") == F.col("_u"), "left").withColumn("_links", F.coalesce("_rows", F.lit(0)) + F.col("_many") - F.lit(1))
+    classes = classes.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("n").alias("_n"), F.coalesce("_component", "rep").alias("_component"), "_links")
     out = sets.join(classes, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("n") == F.col("_n")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _sets_of(rows: DataFrame, words: int) -> DataFrame:
