@@ -7,6 +7,7 @@ Null texts are empty texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-_M = 0x9E3779B97F4A7C15 | 1
-_M_INV = pow(_M, -1, 1 << 64)
-_pow: dict[str, np.ndarray] = {}
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
 
 SPACE_WORDS = np.ones(256, dtype=bool)
 SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
@@ -29,16 +28,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _pow or len(_pow["up"]) < n:
-        size = max(n, 1 << 20)
-        for key, base in (("up", _M), ("down", _M_INV)):
-            x = np.full(size, _U(base))
-            x[0] = 1
-            _pow[key] = np.cumprod(x)
-    return _pow["up"], _pow["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     x = x ^ (x >> _U(30))
@@ -133,15 +122,26 @@ def lines_of(t: Texts) -> Words:
     return Words(start, end, first)
 
 
+def names(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each span among spans of its length: its bytes themselves up to 16 of them, else a cryptographic digest."""
+    size = w.end - w.start
+    if not len(size):
+        return np.zeros(0, _U), np.zeros(0, _U)
+    padded = np.concatenate([t.buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(t.buf) + 1, "<u8", padded, 0, (1,))
+    head = eight[w.start] & _LOW[np.minimum(size, 8)]
+    tail = np.where(size > 8, eight[np.maximum(w.end - 8, 0)], _U(0))
+    far = np.flatnonzero(size > 16)
+    if len(far):
+        raw = b"".join(hashlib.blake2b(t.buf[i:j], digest_size=16).digest() for i, j in zip(w.start[far].tolist(), w.end[far].tolist(), strict=True))
+        head[far], tail[far] = np.frombuffer(raw, "<u8").reshape(-1, 2).T
+    return head, tail
+
+
 def hashes(t: Texts, w: Words) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    n = len(t.buf)
-    if not len(w.start):
-        return np.zeros(0, _U)
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((t.buf.astype(_U) + _U(1)) * up[:n], out=total[1:])
-    return mix((total[w.end] - total[w.start]) * down[w.start] + (w.end - w.start).astype(_U))
+    """A 64-bit hash of each span's bytes. No sum of bytes or words is part of it, so no pattern of repeats makes spans equal."""
+    head, tail = names(t, w)
+    return mix(mix(head + (w.end - w.start).astype(_U) * _U(0x9E3779B97F4A7C15)) ^ mix(tail + _U(0x51ED270B7F4A7C15)))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -13,8 +13,8 @@ def odd(spark):
     long = " ".join(f"w{i % 977}" for i in range(30_000))
     texts = [None, "", " \n\t ", "one", "one", long, long + " end", "é ü 漢字 " * 30, "a\n\na\nb b b b"]
     rows = rows_of(*texts) + [(3, "one", "en", None, None), (None, "one", None, None, None), (3, "one", "en", None, None)]
-    wide = [(*r, 7, "x", 1.0, "y") for r in rows]
-    return spark.createDataFrame(wide, SCHEMA + ", size long, part string, score double, _bin string")
+    wide = [(*r, 7, "x", 1.0, "y", "i", 9, 5, "g", "k") for r in rows]
+    return spark.createDataFrame(wide, SCHEMA + ", size long, part string, score double, _bin string, _id string, _crc long, _k long, _gone string, _kept string")
 
 
 @pytest.fixture(scope="session")
