@@ -9,25 +9,28 @@ candidates: sets that share one, directly or through others, are compared exactl
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..operators.components import components
 from .arrowtext import LOWER, SPACE_WORDS, Texts, hashes, inside, mix, slices, texts_of, windows, words_of
-from .tables import small_batches, written
+from .tables import fresh, small_batches, written
 
 _U = np.uint64
 #: Shingles that one comparing task holds of each of two blocks, about.
 BLOCK = 1_000_000
 #: Bands have so many names.
 TAGS = 128
+#: Sets that a task remembers, to sign copies once; beyond them it starts anew, which costs work and changes nothing.
+SEEN = 1_000_000
 
 
 def shingles(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,26 +53,20 @@ def shingles(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, _U), np.zeros(len(t) + 1, np.int64)
     at, value = np.concatenate(at), np.concatenate(value)
     doc = np.searchsorted(w.first, at, side="right") - 1
-    order = np.argsort(mix(value + doc.astype(_U) * _U(0x9E3779B97F4A7C15)))
+    order = np.argsort(value)
+    order = order[np.argsort(doc[order], kind="stable")]
     doc, value = doc[order], value[order]
     first = np.ones(len(value), dtype=bool)
     first[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     doc, value = doc[first], value[first]
-    order = np.argsort(doc, kind="stable")
-    return value[order], np.searchsorted(doc[order], np.arange(len(t) + 1))
+    return value, np.searchsorted(doc, np.arange(len(t) + 1))
 
 
-def _wrapped(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, _U)
-    np.cumsum(values, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
-
-
-def set_hashes(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that name each document's set, as two signed longs."""
-    hi = _wrapped(mix(value + _U(0x51ED270B)), first)
-    lo = _wrapped(mix(value ^ _U(0xA0761D6478BD642F)), first)
-    return hi.view(np.int64), lo.view(np.int64)
+def set_names(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each document's set, as two signed longs: a cryptographic digest of its sorted shingles."""
+    raw = b"".join(hashlib.blake2b(value[i:j], digest_size=16).digest() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+    hi, lo = np.frombuffer(raw, "<i8").reshape(-1, 2).T
+    return np.ascontiguousarray(hi), np.ascontiguousarray(lo)
 
 
 @dataclass(frozen=True)
@@ -206,8 +203,10 @@ def spanning_links(sets: list[np.ndarray], percent: int, many: np.ndarray, band:
         lists = [post[start[x] : start[x + 1]] for x in f.tolist() if start[x + 1] - start[x] > 1]
         if not lists:
             continue
-        both = np.bincount(np.concatenate(lists), minlength=n)[:i]
-        hits = np.flatnonzero((both > 0) & (100 * both >= percent * (size[:i] + size[i] - both)))
+        met = np.concatenate(lists)
+        # few postings among very many sets are sorted, many are counted
+        near, both = np.unique(met, return_counts=True) if len(met) * 8 < n else (np.arange(n), np.bincount(met, minlength=n))
+        hits = near[(near < i) & (both > 0) & (100 * both >= percent * (size[near] + size[i] - both))]
         here = hits[(np.maximum(band[hits], band[i]) % TAGS == tag) & (same | (own[hits] != own[i]))]
         rows[i] += many[here].sum()
         rows[here] += many[i]
@@ -218,128 +217,158 @@ def spanning_links(sets: list[np.ndarray], percent: int, many: np.ndarray, band:
 
 
 def measured(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (shingles), hi and lo (of the set) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, key (of the text), n (shingles), hi and lo (the set's name) of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
     def scan(batches):
         for whole in batches:
             for b in slices(whole):
-                value, first = shingles(texts_of(b.column(1)), words)
-                hi, lo = set_hashes(value, first)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(hi), pa.array(lo)], names=["doc_id", "n", "hi", "lo"])
+                value, first = shingles(texts_of(b.column(2)), words)
+                hi, lo = set_names(value, first)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(first), pa.int64()), pa.array(hi), pa.array(lo)], names=["doc_id", "key", "n", "hi", "lo"])
 
-    return rows.mapInArrow(scan, StructType([rows.schema[0], *(StructField(x, LongType()) for x in ("n", "hi", "lo"))]))
+    return rows.mapInArrow(scan, StructType([rows.schema[0], *(StructField(x, LongType()) for x in ("key", "n", "hi", "lo"))]))
 
 
-def signed(docs: DataFrame, words: int, method: PartEnum, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, sig) of every set; the node is the doc_id of a row that has it. A task gives each set once, however often it occurs there."""
+def combined(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, signature) rows that link what the given ones do, with one row of a signature that several nodes share.
+
+    The other nodes are tied to its first node by a signature that the two alone have, once for each pair,
+    however many signatures they share. So a hot signature leaves a slice of texts as one row.
+    """
+    order = np.argsort(sig, kind="stable")
+    node, sig = node[order], sig[order]
+    lead = np.ones(len(sig), dtype=bool)
+    lead[1:] = sig[1:] != sig[:-1]
+    of = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    a, b, tag = node[~lead], node[of[~lead]], sig[~lead] & _U(TAGS - 1)
+    own = mix(mix(a.view(_U) + mix(b.view(_U))) + tag)
+    own, at = np.unique((own & ~_U(TAGS - 1)) | tag, return_index=True)
+    return np.concatenate([node[lead], a[at], b[at]]), np.concatenate([sig[lead], own, own])
+
+
+def signed(docs: DataFrame, words: int, method: PartEnum, text_col: str = "text") -> DataFrame:
+    """(node, sig) of every set; the node is the first half of the set's name. A slice of texts gives each set once."""
 
     def scan(batches):
         seen: set[int] = set()
         for whole in batches:
             for b in slices(whole):
-                value, first = shingles(texts_of(b.column(1)), words)
-                hi, _ = set_hashes(value, first)
+                value, first = shingles(texts_of(b.column(0)), words)
+                hi, _ = set_names(value, first)
                 new = np.zeros(len(hi), dtype=bool)
                 for i, x in enumerate(hi.tolist()):
                     if x not in seen:
+                        if len(seen) == SEEN:
+                            seen.clear()
                         seen.add(x)
                         new[i] = True
                 doc, sig = method.signatures(value[np.repeat(new, np.diff(first))], np.concatenate([[0], np.cumsum(np.diff(first)[new])]))
-                node = b.column(0).filter(pa.array(new)).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([node, pa.array(sig.view(np.int64))], names=["node", "sig"])
+                node, sig = combined(hi[new][doc], sig)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sig.view(np.int64))], names=["node", "sig"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, "node long, sig long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(scan, "node long, sig long")
 
 
 def candidates(sigs: DataFrame) -> DataFrame:
     """(a, b, tag) that join all nodes of one signature to its smallest."""
-    from pyspark.sql import Window
-
     low = F.min("node").over(Window.partitionBy("sig"))
     found = sigs.withColumn("b", low).where("node <> b")
     return found.select(F.col("node").alias("a"), "b", F.col("sig").bitwiseAND(F.lit(TAGS - 1)).alias("tag")).distinct()
 
 
-def linked(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (other rows whose set is linked with its own, directly) of every row.
-
-    component_id is the smallest doc_id that links reach; equal sets are linked, a text without words has
-    the empty set and is linked with nothing. A null text is empty; a row of null id takes part, and has the
-    smallest id of its component or null; repeated rows are each returned; an empty table gives none. Other
-    columns are not read. Sets that rows of null id alone have meet no others.
-    """
+def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int) -> DataFrame:
+    """linked(), with the key of each row's text."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(measured(rows, words), "sets")
+    # a class is the rows of one set; its number is fixed as it is written, and is what links are between
     classes = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_many"))
-    copies = sets.join(classes.where("_many > 1").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "rep"), (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")))
-    copies = copies.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "hi", "lo", "n", "rep", "_many"), "classes")
     pairs = written(candidates(signed(rows, words, PartEnum(percent))), "candidates")
-    for side in "ab":
-        known = copies.select(F.col("doc_id").alias("_id"), F.col("rep").alias("_rep"))
-        pairs = pairs.join(known, F.col(side) == F.col("_id"), "left").withColumn(side, F.coalesce("_rep", side)).drop("_id", "_rep")
-    # sets are gathered band by band: a document has a node in each of its two bands, so chains over many sizes don't form
-    pairs = written(pairs.where("a <> b").distinct().withColumns({"u": F.xxhash64("a", "tag"), "v": F.xxhash64("b", "tag")}), "candidates")
+    # sets are gathered band by band: a set has a node in each of its two bands, so chains over many sizes don't form
+    pairs = pairs.select(F.xxhash64("a", "tag").alias("u"), F.xxhash64("b", "tag").alias("v"), "a", "b", "tag")
     coarse = components(pairs.select("u", "v"))
-    nodes = pairs.select(F.col("u").alias("_node"), F.col("a").alias("rep"), "tag").unionByName(pairs.select(F.col("v").alias("_node"), F.col("b").alias("rep"), "tag")).distinct()
-    # where several sets may link: a representative of each, with the blocks it is compared in
-    near = coarse.join(nodes, F.col("node") == F.col("_node")).select("label", "tag", F.col("rep").alias("_rep")).distinct()
-    near = near.join(classes, F.col("_rep") == F.col("rep")).select("label", "tag", "rep", "hi", "lo", "n", "_many")
+    nodes = pairs.select(F.col("u").alias("_node"), F.col("a").alias("_hi"), "tag").unionByName(pairs.select(F.col("v").alias("_node"), F.col("b").alias("_hi"), "tag")).distinct()
+    # where several sets may link: each class, with the blocks it is compared in
+    near = coarse.join(nodes, F.col("node") == F.col("_node")).select("label", "tag", "_hi").distinct()
+    near = near.join(classes, F.col("_hi") == F.col("hi")).select("label", "tag", "cid", "rep", "hi", "lo", "n", "_many")
     total = near.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / block), F.lit(1)).alias("blocks")).withColumnRenamed("label", "_label")
     near = near.join(total, F.col("label") == F.col("_label"))
-    near = written(near.groupBy("rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).agg(F.collect_list(F.struct("label", "tag", "blocks", F.col("_many").alias("many"))).alias("groups")), "near")
+    near = written(near.groupBy("cid", "rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).agg(F.collect_list(F.struct("label", "tag", "blocks", F.col("_many").alias("many"))).alias("groups")), "near")
     # near grows with the corpus: it is never broadcast
-    features = _sets_of(rows.join(near.hint("merge"), F.col("doc_id") == F.col("rep")), words)
-    features = features.select("rep", "features", F.inline("groups"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    features = _sets_of(rows.join(near.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))), words)
+    features = features.select("cid", "features", F.inline("groups"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     pairs = features.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    pairs = pairs.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "tag", "many", "own", "rep", "features")
+    pairs = pairs.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "tag", "many", "own", "cid", "features")
 
     def compare(part: pa.Table) -> pa.Table:
-        part = part.sort_by("rep")
-        rep, col = part.column("rep").to_pylist(), lambda n: part.column(n).to_numpy()
+        part = part.sort_by("cid")
+        cid = part.column("cid").to_numpy()
+        # a row that is repeated brings its set again
+        part = part.filter(pa.array(np.concatenate([[True], cid[1:] != cid[:-1]])))
+        cid, col = part.column("cid").to_pylist(), lambda n: part.column(n).to_numpy()
         sets = [np.frombuffer(x, np.int64) for x in part.column("features").to_pylist()]
         size = np.array([len(x) for x in sets])
         band = np.searchsorted(PartEnum(percent).bands(int(size.max())), size)
         found, rows = spanning_links(sets, percent, col("many"), band, col("own"), int(col("tag")[0]), bool(col("a")[0] == col("b")[0]))
         some = np.flatnonzero(rows).tolist()
-        u, v = [rep[i] for i, _ in found] + [rep[i] for i in some], [rep[j] for _, j in found] + [None] * len(some)
+        u, v = [cid[i] for i, _ in found] + [cid[i] for i in some], [cid[j] for _, j in found] + [None] * len(some)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "rows": pa.array([None] * len(found) + rows[some].tolist(), pa.int64())})
 
     # a row is a link of the forest (u, v) or says with how many rows u is linked (rows)
     links = written(pairs.groupBy("label", "a", "b").applyInArrow(compare, "u long, v long, rows long"), "links")
-    joined = components(links.where("v is not null").select("u", "v")).select(F.col("node"), F.col("label").alias("_component"))
+    joined = components(links.where("v is not null").select("u", "v")).select(F.col("node"), F.col("label").alias("_class"))
+    low = joined.join(classes.select("cid", "rep"), F.col("node") == F.col("cid")).groupBy(F.col("_class").alias("_low")).agg(F.min("rep").alias("_component"))
+    joined = joined.join(low, F.col("_class") == F.col("_low")).select("node", "_component")
     counts = links.where("rows is not null").groupBy(F.col("u").alias("_u")).agg(F.sum("rows").alias("_rows"))
-    classes = classes.join(counts, F.col("rep") == F.col("_u"), "left").withColumn("_links", F.coalesce("_rows", F.lit(0)) + F.col("_many") - F.lit(1))
-    classes = classes.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("n").alias("_n"), F.coalesce("_component", "rep").alias("_component"), "_links")
-    out = sets.join(classes, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("n") == F.col("_n")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+    known = classes.join(counts, F.col("cid") == F.col("_u"), "left").withColumn("_links", F.coalesce("_rows", F.lit(0)) + F.col("_many") - F.lit(1))
+    known = known.join(joined, F.col("cid") == F.col("node"), "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("n").alias("_n"), F.coalesce("_component", "rep").alias("_component"), "_links")
+    out = sets.join(known, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("n") == F.col("_n")), "left")
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _sets_of(rows: DataFrame, words: int) -> DataFrame:
-    """groups, rep and features (the set as bytes) of rows whose text has the set that _hi and _lo name."""
+    """groups, cid and features (the set as bytes) of rows whose text has the set that _hi and _lo name."""
 
     def scan(batches):
         for whole in batches:
             for b in slices(whole):
-                value, first = shingles(texts_of(b.column(b.schema.get_field_index("text"))), words)
-                hi, lo = set_hashes(value, first)
                 col = lambda n: b.column(b.schema.get_field_index(n))  # noqa: E731, B023
+                value, first = shingles(texts_of(col("text")), words)
+                hi, lo = set_names(value, first)
                 keep = np.flatnonzero((hi == col("_hi").to_numpy()) & (lo == col("_lo").to_numpy()))
                 raw = [value[first[i] : first[i + 1]].tobytes() for i in keep.tolist()]
                 at = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([col("groups").take(at), col("rep").take(at), pa.array(raw, pa.binary())], names=["groups", "rep", "features"])
+                yield pa.RecordBatch.from_arrays([col("groups").take(at), col("cid").take(at), pa.array(raw, pa.binary())], names=["groups", "cid", "features"])
+
+    return rows.mapInArrow(scan, StructType([rows.schema["groups"], StructField("cid", LongType()), StructField("features", BinaryType())]))
 
-    return rows.mapInArrow(scan, StructType([rows.schema["groups"], StructField("rep", LongType()), StructField("features", BinaryType())]))
+
+def linked(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (other rows whose set is linked with its own, directly) of every row.
+
+    component_id is the smallest doc_id that links reach; equal sets are linked, a text without words has
+    the empty set and is linked with nothing. A null text is empty; texts of any length are read whole; a row
+    of null id takes part, and has the smallest id of its component or null; repeated rows are each returned
+    and count as linked with each other; rows of one id with different texts each have the component of their own
+    text; ids may be of any type that has an order; an empty table gives none. Other columns are not read.
+    """
+    return _judged(docs, words, percent, id_col, text_col, block).drop("key")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows that repeat such an id all stay, as does a null id."""
-    found = linked(docs, words, percent)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs whose doc_id is the smallest of its component.
+
+    Null and empty texts stay, as do rows of a null id whose component has no other id; a null id with a copy that has one goes.
+    Of repeated rows of the smallest id all stay; rows of one id with different texts are judged each. An
+    empty table stays empty; columns keep their names and values, whatever they are called.
+    """
+    found = _judged(docs, words, percent, "doc_id", "text", BLOCK)
+    own_id, own_key = fresh(docs, "gone_id", "gone_key")
+    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)), "left_anti")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -119,3 +119,37 @@ def test_odd_rows(odd, none):
     assert len({r.component_id for r in got if r.doc_id in (5, 6)}) == 1
     assert jaccard.linked(none).count() == 0 and jaccard.one_of_each(none).count() == 0
     assert jaccard.one_of_each(odd).columns == odd.columns
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_repeating_patterns_stay_apart(spark):
+    a, b = thue_morse(2048)
+    common = " ".join(f"w{i}" for i in range(6))
+    frame = spark.createDataFrame([(1, f"{common} {a} {common}"), (2, f"{common} {b} {common}")], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.linked(frame).collect()} == {1, 2}
+
+
+def test_rows_that_repeat_an_id_keep_their_links(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a), (5, b), (9, b + " more")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.linked(frame).collect()) == [(1, 1), (5, 1), (5, 5), (9, 5)]
+    assert sorted((r.doc_id, r.text) for r in jaccard.one_of_each(frame).collect()) == [(1, a), (5, b)]
+    words = spark.createDataFrame([(f"k{i}", t) for i, t in rows], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.linked(words).collect()) == [("k1", "k1"), ("k5", "k1"), ("k5", "k5"), ("k9", "k5")]
+
+
+def test_hot_signatures_are_combined():
+    node = np.array([7, 5, 9, 7, 5, 9, 3])
+    sig = np.array([256, 256, 256, 512, 512, 512, 384], np.uint64)
+    n, s = jaccard.combined(node, sig)
+    assert sorted(s.tolist())[:3] != [256, 256, 256] and np.count_nonzero(s == 256) == np.count_nonzero(s == 512) == 1
+    own = {}
+    for x, y in zip(n.tolist(), s.tolist(), strict=True):
+        own.setdefault(y, set()).add(x)
+    groups = [set(x) for x in own.values() if len(x) > 1]
+    assert {frozenset(g) for g in groups} == {frozenset({7, 5}), frozenset({7, 9})}
