@@ -138,10 +138,15 @@ def names(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray]:
     return head, tail
 
 
+def hashed(head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of names and lengths."""
+    return mix(mix(head + size * _U(0x9E3779B97F4A7C15)) ^ mix(tail + _U(0x51ED270B7F4A7C15)))
+
+
 def hashes(t: Texts, w: Words) -> np.ndarray:
     """A 64-bit hash of each span's bytes. No sum of bytes or words is part of it, so no pattern of repeats makes spans equal."""
     head, tail = names(t, w)
-    return mix(mix(head + (w.end - w.start).astype(_U) * _U(0x9E3779B97F4A7C15)) ^ mix(tail + _U(0x51ED270B7F4A7C15)))
+    return hashed(head, tail, (w.end - w.start).astype(_U))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .arrowtext import Texts, Words, hashes, slices, sums, texts_of
+from .arrowtext import Texts, Words, hashed, names, slices, sums, texts_of
 
 MAGIC = b"SWTK"
 _HEAD = struct.Struct("<4sHHIIIQQQIIII")
@@ -78,6 +78,20 @@ def unpack(data: bytes) -> tuple[int, int, int, list[int | None], np.ndarray, It
     return part, file, before, [int(i) if k else None for i, k in zip(ids, known, strict=True)], counts, blocks()
 
 
+def block_of(data: bytes, number: int) -> np.ndarray:
+    """The tokens of one block, decoded without the others: the directory says where it lies, its end states are where decoding starts."""
+    head = _HEAD.unpack_from(data)
+    n_freq, n_index, n_blocks, n_symbols = head[9:13]
+    end = _HEAD.size + n_freq + n_index + n_blocks
+    freq = np.frombuffer(zlib.decompress(data[_HEAD.size : _HEAD.size + n_freq]), "<u4")
+    table = rans.Table(freq[:n_symbols], freq[n_symbols:].astype(np.int64))
+    n, width, offset, n_words, crc = struct.unpack_from("<IIQII", data, end - n_blocks + number * struct.calcsize("<IIQII"))
+    own = data[end + 4 + offset : end + 4 + offset + 8 * width + 4 * n_words]
+    if zlib.crc32(own) != crc:
+        raise ValueError("block checksum fails")
+    return rans.decode(np.frombuffer(own, "<u8", width).astype(np.uint64), np.frombuffer(own, "<u4", n_words, 8 * width), n, table, table.slots())
+
+
 def documents_of(counts: np.ndarray, blocks: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
     """Each document's tokens; never more than a block and a document at once."""
     rest = np.zeros(0, np.uint32)
@@ -110,7 +124,8 @@ class Encoder:
 
     Cut before a blank that follows a non-blank, a text's pieces tokenize alone as they do within it,
     as no pre-token spans such a cut. So new pieces go to the tokenizer as one text; the bytes that each
-    id stands for tell where a piece ends. Pieces are known by a 64-bit hash of their bytes.
+    id stands for tell where a piece ends. Pieces are found by a 64-bit hash and known by their bytes (by a
+    cryptographic digest beyond 16 of them); a slice in which a hash is not a piece's own is tokenized as it is.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -128,6 +143,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.hash = np.zeros(0, np.uint64)
+        #: Of each piece: its name and its length in bytes.
+        self.name = np.zeros((0, 3), np.uint64)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.dtype)
@@ -135,8 +152,8 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, t: Texts, w: Words, h: np.ndarray) -> None:
-        """Adds the distinct pieces w of t, of hashes h, to the table."""
+    def learn(self, t: Texts, w: Words, h: np.ndarray, name: np.ndarray) -> None:
+        """Adds the distinct pieces w of t, of hashes h and names, to the table."""
         size = w.end - w.start
         safe = (t.buf[w.start] == 0x20) & ~_blank_before(t.buf, w.end)
         one = np.flatnonzero(safe)
@@ -159,6 +176,7 @@ class Encoder:
         self.ids = np.concatenate([self.ids, *own, *late])
         everything = np.concatenate([self.hash, h[order]])
         by = np.argsort(everything, kind="stable")
+        self.name = np.concatenate([self.name, name[order]])[by]
         self.hash, self.start, self.size = everything[by], np.concatenate([self.start, start])[by], np.concatenate([self.size, count[order].astype(np.int32)])[by]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +193,9 @@ class Encoder:
         w = Words(edge[:-1], edge[1:], np.searchsorted(edge, t.offsets))
         if not len(w.start):
             return np.zeros(0, self.dtype), np.zeros(len(t), np.int64)
-        each, first, which = np.unique(hashes(t, w), return_index=True, return_inverse=True)
+        head, tail = names(t, w)
+        name = np.stack([head, tail, (w.end - w.start).astype(np.uint64)], 1)
+        each, first, which = np.unique(hashed(*name.T), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hash, each)
         new = (at == len(self.hash)) | (self.hash[np.minimum(at, max(len(self.hash) - 1, 0))] != each if len(self.hash) else True)
         if new.any():
@@ -183,8 +203,11 @@ class Encoder:
                 self.forget()
                 new = np.ones(len(each), dtype=bool)
             i = first[new]
-            self.learn(t, Words(w.start[i], w.end[i], w.first), each[new])
+            self.learn(t, Words(w.start[i], w.end[i], w.first), each[new], name[i])
             at = np.searchsorted(self.hash, each)
+        if (self.name[at][which] != name).any():
+            out = self.plain([x or "" for x in column.to_pylist()])
+            return np.concatenate([np.zeros(0, self.dtype), *out]), np.array([len(x) for x in out], np.int64)
         start, size = self.start[at][which], self.size[at][which].astype(np.int64)
         return self.ids[_pool(start, size)], sums(size, w.first)
 
@@ -209,8 +232,9 @@ def encoder(vocabulary: str) -> Encoder:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, file_tokens: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text and writes files in ascending doc_id order to path.
 
-    A null or empty text is its end id alone. Null ids come first; rows of one id stand in the order of
-    their texts. An empty table gives no file. Other columns are not read. vocabulary: an absolute path,
+    A null or empty text is its end id alone; a text of any length is encoded whole and lies in one file.
+    Null ids come first; rows of one id stand in the order of a hash of their texts, repeated rows next to
+    each other. An empty table gives no file. Other columns are not read. vocabulary: an absolute path,
     or a name in public_tokenizers.
     """
     spark = docs.sparkSession

@@ -68,3 +68,19 @@ def test_odd_rows(odd, none, tokenizer):
     assert sorted((i is not None, i or 0, n, c) for i, _, n, c in got) == sorted((i is not None, i or 0, n, c) for i, _, n, c in want)
     assert sorted(s for _, s, _, _ in got)[-1] + 1 <= sum(n for _, _, n, _ in got)
     assert tokenfiles.token_files(none).count() == 0
+
+
+def test_texts_of_repeating_patterns_have_ids_of_their_own():
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = "".join("ba"[bin(i).count("1") % 2] for i in range(2048))
+    tool = tokenfiles.encoder("byte_bpe_50k.json")
+    ids, n = tool.encode(pa.array([a, b, "x " + b]))
+    want = [tool.tokenizer.encode(x, add_special_tokens=False).ids for x in (a, b, "x " + b)]
+    assert np.split(ids, np.cumsum(n)[:-1])[1].tolist() == want[1] and ids.tolist() == sum(want, [])
+
+
+def test_a_block_is_decoded_on_its_own():
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(0, 50_000, 20_000).astype(np.uint16)
+    data = tokenfiles.pack([1, 2], np.array([5_000, 15_000]), tokens, 0, 0, 0, block=4096)
+    assert tokenfiles.block_of(data, 3).tolist() == tokens[3 * 4096 : 4 * 4096].tolist()
