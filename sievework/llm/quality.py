@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .arrowtext import Texts, covered, hashes, inside, lines_of, mix, slices, sums, texts_of, windows, words_of
 
@@ -81,7 +82,7 @@ def statistics(t: Texts) -> dict[str, np.ndarray]:
         "n_symbols": count(_SYMBOL),
         "n_dup_lines": np.bincount(line_doc, minlength=n) - _distinct(line_doc, line_hash, n),
         "n_repeat_words": sums(twice, w.first),
-        "n_marked": sums(within(_SYMBOL) > 0, w.first),
+        "n_marked": sums((within(_SYMBOL) > 0) & (within(_SPELT) > 0), w.first),
         "n_bare": sums(within(_SPELT) == 0, w.first),
         "n_upper": count(_UPPER),
         "n_letters": count(_LETTER),
@@ -111,10 +112,9 @@ class Rule:
         return np.where(x >= self.good, 1, np.where(x <= self.bad, 2, 0))
 
 
+#: No two rules read the same words or characters for the same thing: marked words have letters, words without letters have none.
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", 0.02, 0.2),
-    Rule("marked words", "n_marked", "n_words", 0.02, 0.1),
-    Rule("symbol characters", "n_symbols", "word_chars", 0.01, 0.05),
+    Rule("marked words", "n_marked", "n_words", 0.02, 0.2),
     Rule("words without letters", "n_bare", "n_words", 0.1, 0.3),
     Rule("capitals", "n_upper", "n_letters", 0.2, 0.5),
     Rule("shouting", "n_bangs", "n_words", 0.05, 0.3),
@@ -127,6 +127,10 @@ RULES = (
 )
 
 
+#: The largest share of good documents that a rule is taken to object to.
+MISTAKES = 0.005
+
+
 def patterns(s: dict[str, np.ndarray], rules: tuple[Rule, ...]) -> np.ndarray:
     """Votes as one number, a base-3 digit for each rule."""
     out = np.zeros(len(s["n_words"]), np.int64)
@@ -135,8 +139,24 @@ def patterns(s: dict[str, np.ndarray], rules: tuple[Rule, ...]) -> np.ndarray:
     return out
 
 
-def fit(counts: dict[int, int], rules: int, rounds: int = 100) -> dict[int, float]:
-    """The posterior of "good" for each pattern, by expectation-maximisation over all documents.
+@dataclass(frozen=True)
+class Fit:
+    """posterior: of "good", for each pattern. good, bad: for each rule, the probabilities that it abstains, votes good, votes bad on such documents."""
+
+    posterior: dict[int, float]
+    prior: float
+    good: np.ndarray
+    bad: np.ndarray
+
+    def accuracies(self, rules: tuple[Rule, ...]) -> dict[str, float]:
+        """How often each rule is right where it votes, by the estimate."""
+        right = self.prior * self.good[:, 1] + (1 - self.prior) * self.bad[:, 2]
+        votes = self.prior * self.good[:, 1:].sum(1) + (1 - self.prior) * self.bad[:, 1:].sum(1)
+        return {r.name: float(x) for r, x in zip(rules, right / votes, strict=True)}
+
+
+def fit(counts: dict[int, int], rules: int, rounds: int = 100, mistakes: float = MISTAKES) -> Fit:
+    """Expectation-maximisation over the documents that are in question: counts may be 0 for patterns of others, which get a posterior too.
 
     A rule has three outcomes (abstains, good, bad) with probabilities of their own on good and on bad
     documents. It starts from how many rules object: none, one or more. A rule may not object more often
@@ -145,23 +165,27 @@ def fit(counts: dict[int, int], rules: int, rounds: int = 100) -> dict[int, floa
     """
     keys = sorted(counts)
     if not keys:
-        return {}
+        return Fit({}, 0.5, np.full((rules, 3), 1 / 3), np.full((rules, 3), 1 / 3))
     n = np.array([counts[k] for k in keys], float)
     digits = np.array([[k // 3 ** (rules - 1 - j) % 3 for j in range(rules)] for k in keys])
     votes = np.stack([digits == v for v in range(3)], 2).astype(float)
     p = np.array([0.95, 0.3, 0.05])[np.minimum((digits == 2).sum(1), 2)]
-    every = (n @ votes.reshape(len(keys), -1)).reshape(rules, 3) / n.sum()
+    every = (n @ votes.reshape(len(keys), -1) + 1e-9).reshape(rules, 3) / (n.sum() + 3e-9)
     for _ in range(rounds):
         a, b = n * p, n * (1 - p)
         # smoothed by two documents that vote as the whole corpus does
         good = ((a @ votes.reshape(len(keys), -1)).reshape(rules, 3) + 2 * every + 1e-3) / (a.sum() + 2 + 3e-3)
         bad = ((b @ votes.reshape(len(keys), -1)).reshape(rules, 3) + 2 * every + 1e-3) / (b.sum() + 2 + 3e-3)
+        # what a rule objects to beyond its mistakes must be bad documents: without this, rules that never object together tell the classes nothing
+        over = np.maximum(good[:, 2] - mistakes, 0)
+        good[:, 2] -= over
+        good[:, 1] += over
         wrong = good[:, 2] > bad[:, 2]
         good[wrong] = bad[wrong] = every[wrong] + 1e-9
         prior = float(np.clip((a.sum() + 1) / (n.sum() + 2), 0.01, 0.99))
         odds = math.log(prior / (1 - prior)) + np.einsum("krv,rv->k", votes, np.log(good / bad))
         p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-    return dict(zip(keys, p.tolist(), strict=True))
+    return Fit(dict(zip(keys, p.tolist(), strict=True)), prior, good, bad)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -179,8 +203,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     return rows.mapInArrow(scan, StructType([rows.schema[0], *(StructField(n, LongType()) for n in names)]))
 
 
-def posteriors(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> dict[int, float]:
-    counts = {r["pattern"]: r["n"] for r in measures.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fitted(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> Fit:
+    """From (pattern, passes) of all documents. Those that fail the base limits go whatever the rules say, so the two classes are those of the others."""
+    counts = {r["pattern"]: r["n"] for r in measures.groupBy("pattern").agg(F.sum(F.col("passes").cast("long")).alias("n")).collect()}
     return fit(counts, len(rules))
 
 
@@ -192,33 +217,43 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """doc_id, BASE, MORE, base_failed, p_good and kept of every row.
 
     kept: not base_failed, and the posterior is `least` or more. A null text has no words and fails the
-    base, as does an empty one; repeated rows count and are judged each; an empty table gives none. Other
-    columns are not read.
+    base, as does an empty one; texts of any length are measured whole; repeated rows count and are judged
+    each; documents of equal votes share a verdict; an empty table gives none. Other columns are not read.
     """
     from .tables import written
 
     m = written(measured(docs, id_col, text_col, rules), "quality")
-    spark = docs.sparkSession
-    known = posteriors(m, rules)
-    table = spark.createDataFrame(sorted(known.items()), "_pattern long, p_good double")
+    table = docs.sparkSession.createDataFrame(sorted(fitted(m.select("pattern", (~base_failed()).alias("passes")), rules).posterior.items()), "_pattern long, p_good double")
     out = m.join(F.broadcast(table), F.col("pattern") == F.col("_pattern")).withColumn("base_failed", base_failed())
     return out.select("doc_id", *BASE, *MORE, "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= least)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """The rows of docs that judged() keeps. The verdict is a function of the text and the pattern table, so no join is needed."""
-    known = posteriors(measured(docs, docs.columns[0], text_col, rules).select("pattern"), rules)
-    at = docs.columns.index(text_col)
+    """The rows of docs that judged() keeps, with its treatment of nulls, empty, long and repeated texts; an empty table stays empty.
+
+    Texts are measured once: rows that pass the base limits are written with their votes, and the posterior
+    of their votes is joined to them. Columns of docs keep their names and values.
+    """
+    from .tables import fresh, written
+
+    at, names = docs.columns.index(text_col), docs.columns
+    pattern, base, own, p = fresh(docs, "pattern", "passes", "votes", "p_good")
 
     def scan(batches):
         for whole in batches:
             for b in slices(whole, text_col):
                 s = statistics(texts_of(b.column(at)))
-                p = np.array([known.get(k, 0.0) for k in patterns(s, rules).tolist()])
-                keep = (p >= least) & (s["n_words"] >= 50) & (100 * s["n_repeat_words"] <= 50 * s["n_words"])
-                yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(scan, docs.schema)
+                passes = (s["n_words"] >= 50) & (100 * s["n_repeat_words"] <= 50 * s["n_words"])
+                # a row that fails has its votes counted, and no need of its text
+                texts = pc.if_else(pa.array(passes), b.column(at), pa.scalar(None, b.column(at).type))
+                columns = [texts if i == at else b.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(patterns(s, rules)), pa.array(passes)], names=[*names, pattern, base])
+
+    m = written(docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(pattern, LongType()), StructField(base, BooleanType())])), "quality")
+    known = fitted(m.select(F.col(pattern).alias("pattern"), F.col(base).alias("passes")), rules).posterior
+    table = docs.sparkSession.createDataFrame(sorted(known.items()), f"`{own}` long, `{p}` double")
+    out = m.where(F.col(base)).join(F.broadcast(table), F.col(pattern) == F.col(own)).where(F.col(p) >= least)
+    return out.select(*(F.col(f"`{n}`") for n in names))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
