@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-A source's documents, in a fixed order, are one run of tokens cut in blocks of equal size. Seats
-(blocks to take) go to sources by the highest quotients target / (2 seats + 1). As that rule is
+A source's documents, in a fixed order, are one run of tokens cut in blocks of equal size (BLOCK; a source
+too small for that has a smaller block of its own, and its seats count those). Seats (blocks to
+take) go to sources by the highest quotients target / (2 seats + 1). As that rule is
 house-monotone, the seats of the first k shards are a prefix of those of the first k + 1: their
 differences are each shard's integer quotas. Seat j of a source takes block perm(j mod blocks),
 where perm is a seeded permutation, so a source of more seats than blocks repeats blocks evenly.
@@ -28,11 +29,12 @@ MOST_SOURCES = 200_000
 
 @dataclass(frozen=True)
 class Plan:
-    """Of one source: size and target in tokens, blocks it has, seats it gets, seats up to and including each shard."""
+    """Of one source: size and target in tokens, tokens a block, blocks it has, seats it gets, seats up to and including each shard."""
 
     source: str | None
     size: int
     target: float
+    block: int
     blocks: int
     seats: int
     upto: tuple[int, ...]
@@ -82,32 +84,38 @@ def sainte_lague(weights: list[float], seats: int) -> list[int]:
         out[-max(free)[1]] += 1
 
 
-def block_size(sizes: list[int], largest: int = 1024, smallest: int = 16, parts: int = 256) -> int:
-    """Tokens a block: the smallest source has `parts` blocks where `largest` and `smallest` allow."""
-    have = [n for n in sizes if n > 0]
-    return max(smallest, min(largest, min(have, default=smallest) // parts))
+#: Tokens a block.
+BLOCK = 512
+#: A source that has fewer blocks than this is cut in smaller ones of its own, so that it can meet its target.
+LEAST_BLOCKS = 64
 
 
-def plan(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 0) -> tuple[int, list[Plan]]:
+def own_block(size: int, block: int = BLOCK) -> int:
+    """Tokens a block of a source of that size; other sources have no part in it."""
+    return max(1, min(block, size // LEAST_BLOCKS))
+
+
+def plan(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 0) -> list[Plan]:
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     size = [sizes[s] for s in names]
     target = targets(size, [float(weights[i % len(weights)]) for i in range(len(names))], share, most)
-    block = block_size(size)
-    blocks = [-(-n // block) for n in size]
+    block = [own_block(n) for n in size]
+    blocks = [-(-n // own) for n, own in zip(size, block, strict=True)]
     claim = [t * b / n if n else 0.0 for t, b, n in zip(target, blocks, size, strict=True)]
     seats = round(sum(claim))
     upto = [sainte_lague(claim, seats * (k + 1) // shards) for k in range(shards)]
-    return block, [Plan(s, size[i], target[i], blocks[i], min(upto[-1][i], int(most * blocks[i])), tuple(u[i] for u in upto), seed + 1 + i) for i, s in enumerate(names)]
+    return [Plan(s, size[i], target[i], block[i], blocks[i], min(upto[-1][i], int(most * blocks[i])), tuple(u[i] for u in upto), seed + 1 + i) for i, s in enumerate(names)]
 
 
-def taken(start: np.ndarray, size: np.ndarray, source: np.ndarray, plans: list[Plan], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def taken(start: np.ndarray, size: np.ndarray, source: np.ndarray, plans: list[Plan]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each overlap of a document with a block: its document, first and end token within it, the times it is taken, and the first seat that takes it."""
+    block = np.array([p.block for p in plans], np.int64)[source]
     first = start // block
     many = np.where(size > 0, (start + size - 1) // block - first + 1, 0)
     doc = np.repeat(np.arange(len(start)), many)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
-    low = np.maximum(at * block, start[doc]) - start[doc]
-    high = np.minimum((at + 1) * block, start[doc] + size[doc]) - start[doc]
+    low = np.maximum(at * block[doc], start[doc]) - start[doc]
+    high = np.minimum((at + 1) * block[doc], start[doc] + size[doc]) - start[doc]
     times, seats = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
     of = source[doc]
     for s in np.unique(of):
@@ -167,14 +175,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     """doc_id, size (words), source, source_size, target (its source's, in words), taken and shard_words (array<long>) of every row.
 
     Weights repeat over sources in code point order, null last. taken counts repeats and is at most `most`
-    x size; shard_words has the words of it that each shard takes. A null or empty text has size 0 and is never taken; a null source is a source; rows with
-    equal id and size are interchangeable; an empty table gives none. Other columns are not read.
+    x size; shard_words has the words of it that each shard takes. A null or empty text has size 0 and is
+    never taken; a text of any length is counted whole and cut where blocks end; a null source is a source;
+    repeated rows are rows like others, and which of them a block falls on is arbitrary; an empty table
+    gives none. Other columns are not read.
     """
     from .tables import written
 
     spark = docs.sparkSession
     rows = written(measured(docs, id_col, text_col, source_col), "mix-sizes")
-    return _mix(spark, rows, weights, share, most, shards, seed)[0]
+    return _mix(spark, rows, weights, share, most, shards, seed)
 
 
 def _sizes(rows: DataFrame) -> dict[str | None, int]:
@@ -184,8 +194,8 @@ def _sizes(rows: DataFrame) -> dict[str | None, int]:
     return {r["source"]: int(r["n"] or 0) for r in found}
 
 
-def _mix(spark, rows: DataFrame, weights, share, most, shards, seed, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int, list[Plan]]:
-    block, plans = plan(_sizes(rows), weights, share, most, shards, seed)
+def _mix(spark, rows: DataFrame, weights, share, most, shards, seed, extra: tuple[str, ...] = ()) -> DataFrame:
+    plans = plan(_sizes(rows), weights, share, most, shards, seed)
     known = spark.createDataFrame([(i, p.source, p.size, p.target) for i, p in enumerate(plans)], "_k int, _name string, source_size long, target double")
     rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_name")))
     with_bins, bins = placed(rows, F.col("_k"), F.col("size"), ["doc_id", "crc", "size"])
@@ -197,13 +207,13 @@ def _mix(spark, rows: DataFrame, weights, share, most, shards, seed, extra: tupl
             col = lambda n: b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
             start, size = col("start").astype(np.int64), col("size").astype(np.int64)
             k = col("k").astype(np.int64)
-            doc, low, high, times, seats = taken(start, size, k, plans, block)
+            doc, low, high, times, seats = taken(start, size, k, plans)
             got = sums((high - low) * times, np.searchsorted(doc, np.arange(len(start) + 1)))
             words = dealt(doc, high - low, times, seats, k, plans)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * words.shape[1], pa.int32()), pa.array(words.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int64()), lists], names=[*b.schema.names, "taken", "shard_words"])
 
-    return joined.mapInArrow(take, StructType([*joined.schema.fields, StructField("taken", LongType()), StructField("shard_words", ArrayType(LongType()))])), block, plans
+    return joined.mapInArrow(take, StructType([*joined.schema.fields, StructField("taken", LongType()), StructField("shard_words", ArrayType(LongType()))]))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
@@ -216,14 +226,19 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **rules) -> DataFrame:
     """The mix itself, with the columns of docs: a document's text is what the mix takes of it, once for each time.
 
     The first row of a document has the words of blocks taken at least once, a second those taken twice.
-    Words not cut keep what stands between them; a document of which nothing is taken has no row.
+    Words not cut keep what stands between them; a document of which nothing is taken has no row, nor has a
+    null or empty text. Long texts are cut where blocks end; a null source is a source; repeated rows are
+    rows like others; an empty table stays empty. Columns of docs keep their names and values.
     """
     from .tables import written
 
-    spark, names = docs.sparkSession, docs.columns
+    spark, given = docs.sparkSession, docs.columns
+    # the columns have names of their own in here, so none of docs can clash
+    docs = docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text", "source") else f"given {i}") for i, c in enumerate(given)))
+    names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     sizes = written(measured(docs, "doc_id", "text", "source"), "mix-sizes")
-    block, plans = plan(_sizes(sizes), seed=seed, **rules)
+    plans = plan(_sizes(sizes), seed=seed, **rules)
     known = spark.createDataFrame([(i, p.source) for i, p in enumerate(plans)], "_k int, _name string")
     keyed = lambda d: d.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     with_bins, bins = placed(keyed(sizes), F.col("_k"), F.col("size"), ["doc_id", "crc", "size"])
@@ -243,7 +258,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **rules) -> DataFrame:
                 size = w.counts().astype(np.int64)
                 start = b.column(b.schema.get_field_index("_start")).to_numpy(zero_copy_only=False).astype(np.int64)
                 k = b.column(b.schema.get_field_index("_k")).to_numpy(zero_copy_only=False).astype(np.int64)
-                doc, low, high, times, _ = taken(start, size, k, plans, block)
+                doc, low, high, times, _ = taken(start, size, k, plans)
                 rows, texts = [], []
                 at = np.searchsorted(doc, np.arange(len(start) + 1))
                 for i in range(len(start)):
@@ -259,7 +274,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **rules) -> DataFrame:
                 j = names.index("text")
                 yield pa.RecordBatch.from_arrays([pa.array(texts, out.column(j).type) if c == j else out.column(c) for c in range(len(names))], names=names)
 
-    return full.mapInArrow(cut, docs.schema)
+    return full.mapInArrow(cut, docs.schema).toDF(*given)
 
 
 def _pieces(t, w, first: int, low: np.ndarray, high: np.ndarray) -> str:
