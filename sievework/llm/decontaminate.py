@@ -22,6 +22,10 @@ from .automaton import SuffixAutomaton
 WINDOW = 13
 #: Words of test items in one automaton; more items are cut into shards, each broadcast alone.
 SHARD_WORDS = 400_000
+#: Bytes of text for which the automata of several shards are built once.
+TOGETHER = 32 << 20
+#: Words of all items together, of 8 bytes each, that are sent to every executor; larger benchmarks are refused.
+MOST_ITEM_WORDS = 16_000_000
 
 
 def normal_words(t: Texts) -> tuple[Texts, Words, np.ndarray]:
@@ -33,8 +37,8 @@ def normal_words(t: Texts) -> tuple[Texts, Words, np.ndarray]:
 class Matcher:
     """The automaton of some items, each a list of word hashes."""
 
-    def __init__(self, items: list[tuple[int, list[int]]], window: int = WINDOW):
-        items = [(i, words) for i, words in items if words]
+    def __init__(self, items: list[tuple[int, list[int] | np.ndarray]], window: int = WINDOW):
+        items = [(i, list(map(int, words))) for i, words in items if len(words)]
         self.window = window
         self.least = min([window, *(len(words) for _, words in items)])
         self.gram = max(1, min(4, self.least))
@@ -101,24 +105,40 @@ class Matcher:
         return out
 
 
-def _shards(benchmark: DataFrame) -> tuple[list[str], list[list[tuple[int, list[int]]]]]:
+def _shards(benchmark: DataFrame) -> tuple[list[str], list[list[tuple[int, np.ndarray]]]]:
     """Item ids as strings, and items by shard: (position of the id, hashes of its words)."""
     rows = benchmark.select(F.col("item_id").cast("string"), "text").where(F.col("text").isNotNull())
     ids: list[str] = []
-    shards: list[list[tuple[int, list[int]]]] = [[]]
-    size = 0
+    shards: list[list[tuple[int, np.ndarray]]] = [[]]
+    size = total = 0
     for r in rows.toLocalIterator():
         _, _, h = normal_words(texts_of(pa.array([r[1]])))
         if len(h):
             if size + len(h) > SHARD_WORDS and shards[-1]:
                 shards.append([])
                 size = 0
-            shards[-1].append((len(ids), h.tolist()))
-            size += len(h)
+            shards[-1].append((len(ids), h))
+            size, total = size + len(h), total + len(h)
             ids.append(r[0] or "")
+            if total > MOST_ITEM_WORDS:
+                raise ValueError(f"the benchmark has more than {MOST_ITEM_WORDS} words; decontaminate against parts of it in turn")
     return ids, shards
 
 
+def _groups(batches: Iterator[pa.RecordBatch], text_col: str, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of texts, as many at once as hold `most` bytes."""
+    group, size = [], 0
+    for whole in batches:
+        for b in slices(whole, text_col):
+            group.append(b)
+            size += b.nbytes
+            if size >= most:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, schema: StructType, emit) -> DataFrame:
     """One pass over docs: emit(batch, words, hit marks, items of each row, item ids) makes the batch that comes out."""
     from .tables import small_batches
@@ -126,25 +146,28 @@ def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, schema: StructTy
     spark = docs.sparkSession
     small_batches(spark)
     ids, shards = _shards(benchmark)
-    # one shard's automaton is built at a time in a worker; what is sent is the items' hashes alone
-    sent = [spark.sparkContext.broadcast(s) for s in shards]
+    # what is sent is the items' hashes, within MOST_ITEM_WORDS; a worker holds one shard's automaton at a time
+    sent, names = [spark.sparkContext.broadcast(s) for s in shards], spark.sparkContext.broadcast(ids)
     at = docs.columns.index(text_col)
 
     def scan(batches):
         one = Matcher(sent[0].value) if len(sent) == 1 else None
-        for whole in batches:
-            for b in slices(whole, text_col):
-                _, w, h = normal_words(texts_of(b.column(at)))
-                start, size, items = [], [], [set() for _ in range(b.num_rows)]
-                for s in sent:
-                    for d, a, k, own in (one or Matcher(s.value)).hits(w, h):
+        for group in _groups(batches, text_col, 0 if one else TOGETHER):
+            parts = [normal_words(texts_of(b.column(at)))[1:] for b in group]
+            found = [([], [], [set() for _ in range(b.num_rows)]) for b in group]
+            for s in sent:
+                matcher = one or Matcher(s.value)
+                for (w, h), (start, size, items) in zip(parts, found, strict=True):
+                    for d, a, k, own in matcher.hits(w, h):
                         start.append(a)
                         size.append(k)
                         items[d].update(own)
+            for b, (w, h), (start, size, items) in zip(group, parts, found, strict=True):
                 hit = np.zeros(len(h), dtype=bool)
-                for k in set(size):
-                    hit |= covered(np.array([a for a, x in zip(start, size, strict=True) if x == k]), k, len(h))
-                yield emit(b, w, hit, items, ids)
+                first, many = np.array(start, np.int64), np.array(size, np.int64)
+                for k in np.unique(many).tolist():
+                    hit |= covered(first[many == k], k, len(h))
+                yield emit(b, w, hit, items, names.value)
 
     return docs.mapInArrow(scan, schema)
 
@@ -166,8 +189,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (first word, words, of each in turn) of every row of docs.
 
     Null texts and texts without words have no words and aren't contaminated; items without words match
-    nothing; a null item id counts as "". Repeated rows are judged each; equal item ids with different
-    texts count once. An empty benchmark hits nothing. Other columns are not read.
+    nothing; a null item id counts as "". Texts are read whole, whatever their length; repeated rows are
+    judged each; equal item ids with different texts count once. An empty benchmark hits nothing, an empty
+    table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
@@ -190,7 +214,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without contaminated documents (hit words a twentieth of all or more) and, in the others, without hit spans.
 
-    A span goes from its first word to its last, with what stands between them; documents without hits are unchanged.
+    A span goes from its first word to its last, with what stands between them; documents without hits, null
+    and empty texts and all other columns are unchanged. Rows are judged each by itself, repeated ones
+    too; an empty table stays empty, an empty benchmark changes nothing.
     """
     names, at = docs.columns, docs.columns.index(text_col)
 

@@ -66,3 +66,25 @@ def test_stage_removes(spark, odd, none):
     assert got == {1: "q " * 400 + ", end.", 3: "clean  text"}
     assert decontaminate.decontaminated(odd, b).count() == odd.count() and decontaminate.decontaminated(none, b).count() == 0
     assert decontaminate.contamination(odd, b).count() == odd.count()
+
+
+def test_a_benchmark_of_many_shards_is_built_once_a_group(spark, monkeypatch):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(40))) for i in range(50)]
+    docs = [(i, "q " * 50 + items[i][1] + " end") for i in range(50)]
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 200)
+    ids, shards = decontaminate._shards(spark.createDataFrame(items, "item_id long, text string"))
+    assert len(shards) == 10 and len(ids) == 50
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t])], names=["doc_id", "text"]) for d, t in docs]
+    groups = list(decontaminate._groups(iter(batches), "text", decontaminate.TOGETHER))
+    assert len(groups) == 1 and sum(b.num_rows for b in groups[0]) == 50
+    b = spark.createDataFrame(items, "item_id long, text string")
+    check(decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), b).collect(), brute(docs, items))
+    monkeypatch.setattr(decontaminate, "MOST_ITEM_WORDS", 100)
+    try:
+        decontaminate._shards(b)
+    except ValueError as e:
+        assert "100 words" in str(e)
+    else:
+        raise AssertionError
