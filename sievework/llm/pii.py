@@ -1,25 +1,28 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
-Every proposal has a kind, a span and a score. Base kinds (email, ip, card, phone) are kept whatever
-stands near; the others need a checksum or a word of their context to reach the limit.
-All patterns run in time linear in the text: each is tried from the one place where a match can begin.
+Every proposal has a kind, a span and a score, which words of its context raise and words of doubt
+lower. Base kinds (email, ip, card, phone) are kept at any score; the others need a checksum or a word of
+their context to reach the limit. All patterns run in time linear in the text: each is tried from the
+one place where a match can begin, and overlaps are found by bisection.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .arrowtext import slices
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone", "ipv6", "secret", "key")
 BASE = KINDS[:4]
 #: A proposal below this score is dropped. A confirmed checksum alone reaches it, a bare pattern doesn't.
 LIMIT = 0.7
@@ -36,13 +39,26 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 _NATIONAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _DIGITS = re.compile(r"[0-9]")
 
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?:[0-9A-Fa-f]{1,4}|:)(?:[0-9A-Fa-f:]{0,34})(?![0-9A-Za-z:])")
+#: What a name of a secret is set to: the value's span is the match's group.
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?)[\x20\t]{0,4}[:=][\x20\t]{0,4}(?:bearer\x20)?[\"']?([A-Za-z0-9+/_.~=-]{8,512})")
+#: Keys known by how they begin, and hexadecimal digests.
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,72}|eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{8,512}|[0-9a-fA-F]{32,128})(?![A-Za-z0-9])")
+
 #: Words that raise a kind's score, and words that lower any score.
 CONTEXT = {
+    "email": re.compile(r"(?i)\b(?:e-?mail|mailto|contact|write to|courriel|correo)\b"),
+    "ip": re.compile(r"(?i)\b(?:ip|address|host|server|client|login|from)\b"),
+    "card": re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|cvv|expires)\b"),
+    "phone": re.compile(r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|t[ée]l[ée]phone|tel[ée]fono)\b"),
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social security|tax id)\b"),
     "local_phone": re.compile(r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|t[ée]l[ée]phone|tel[ée]fono)\b"),
+    "ipv6": re.compile(r"(?i)\b(?:ip|ipv6|address|host|server|client)\b"),
+    "secret": re.compile(r"(?i)\b(?:token|secret|key|auth|password|login|user)\b"),
+    "key": re.compile(r"(?i)\b(?:token|secret|key|auth|password|bearer|session)\b"),
 }
-DOUBT = re.compile(r"(?i)\b(?:example|sample|isbn|order no|invoice|part no|version)\b")
+DOUBT = re.compile(r"(?i)\b(?:example|sample|isbn|order no|invoice|part no|version|sha1|sha256|md5|commit|checksum)\b")
 
 
 @dataclass(frozen=True, order=True)
@@ -117,9 +133,51 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def _context(text: str, kind: str, start: int, end: int) -> float:
+def ipv6s(text: str) -> Iterator[tuple[int, int]]:
+    """Colon-separated groups that are an address: eight groups, or one gap of zeros."""
+    for m in _IPV6.finditer(text):
+        try:
+            ipaddress.IPv6Address(m.group())
+        except ValueError:
+            continue
+        yield m.span()
+
+
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values that names of secrets are set to: with a digit, and not one character over and over."""
+    for m in _SECRET.finditer(text):
+        value = m.group(1)
+        if len(set(value)) >= 5 and _DIGITS.search(value):
+            yield m.span(1)
+
+
+def _scored(text: str, rank: int, start: int, end: int, score: float) -> Span:
     around = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]
-    return 0.35 * bool(CONTEXT[kind].search(around)) - 0.25 * bool(DOUBT.search(around))
+    score += 0.35 * bool(CONTEXT[KINDS[rank]].search(around)) - 0.25 * bool(DOUBT.search(around))
+    return Span(start, rank, end, round(min(1.0, max(0.0, score)), 4))
+
+
+class Taken:
+    """Disjoint stretches of a text; whether a new one overlaps any is found by bisection."""
+
+    def __init__(self, spans: list[Span]):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for s in sorted(spans):
+            if self.end and s.start < self.end[-1]:
+                self.end[-1] = max(self.end[-1], s.end)
+            else:
+                self.start.append(s.start)
+                self.end.append(s.end)
+
+    def add(self, s: Span) -> bool:
+        """Whether s overlaps none; it is one of them from then on."""
+        i = bisect_left(self.end, s.start + 1)
+        if i < len(self.start) and self.start[i] < s.end:
+            return False
+        self.start.insert(i, s.start)
+        self.end.insert(i, s.end)
+        return True
 
 
 def find(text: str | None) -> list[Span]:
@@ -128,31 +186,36 @@ def find(text: str | None) -> list[Span]:
         return []
     base: list[Span] = []
     if "@" in text:
-        base += [Span(a, 0, b, 0.95) for a, b in emails(text)]
+        base += [_scored(text, 0, a, b, 0.95) for a, b in emails(text)]
     digits = _DIGITS.search(text) is not None
     if digits:
-        base += [Span(a, 1, b, 0.8) for a, b in ips(text)]
-        base += [Span(a, 2, b, 0.9) for a, b in cards(text)]
+        base += [_scored(text, 1, a, b, 0.8) for a, b in ips(text)]
+        base += [_scored(text, 2, a, b, 0.9) for a, b in cards(text)]
         if "+" in text:
-            base += [Span(a, 3, b, 0.85) for a, b in phones(text)]
-    more: list[Span] = []
+            base += [_scored(text, 3, a, b, 0.85) for a, b in phones(text)]
+    found: list[tuple[int, int, int, float]] = []
     if digits:
-        more += [Span(m.start(), 4, m.end(), 0.9) for m in _IBAN.finditer(text) if mod_97(m.group())]
-        for rank, pattern in ((5, _SSN), (6, _NATIONAL)):
-            more += [Span(m.start(), rank, m.end(), 0.5) for m in pattern.finditer(text)]
-        scored = [Span(s.start, s.rank, s.end, min(1.0, s.score + _context(text, s.kind, s.start, s.end))) for s in more]
-        more = []
-        for s in sorted((s for s in scored if s.score >= LIMIT), key=lambda s: (-s.score, s)):
-            if not any(s.start < x.end and x.start < s.end for x in (*base, *more)):
-                more.append(s)
+        found += [(4, m.start(), m.end(), 0.95) for m in _IBAN.finditer(text) if mod_97(m.group())]
+        for rank, pattern, score in ((5, _SSN, 0.5), (6, _NATIONAL, 0.5), (9, _KEY, 0.5)):
+            found += [(rank, m.start(), m.end(), score) for m in pattern.finditer(text)]
+        found += [(8, a, b, 0.95) for a, b in secrets(text)]
+    if text.count(":") > 1:
+        found += [(7, a, b, 0.95) for a, b in ipv6s(text)]
+    more: list[Span] = []
+    if found:
+        taken = Taken(base)
+        scored = (_scored(text, *x) for x in found)
+        more = [s for s in sorted((s for s in scored if s.score >= LIMIT), key=lambda s: (-s.score, s)) if taken.add(s)]
     return sorted(base + more)
 
 
 def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more and max_score of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more, scores (of the spans in turn) and max_score of every row.
 
     Positions are code points, end exclusive. A null text is empty: no spans, the hash of "" and "".
-    Repeated rows are searched each; an empty table gives none. Other columns are not read.
+    Texts of any length are searched whole, in time linear in their length but for the sorting of spans.
+    Repeated rows are searched each; of spans of one kind and start there is one; an empty table gives none.
+    Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -163,11 +226,11 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 counts = [[sum(s.rank == k for s in x) for x in found] for k in range(len(BASE))]
                 base = [hashlib.sha256(",".join(str(s) for s in x if s.rank < len(BASE)).encode()).hexdigest() for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array([",".join(map(str, x)) for x in found], pa.string()), pa.array([sum(s.rank >= len(BASE) for s in x) for x in found], pa.int64()), pa.array([max((s.score for s in x), default=0.0) for x in found], pa.float64())],
-                    names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_more", "max_score"],
+                    [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array([",".join(map(str, x)) for x in found], pa.string()), pa.array([sum(s.rank >= len(BASE) for s in x) for x in found], pa.int64()), pa.array([[s.score for s in x] for x in found], pa.list_(pa.float64())), pa.array([max((s.score for s in x), default=0.0) for x in found], pa.float64())],
+                    names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_more", "scores", "max_score"],
                 )
 
-    schema = StructType([rows.schema[0], *(StructField(f"n_{k}", LongType()) for k in BASE), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_more", LongType()), StructField("max_score", DoubleType())])
+    schema = StructType([rows.schema[0], *(StructField(f"n_{k}", LongType()) for k in BASE), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_more", LongType()), StructField("scores", ArrayType(DoubleType())), StructField("max_score", DoubleType())])
     return rows.mapInArrow(scan, schema)
 
 
@@ -184,7 +247,7 @@ def redacted(text: str | None) -> str | None:
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with spans in the text replaced; null texts stay null."""
+    """docs with spans in the text replaced by their kinds. Null and empty texts stay as they are, as do all other columns; rows are treated each by itself; an empty table stays empty."""
     at, names = docs.columns.index(text_col), docs.columns
 
     def scan(batches):
@@ -199,4 +262,4 @@ def redacted_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     from .tables import table
 
-    return spans_of(table(spark, sf_dir, "documents")).drop("n_more", "max_score")
+    return spans_of(table(spark, sf_dir, "documents"))
