@@ -4,9 +4,10 @@ Every window of 13 words has an anchor: the least of its 4-grams by hash. Equal
 so the corpus as its own reference is cut into shards by anchor, and a document's words need to visit
 only the shards of their own anchors, instead of all shards going to all documents. Anchors of one
 document alone are left out first. A shard is a suffix automaton of its segments (the words under all
-windows of an anchor) whose states know the smallest document that holds them; streaming segments through it
-gives, at each word, the longest match and its smallest holder, and maximal spans covered by
-matches of 13 words from smaller documents are removed.
+windows of an anchor) whose states know the smallest document that holds them; the state of a segment's
+last 13 words gives, at each word, the smallest holder of that window, and maximal spans covered by
+windows of smaller documents are removed. Three kinds of windows don't need the automaton: those of whole
+copies, of segments that no other one shares an anchor with, and of anchors that very many documents share.
 """
 
 from __future__ import annotations
@@ -72,22 +73,16 @@ def _digests(t: Texts, w: Words, keep: np.ndarray) -> list[str]:
 
 
 def _base(rows: DataFrame) -> DataFrame:
-    """doc_id, crc (of the text), n_words, hi and lo (of the words) and sha of every row."""
+    """doc_id, crc (of the text), n_words and sha (of the words joined by spaces) of every row."""
 
     def scan(batches):
         for whole in batches:
             for b in slices(whole, most=PART):
                 t = texts_of(b.column(1))
                 w = words_of(t)
-                h = hashes(t, w)
-                place = np.arange(len(h)) - np.repeat(w.first[:-1], w.counts())
-                sides = []
-                for salt in (0x51ED270B, 0xA0761D64):
-                    total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h + mix(place.astype(_U) + _U(salt))))])
-                    sides.append(pa.array((total[w.first[1:]] - total[w.first[:-1]]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(w.counts(), pa.int64()), *sides, pa.array(_digests(t, w, np.ones(len(h), dtype=bool)))], names=["doc_id", "crc", "n_words", "hi", "lo", "sha"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(w.counts(), pa.int64()), pa.array(_digests(t, w, np.ones(len(w.start), dtype=bool)))], names=["doc_id", "crc", "n_words", "sha"])
 
-    return rows.mapInArrow(scan, StructType([rows.schema[0], *(StructField(x, LongType()) for x in ("crc", "n_words", "hi", "lo")), StructField("sha", StringType())]))
+    return rows.mapInArrow(scan, StructType([rows.schema[0], StructField("crc", LongType()), StructField("n_words", LongType()), StructField("sha", StringType())]))
 
 
 def _anchored(rows: DataFrame, window: int) -> DataFrame:
@@ -254,9 +249,8 @@ def _shards(segments: DataFrame, window: int) -> DataFrame:
 def _hot_spans(segments: DataFrame, window: int) -> DataFrame:
     """As _shards, of anchors that very many documents share, whose segments may not meet in one task.
 
-    Equal segments are combined before their shuffle. Windows of those left are keyed by their first and
-    last words too, which deals out the ones that reach over a shared passage's border, and equal
-    windows are combined before their shuffle as well; joins back to rows may be split.
+    Equal segments are combined before their shuffle, and so are equal windows of those left, by the least
+    document that has them: no key gathers more rows than there are tasks. Joins back to rows may be split.
     """
     least = segments.groupBy("key", "words").agg(F.min("doc_id").alias("doc_id"))
     least = written(least.withColumn("seg", F.monotonically_increasing_id()), "hot-segments")
@@ -333,15 +327,17 @@ def spans(rows: DataFrame, window: int) -> DataFrame:
 def deduplicated(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of kept words joined by spaces) of every row.
 
-    A word goes if a window over it also starts in a document of smaller id. A null text has no words. A
-    row of null id neither takes words from others nor loses any; rows of one id don't take each
-    other's; an empty table gives none. Other columns are not read.
+    A word goes if a window over it also starts in a document of smaller id. A null text has no words; texts
+    of any length are read whole. A row of null id neither takes words from others nor loses any; rows
+    of one id, repeated or not, don't take each other's; an empty table gives none. ids are whole numbers.
+    Other columns are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"))
     base = written(_base(rows), "words")
-    low = base.where(f"n_words >= {window}").groupBy("hi", "lo", "n_words").agg(F.min("doc_id").alias("low")).where("low is not null")
-    base = base.join(low.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("n_words").alias("_n"), "low"), (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("n_words") == F.col("_n")), "left")
+    # copies are told by a cryptographic digest of their words
+    low = base.where(f"n_words >= {window}").groupBy(F.col("sha").alias("_sha")).agg(F.min("doc_id").alias("low")).where("low is not null")
+    base = base.join(low, F.col("sha") == F.col("_sha"), "left")
     base = base.withColumn("copy", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False))).select("doc_id", "crc", "n_words", "sha", "copy")
     text = _cut(rows, spans(rows, window)).select("doc_id", "text", "crc", "_first", "_n")
 

@@ -73,3 +73,11 @@ def test_odd_rows(odd, none):
     got = substrings.deduplicated(odd)
     assert rows(got) == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert substrings.deduplicated(none).count() == 0
+
+
+def test_long_words_of_repeating_patterns_stay_apart(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = "".join("ba"[bin(i).count("1") % 2] for i in range(2048))
+    common = " ".join(f"w{i}" for i in range(12))
+    frame = spark.createDataFrame([(1, f"{common} {a}"), (2, f"{common} {b}")], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.deduplicated(frame).collect()] == [0, 0]
