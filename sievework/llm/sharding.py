@@ -74,7 +74,10 @@ def numbered(rows: DataFrame, keys: list[str], number: str, total: str, bins: in
     repeated any number of times stays one record through both shuffles and is unfolded last.
     The table of bins, `bins` rows at most, is the only thing broadcast.
     """
-    copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
+    from .tables import written
+
+    # read once, then used twice: for the bins' sizes and for the numbers
+    copies = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")), "rows")
     copies = copies.withColumn("_bin", F.pmod(F.xxhash64(*keys), F.lit(bins)).cast("int"))
     size = copies.groupBy("_bin").agg(F.sum("_copies").alias("_size"))
     every = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,8 +94,9 @@ def sharded(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc
     """doc_id, size, text_crc32, row, shard and slot of every row of docs.
 
     Size is the text's UTF-8 bytes plus 1. Shards' row counts differ by one at most; slots are gapless
-    from 0. A null text is an empty one (size 1, crc32 0); a null id is a value like others; repeated
-    rows each get their own slot; an empty table gives none. Other columns are not read.
+    from 0. A null text is an empty one (size 1, crc32 0); a text of any length counts whole; a null id is
+    a value like others; repeated rows each get their own slot, and rows of equal id, size and crc32 are
+    interchangeable; an empty table gives none. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
