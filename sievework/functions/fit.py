@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .posting_signals import skills
@@ -94,13 +94,16 @@ def ineligible_reason(role: C, profile: Profile) -> Column:
     return F.when(affinity(role, profile) > 0, None).when(r["role_track"] == "unknown", unknown).otherwise(F.concat(r["role_track_label"], F.lit(" role outside the target SWE/software-adjacent watcher track.")))
 
 
-def relevance(role: C, profile: Profile) -> Column:
-    """struct(score, explanation) of title, description and requirements: affinity, gains for skills, costs, limits."""
+def with_fit(df: DataFrame, profile: Profile, role: str = "role_class", name: str = "fit") -> DataFrame:
+    """df with struct(score, explanation) of title, description and requirements: affinity, gains for skills, costs, limits.
+
+    What several of them read is a column of its own, so no pattern runs twice on a text.
+    """
     r = col(role)
     track, base = r["role_track"], affinity(role, profile)
-    full = F.concat_ws(" ", text("title"), text("description"), text("requirements"))
-    strong, small = labels_of(full, STRONG_SKILLS), labels_of(full, SMALL_GAINS)
-    core = full.rlike(CORE_STACK)
+    df = df.withColumn("_all", F.concat_ws(" ", text("title"), text("description"), text("requirements")))
+    df = df.withColumns({"_strong": labels_of("_all", STRONG_SKILLS), "_small": labels_of("_all", SMALL_GAINS), "_core": F.col("_all").rlike(CORE_STACK)})
+    full, strong, small, core = F.col("_all"), F.col("_strong"), F.col("_small"), F.col("_core")
     # Costs, each with its condition and its words.
     costs = (
         (full.rlike(CPLUS) & ~core, 6, "C++ stack with no Python/Java/SQL/JS/TS overlap"),
@@ -112,12 +115,13 @@ def relevance(role: C, profile: Profile) -> Column:
         (full.rlike(COMMERCIAL), 15, "commercial/customer-facing/support orientation"),
         (F.coalesce(r["confidence"], F.lit(1.0)) < 0.5, 10, "low classification confidence"),
     )
-    cost = reduce(lambda a, b: a + b, (F.when(c, n).otherwise(0) for c, n, _ in costs))
-    said = F.array_compact(F.array(*(F.when(c, f"{words} (-{n})") for c, n, words in costs)))
+    df = df.withColumn("_costs", F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("n"), F.lit(f"{words} (-{n})").alias("said"))) for c, n, words in costs))))
+    cost, said = F.aggregate("_costs", F.lit(0), lambda acc, x: acc + x["n"]), F.col("_costs.said")
     gained = F.when(track.isin(*FIT_TRACKS), F.least(F.size(strong) * SKILL_GAIN, F.lit(MOST_SKILL))).otherwise(0) + F.least(F.size(small) * SMALL_GAIN, F.lit(MOST_SMALL))
     whole = base + gained - cost
     near = track.isin(*BEST_TRACKS) & (F.size(strong) >= 4)
-    score = clamp(F.when((whole > 94) & ~near, 94).otherwise(whole)).cast("int")
+    df = df.withColumn("_score", clamp(F.when((whole > 94) & ~near, 94).otherwise(whole)).cast("int"))
+    score = F.col("_score")
     # the explanation
     more = F.when(F.size(strong) > 5, F.concat(F.lit(", plus "), F.size(strong) - 5, F.lit(" more"))).otherwise("")
     overlap = F.when(F.size(strong) > 0, F.concat(r["role_track_label"], F.lit(" with resume overlap in "), F.array_join(F.slice(strong, 1, 5), ", "), more)).otherwise(F.concat(r["role_track_label"], F.lit(", but limited direct resume stack overlap")))
@@ -130,12 +134,13 @@ def relevance(role: C, profile: Profile) -> Column:
     )
     unowned = track.isin("cloud", "devops") & ~(full.rlike(BACKEND) | full.rlike(PRODUCTION) | full.rlike(OWNERSHIP))
     as_struct = lambda s, e: F.struct(s.cast("int").alias("score"), e.alias("explanation"))
-    return (
+    out = (
         F.when(base <= 0, as_struct(F.lit(0), ineligible_reason(role, profile)))
         .when(unowned, as_struct(F.lit(0), F.concat(r["role_track_label"], F.lit(" title lacks clear coding/backend/platform software ownership."))))
         .when(track.isin(*LOW_TRACKS), as_struct(F.least(base, F.lit(20)), F.concat(r["role_track_label"], F.lit(" is visible as a low-priority adjacent track, capped at 20."))))
         .otherwise(as_struct(score, F.concat(details, F.lit("."))))
     )
+    return df.withColumn(name, out).drop("_all", "_strong", "_small", "_core", "_costs", "_score")
 
 
 def place(profile: Profile, location: C = "location", remote: C = "remote_status") -> Column:

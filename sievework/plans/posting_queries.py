@@ -75,7 +75,7 @@ def role_classes(spark, sf):
 @query(_sql(FIT_ROWS, "k, score, explanation", (0, 1, 2)))
 def role_relevance(spark, sf):
     c = roles.with_role(_postings(spark)).where(F.col("k").isin(*(r[0] for r in FIT_ROWS)))
-    return c.select("k", fit.relevance("role_class", fit.Profile()).alias("f")).select("k", "f.score", "f.explanation")
+    return fit.with_fit(c, fit.Profile()).select("k", "fit.score", "fit.explanation")
 
 
 @query(_sql(PLACE_ROWS, "k, score", (0, 3)))
@@ -95,6 +95,10 @@ def posting_run(spark, sf):
         pick(79, "$35/hr", "unpaid", "$80,000 per year", "competitive", "").alias("compensation"), F.coalesce("text", F.lit("")).alias("description"), pick(73, "Python, SQL and REST APIs", "", "3+ years of Java").alias("requirements"),
         pick(71, "2026-06-20", "", "June 1, 2026").alias("deadline"), pick(67, "Summer", "").alias("internship_type"),
     )
+    # rules cost far more than dealing rows out: a file of few splits would keep most cores idle
+    cores = spark.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() < cores:
+        d = d.repartition(cores)
     out = scored(d, PROFILE, F.lit("2026-06-09").cast("date"))
     return out.select("pos", "id", "total", "fit_score", "bucket", "action", "watcher_action", "role", "role_track", "deadline_days_left", F.size("red_flags").alias("n_flags"), F.size("positive_signals").alias("n_signals"))
 

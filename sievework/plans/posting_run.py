@@ -33,7 +33,8 @@ def scored(rows: DataFrame, profile: fit.Profile, today: Column, excluded: str |
     df = posting_signals.with_flags(df, "pay", "role")
     df = posting_signals.with_signals(df, profile.skills, profile.reputable, profile.least_pay)
     about = F.concat_ws(" ", text("description"), text("requirements"))
-    df = df.withColumns({"technology": posting_signals.tools(F.concat_ws(" ", text("requirements"), text("description"))), "profile_match": fit.matched(profile), "fit": fit.relevance("role_class", profile), "place": fit.place(profile)})
+    df = df.withColumns({"technology": posting_signals.tools(F.concat_ws(" ", text("requirements"), text("description"))), "profile_match": fit.matched(profile), "place": fit.place(profile)})
+    df = fit.with_fit(df, profile)
     df = df.withColumns({"deadline_days_left": dates.days_left(dates.parse_date("deadline"), today)})
     df = df.withColumn("categories", F.struct(
         F.col("fit.score").alias("role_relevance"), pay.pay_score("pay").alias("compensation"),

@@ -48,8 +48,9 @@ def test_scored_postings(spark, tmp_path):
     assert [r.company for r in out.collect()][0] == "Acme" and report.count() == 0
 
 
-def test_plan_has_no_shuffle_and_no_python(spark, sf):
-    plan = posting_queries.query_table()["posting_run"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+def test_plan_has_no_shuffle_and_no_python(spark):
+    rows = spark.range(3).selectExpr(*(f"cast(id as string) {c}" for c in ("title", "company", "location", "remote_status", "compensation", "description", "requirements", "deadline", "internship_type")))
+    plan = posting_run.scored(rows, fit.Profile(), today())._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Exchange|EvalPython|PythonUDF|InArrow|InPandas", plan)
 
 
