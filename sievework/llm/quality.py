@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -245,7 +244,7 @@ def kept_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
                 s = statistics(texts_of(b.column(at)))
                 passes = (s["n_words"] >= 50) & (100 * s["n_repeat_words"] <= 50 * s["n_words"])
                 # a row that fails has its votes counted, and no need of its text
-                texts = pc.if_else(pa.array(passes), b.column(at), pa.scalar(None, b.column(at).type))
+                texts = b.column(at).take(pa.array(np.arange(b.num_rows), mask=~passes))
                 columns = [texts if i == at else b.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(patterns(s, rules)), pa.array(passes)], names=[*names, pattern, base])
 

@@ -63,3 +63,11 @@ def test_odd_rows(odd, none):
     assert quality.judged(none).count() == 0 and quality.kept_documents(none).count() == 0
     kept = quality.kept_documents(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in got)
+
+
+def test_kept_documents_of_many_slices(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id for r in quality.judged(documents).where("kept").collect()}
+    got = quality.kept_documents(documents.coalesce(1)).select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    assert {r.doc_id for r in got} == want and all(r.text == texts[r.doc_id] for r in got)
