@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrowtext import Texts, covered, hashes, inside, lines_of, mix, slices, sums, texts_of, windows, words_of
 
@@ -230,29 +230,21 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 def kept_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """The rows of docs that judged() keeps, with its treatment of nulls, empty, long and repeated texts; an empty table stays empty.
 
-    Texts are measured once: rows that pass the base limits are written with their votes, and the posterior
-    of their votes is joined to them. Columns of docs keep their names and values.
+    Texts are measured for the counts of votes, and again where they are judged: that costs less than a
+    second copy of all texts on disk. Columns of docs keep their names and values.
     """
-    from .tables import fresh, written
-
-    at, names = docs.columns.index(text_col), docs.columns
-    pattern, base, own, p = fresh(docs, "pattern", "passes", "votes", "p_good")
+    at = docs.columns.index(text_col)
+    votes = measured(docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), rules=rules)
+    known = fitted(votes.select("pattern", (~base_failed()).alias("passes")), rules).posterior
 
     def scan(batches):
         for whole in batches:
             for b in slices(whole, text_col):
                 s = statistics(texts_of(b.column(at)))
-                passes = (s["n_words"] >= 50) & (100 * s["n_repeat_words"] <= 50 * s["n_words"])
-                # a row that fails has its votes counted, and no need of its text
-                texts = b.column(at).take(pa.array(np.arange(b.num_rows), mask=~passes))
-                columns = [texts if i == at else b.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(patterns(s, rules)), pa.array(passes)], names=[*names, pattern, base])
-
-    m = written(docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(pattern, LongType()), StructField(base, BooleanType())])), "quality")
-    known = fitted(m.select(F.col(pattern).alias("pattern"), F.col(base).alias("passes")), rules).posterior
-    table = docs.sparkSession.createDataFrame(sorted(known.items()), f"`{own}` long, `{p}` double")
-    out = m.where(F.col(base)).join(F.broadcast(table), F.col(pattern) == F.col(own)).where(F.col(p) >= least)
-    return out.select(*(F.col(f"`{n}`") for n in names))
+                p = np.array([known.get(k, 0.0) for k in patterns(s, rules).tolist()])
+                yield b.filter(pa.array((p >= least) & (s["n_words"] >= 50) & (100 * s["n_repeat_words"] <= 50 * s["n_words"])))
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
