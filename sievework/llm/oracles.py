@@ -23,7 +23,7 @@ shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh
 link AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
 way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.x, way.y FROM reach JOIN way ON reach.y = way.x)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, CAST((SELECT count(*) FROM way WHERE way.x = w.doc_id) AS BIGINT) AS n_links FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
 """
 
 _ITEM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
