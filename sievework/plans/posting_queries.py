@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import decisions, fit, roles
+from ..functions import decisions, eligibility, fit, roles
 from .driver_queries import ORACLES, QUERIES, query, read
 from .posting_run import scored
 
@@ -52,6 +52,36 @@ FIT_ROWS = (
 )
 #: (key, location, remote status, score)
 PLACE_ROWS = ((1, "Boston, MA", "Remote", 100), (2, "remote", "", 100), (3, "New York", "Hybrid", 85), (4, "Austin", "Hybrid", 60), (5, "Ithaca, NY", "On-site", 75), (6, "", "", 60), (7, "London, UK", "On-site", 30), (8, "Austin", "On-site", 50), (9, None, None, 60))
+#: (key, company, title, requirements, description, reason, level, negated, mixed): each wording that closes a posting, and those that don't.
+ELIGIBILITY_ROWS = (
+    (1, "Acme", "Machine Learning PhD Intern", "", "", "phd_only", "phd", False, False),
+    (2, "Acme", "Intern", "Must be enrolled in a doctoral program. Python required.", "", "phd_only", "phd", False, False),
+    (3, "Acme", "Intern", "Graduate students only. Python required.", "", "graduate_only", "graduate", False, False),
+    (4, "Acme", "Intern", "Must be enrolled in a master's program.", "", "graduate_only", "masters", False, False),
+    (5, "Acme", "Software Engineer MBA Intern", "", "", "graduate_only", "mba", False, False),
+    (6, "Acme", "Intern", "Freshmen only. Python required.", "", "freshman_only", "undergraduate", False, False),
+    (7, "Acme", "Intern", "Open exclusively to first-year students.", "", "freshman_only", "undergraduate", False, False),
+    (8, "Acme", "Intern", "Eligible applicants are rising sophomores only after completing their freshman year.", "", "freshman_only", "undergraduate", False, False),
+    (9, "Acme", "Returning Intern Software Engineer", "", "", "returning_intern_only", "unspecified", False, False),
+    (10, "Acme", "Intern", "Applicants must have previously completed an internship with Acme.", "", "returning_intern_only", "unspecified", False, False),
+    (11, "Acme", "Intern", "", "This is an invitation-only return internship for former interns.", "returning_intern_only", "unspecified", False, False),
+    (12, "Acme", "Intern", "", "Eligible only for prior internship program participants.", "returning_intern_only", "unspecified", False, False),
+    (13, "Acme", "Master Data Management Intern", "", "", None, "unspecified", False, False),
+    (14, "Acme", "Intern", "Minimum: bachelor's degree. PhD preferred.", "", None, "undergraduate", False, False),
+    (15, "Acme", "Intern", "Bachelor's, Master's, or PhD candidates are eligible.", "", None, "undergraduate", False, True),
+    (16, "Acme", "Intern", "", "You will collaborate with PhD researchers on advanced research.", None, "unspecified", False, False),
+    (17, "Acme", "Intern", "Current student in their third year or beyond of a bachelor's program, currently enrolled in a master's program, or within one year of graduation.", "", None, "undergraduate", False, True),
+    (18, "Acme", "Intern", "Advanced degree not required.", "", None, "unspecified", True, False),
+    (19, "Acme", "Intern", "Freshmen and sophomores are accepted.", "", None, "undergraduate", False, True),
+    (20, "Acme", "Intern", "", "Freshmen are encouraged to apply.", None, "undergraduate", False, False),
+    (21, "Acme", "Intern", "", "Eligible only for prior leadership program participants.", None, "unspecified", False, False),
+    (22, "Acme", "Intern", "Must return to school after the internship.", "", None, "unspecified", False, False),
+    (23, "Acme", "Intern", "Minimum qualifications:\nCurrently pursuing a bachelor's degree.\nPreferred qualifications:\nCurrently pursuing a PhD.", "", None, "undergraduate", False, False),
+    (24, "Acme", "Graduate Research Intern", "Undergraduates welcome.", "", "graduate_only", "graduate", False, False),
+    (25, "Acme", "Postdoc Intern", "", "", "phd_only", "postdoctoral", False, False),
+    (26, "Acme", "Law Student Internship", "", "", "graduate_only", "jd", False, False),
+    (27, None, None, None, None, None, "unspecified", False, False),
+)
 PROFILE = fit.Profile(skills=("python", "java", "sql", "react", "docker"), interests=("backend", "ml/ai"), preferred_locations=("ithaca", "new york", "boston"))
 
 
@@ -169,6 +199,13 @@ def alert_modes(spark, sf):
     return read(spark, sf, "events").select("event_id", allowed.alias("allowed"))
 
 
+@query(_sql(ELIGIBILITY_ROWS, "k, exclusion_reason, degree_level, negated, mixed", (0, 5, 6, 7, 8)))
+def student_eligibility(spark, sf):
+    df = spark.createDataFrame([r[:5] for r in ELIGIBILITY_ROWS], "k int, company string, title string, requirements string, description string")
+    e = "student_eligibility."
+    return eligibility.with_eligibility(df).select("k", e + "exclusion_reason", e + "degree_level", F.col(e + "negation_detected").alias("negated"), F.col(e + "mixed_eligibility_detected").alias("mixed"))
+
+
 def query_table() -> dict[str, object]:
     """All queries of this package, those of driver_queries too."""
     return QUERIES
