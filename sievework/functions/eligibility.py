@@ -162,7 +162,8 @@ def _plain_forms() -> tuple[str, str]:
 
 def canonical(c: C) -> Column:
     """Plain characters; Ph. D. and M. S. without their dots."""
-    s = F.replace(F.translate(text(c), *_plain_forms()), F.lit("…"), F.lit("..."))
+    odd = F.replace(F.translate(text(c), *_plain_forms()), F.lit("…"), F.lit("..."))
+    s = F.when(text(c).rlike(r"[^\x02-\x7F]"), odd).otherwise(text(c))
     return F.regexp_replace(F.regexp_replace(s, r"(?i)\bph\s*\.\s*d\s*\.?", "PhD"), r"(?i)\bm\s*\.\s*s\s*\.?", "MS")
 
 
