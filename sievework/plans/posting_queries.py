@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import decisions, eligibility, fit, roles
+from ..functions import country, decisions, eligibility, fit, roles
 from .driver_queries import ORACLES, QUERIES, query, read
 from .posting_run import scored
 
@@ -82,6 +82,29 @@ ELIGIBILITY_ROWS = (
     (26, "Acme", "Law Student Internship", "", "", "graduate_only", "jd", False, False),
     (27, None, None, None, None, None, "unspecified", False, False),
 )
+#: (key, country, location, remote status, description, status, reason): what tells a country, and what doesn't.
+COUNTRY_ROWS = (
+    (1, None, "Boston, United States", "", "", "us", None),
+    (2, None, "London, United Kingdom", "", "", "outside_us", "outside_us"),
+    (3, None, "Madrid, MD", "", "", "ambiguous", None),
+    (4, None, "Santa Fe, New Mexico", "", "", "ambiguous", None),
+    (5, None, "Mexico City, Mexico", "", "", "outside_us", "outside_us"),
+    (6, "DE", "Berlin", "", "", "outside_us", "outside_us"),
+    (7, "USA", "Toronto, Canada", "", "", "us", None),
+    (8, None, "Toronto, Canada / Austin, USA", "", "", "us", None),
+    (9, None, "", "", "Our team in Bengaluru, India works on search. Join us.", "outside_us", "outside_us"),
+    (10, None, "", "", "Our customers in India love it. Join us.", "ambiguous", None),
+    (11, None, "IND - Pune", "", "", "outside_us", "outside_us"),
+    (12, None, "San Juan, Puerto Rico", "", "", "us", None),
+    (13, None, "Remote", "Remote (EMEA)", "", "outside_us", "outside_us"),
+    (14, None, "S\u00e3o Tom\u00e9 and Pr\u00edncipe", "", "", "outside_us", "outside_us"),
+    (15, None, "Atlanta, Georgia", "", "", "ambiguous", None),
+    (16, None, "Paris, France", "", "Or work in the United States office", "us", None),
+    (17, None, "US", "", "", "us", None),
+    (18, None, None, None, None, "ambiguous", None),
+    (19, "Czech Republic", "", "", "", "outside_us", "outside_us"),
+    (20, "C\u00f4te d\u2019Ivoire", "", "", "", "outside_us", "outside_us"),
+)
 PROFILE = fit.Profile(skills=("python", "java", "sql", "react", "docker"), interests=("backend", "ml/ai"), preferred_locations=("ithaca", "new york", "boston"))
 
 
@@ -206,6 +229,12 @@ def student_eligibility(spark, sf):
     return eligibility.with_eligibility(df).select("k", e + "exclusion_reason", e + "degree_level", F.col(e + "negation_detected").alias("negated"), F.col(e + "mixed_eligibility_detected").alias("mixed"))
 
 
+@query(_sql(COUNTRY_ROWS, "k, status, reason", (0, 5, 6)))
+def places_of_work(spark, sf):
+    df = spark.createDataFrame([r[:5] for r in COUNTRY_ROWS], "k int, country string, location string, remote_status string, description string")
+    return country.with_country(df, country="country").select("k", "location_decision.status", "location_decision.reason")
+
+
 def query_table() -> dict[str, object]:
     """All queries of this package, those of driver_queries too."""
     return QUERIES
