@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import country, decisions, eligibility, fit, roles
 from .driver_queries import ORACLES, QUERIES, query, read
 from .posting_run import scored
+from .watch import matches, with_gate
 
 NAMES = ("k", "title", "company", "description", "requirements")
 #: (key, title, company, description, requirements, role, track, confidence): each row reaches another decision.
@@ -235,6 +236,34 @@ def places_of_work(spark, sf):
     return country.with_country(df, country="country").select("k", "location_decision.status", "location_decision.reason")
 
 
+GATE_SQL = """WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'phd_only' WHEN o_orderkey % 35 = 1 THEN 'unheard_of' END AS student, CASE WHEN o_orderkey % 3 = 0 THEN 'outside_us' END AS place,
+CASE WHEN o_orderpriority = '1-URGENT' THEN 'product' ELSE 'data_science' END AS role, CASE WHEN o_orderstatus = 'O' THEN 'data_engineering' WHEN o_orderstatus = 'F' THEN 'product' END AS track, CAST(o_orderkey % 4 AS INTEGER) * 30 AS fit FROM orders),
+w AS (SELECT *, coalesce(track IN ('data_engineering'), false) AS wanted FROM r)
+SELECT k, CASE WHEN student = 'phd_only' THEN student WHEN place IS NOT NULL THEN place WHEN wanted AND fit > 0 THEN NULL WHEN NOT wanted THEN coalesce(track, role) || ' does not match watcher target roles.' ELSE 'Role is outside the watcher target profile.' END AS reason FROM w"""
+
+
+def _gated(spark, sf):
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    student = F.struct(F.when(k % 5 == 0, "phd_only").when(k % 35 == 1, "unheard_of").alias("exclusion_reason"), none.alias("evidence_source"), none.alias("evidence"), none.alias("explanation"), *(F.lit(None).cast("boolean").alias(f) for f in ("mandatory_language_detected", "negation_detected", "mixed_eligibility_detected")))
+    return read(spark, sf, "orders").select(
+        k.alias("k"), student.alias("student_eligibility"), F.struct(none.alias("status"), F.when(k % 3 == 0, "outside_us").alias("reason"), none.alias("explanation")).alias("location_decision"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "product").otherwise("data_science").alias("role"), F.when(F.col("o_orderstatus") == "O", "data_engineering").when(F.col("o_orderstatus") == "F", "product").alias("role_track"),
+        ((k % 4) * 30).cast("int").alias("fit_score"), none.alias("fit_explanation"), F.lit(None).cast("boolean").alias("watcher_eligible"), none.alias("watcher_ineligible_reason"),
+        F.when(k % 2 == 0, "Intern").otherwise("Engineer").alias("title"), none.alias("internship_type"), (k % 11 - 2).cast("int").alias("deadline_days_left"),
+    )
+
+
+@query(GATE_SQL)
+def watcher_gate(spark, sf):
+    return with_gate(_gated(spark, sf)).select("k", F.col("gate.ineligible_reason").alias("reason"))
+
+
+@query(f"SELECT k, CAST(k % 4 AS INTEGER) * 30 AS fit FROM ({GATE_SQL}) WHERE reason IS NULL AND k % 2 = 0 AND k % 11 >= 2 AND k % 4 * 30 >= 40")
+def watcher_matches(spark, sf):
+    return matches(_gated(spark, sf), least=40).select("k", F.col("gate.fit_score").alias("fit"))
+
+
 def query_table() -> dict[str, object]:
     """All queries of this package, those of driver_queries too."""
     return QUERIES

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, eligibility, fit, pay, posting_rules, posting_signals, roles, scores
+from ..functions import country, dates, eligibility, fit, pay, posting_rules, posting_signals, roles, scores
 from ..functions.text import posting_id, posting_key, text
 from ..operators.dedupe import deduplicated
 from ..sources.csv_postings import infer_fields, read_csv
@@ -80,5 +80,5 @@ def run(spark: SparkSession, path: str, profile: fit.Profile, today: Column) ->
     """(scored postings, report of merged rows) of CSV files, best first by total, then in the files' order."""
     rows, _ = read_csv(spark, path)
     kept, report = deduplicated(infer_fields(rows))
-    told = eligibility.with_eligibility(kept).withColumn("excluded", F.col("student_eligibility.exclusion_reason"))
+    told = country.with_country(eligibility.with_eligibility(kept)).withColumn("excluded", F.col("student_eligibility.exclusion_reason"))
     return scored(told, profile, today, "excluded").drop("excluded").orderBy(F.desc("total"), "pos"), report
