@@ -65,7 +65,10 @@ def with_gate(scored: DataFrame, targets: Collection[str] = ("swe",), students:
 
 
 def matches(scored: DataFrame, targets: Collection[str] = ("swe",), least: int | None = None, active: C | None = None) -> DataFrame:
-    """The rows of scored, with their gate, that are open internships, pass it and fit by `least` or more. scored: title, internship_type, deadline_days_left too."""
+    """The rows of scored, with their gate, that are open internships, pass it and fit by `least` or more. scored: title, internship_type, deadline_days_left too.
+
+    scored should be a written table: on the plan of a posting run itself it didn't end within minutes, even for four rows.
+    """
     gated = with_gate(scored, targets)
     kept = is_internship() & is_open(F.lit(None).cast("boolean") if active is None else active) & F.col("gate.watcher_eligible")
     return gated.where(kept if least is None else kept & (F.col("gate.fit_score") >= least))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sievework.plans import posting_queries, watch
+from sievework.plans import posting_queries, posting_run, watch
 
 
 def test_students_count_only_where_asked(spark, sf):
@@ -21,3 +21,22 @@ def test_degrees_come_after_places(spark, sf):
 def test_plan_has_no_shuffle(spark, sf):
     plan = watch.matches(posting_queries._gated(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_from_files_to_matches(spark, tmp_path):
+    path = tmp_path / "jobs.csv"
+    path.write_text(
+        "Company Name,Job Title,location,Description,Qualifications\n"
+        'Acme,Backend Intern,"Boston, MA",Build REST APIs.,"Python, SQL"\n'
+        'Brick,Backend Intern,"Boston, MA",Build REST APIs.,PhD students only.\n'
+        'Cube,Backend Intern,"Toronto, Canada",Build REST APIs.,"Python, SQL"\n'
+        'Dome,Backend Engineer,"Boston, MA",Build REST APIs.,"Python, SQL"\n'
+    )
+    out, _ = posting_run.run(spark, str(path), posting_queries.PROFILE, F.lit("2026-06-09").cast("date"))
+    out.write.parquet(str(tmp_path / "scored"))
+    out = spark.read.parquet(str(tmp_path / "scored"))
+    gates = {r.company: r.gate for r in watch.with_gate(out).collect()}
+    assert gates["Acme"].watcher_eligible and gates["Acme"].fit_score > 0
+    assert gates["Brick"].ineligible_reason == "phd_only" and gates["Brick"].evidence == "PhD students only"
+    assert gates["Cube"].ineligible_reason == "outside_us" and gates["Dome"].watcher_eligible
+    assert [r.company for r in watch.matches(out).select("company").collect()] == ["Acme"]
