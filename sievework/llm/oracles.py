@@ -40,3 +40,51 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+AUDIT = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+d AS (SELECT doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)] AS fails FROM t),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM d LEFT JOIN (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS idx FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, idx, CAST(step AS INTEGER) AS step, idx[step] AS f FROM o, range(1, 6) AS r(step)),
+x AS (SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS here, list_bool_or([fails[k] FOR k IN idx[1:step - 1]]) AS before, len([y FOR y IN fails IF y]) = 1 AS alone FROM m, s),
+c AS (SELECT part, filter_order, step, f,
+  coalesce(sum(n) FILTER (NOT here AND NOT coalesce(before, false)), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT coalesce(before, false)), 0) AS removed,
+  coalesce(sum(n) FILTER (here AND coalesce(before, false)), 0) AS redundant, coalesce(sum(n) FILTER (here AND alone), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (here AND NOT coalesce(before, false)), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT coalesce(before, false)), 0) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM c
+"""
+
+
+def _whole(scale: int) -> str:
+    return f"[floor({scale} * CAST(x AS DOUBLE)) FOR x IN embedding]"
+
+
+_USABLE = "embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+TOP_K = f"""
+WITH v AS (SELECT vec_id, {_whole(1024)} AS x FROM embeddings WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def _round(i: int) -> str:
+    """Assignment to the centroids of round i and the centroids that follow from it."""
+    return f"""
+a{i} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, arg_min(j, d * 64 + j) AS cluster, CAST(min(d) AS BIGINT) AS distance
+  FROM (SELECT v.vec_id, v.x, c.j, list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x) AS d FROM v, c{i} c) GROUP BY vec_id),
+c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+  SELECT j, list(y ORDER BY p) AS x FROM (SELECT cluster AS j, p, floor(sum(y) / count(*)) AS y FROM (SELECT cluster, unnest(x) AS y, generate_subscripts(x, 1) AS p FROM a{i}) GROUP BY cluster, p) GROUP BY j) m USING (j))"""
+
+
+#: Sums stay so small that a double's quotient has the floor of the exact one.
+CENTROIDS = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, {_whole(256)} AS x FROM embeddings WHERE len(embedding) = 64 AND {_USABLE}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j, x FROM v QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= 40),{",".join(_round(i) for i in range(6))}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string([CAST(y AS BIGINT) FOR y IN c5.x], ',')) AS centroid_sha256 FROM a5 JOIN c5 ON c5.j = a5.cluster
+"""

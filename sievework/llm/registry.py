@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_lines, jaccard, mixing, oracles, pii, quality, sharding, substrings, tokenfiles, toxicity
+from . import centroids, decontaminate, filter_audit, fuzzy_lines, jaccard, mixing, oracles, pii, quality, sharding, substrings, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_token_files": tokenfiles.op9_token_files,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_exact_topk": topk.op12_exact_topk,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 #: The others permute, fit, tokenize or search with positions, which SQL can't: tests hold them against brute force.
@@ -22,4 +25,7 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": oracles.SUBSTRINGS,
     "op5_jaccard_join": oracles.JACCARD,
     "op7_decontamination": oracles.CONTAMINATION,
+    "op11_filter_audit": oracles.AUDIT,
+    "op12_exact_topk": oracles.TOP_K,
+    "op13_centroids": oracles.CENTROIDS,
 }
