@@ -17,15 +17,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage ends here and it outlives any executor."""
+def written(df: DataFrame, what: str, tidy: bool = True) -> DataFrame:
+    """df as a table in the shared folder, read again: its lineage ends here and it outlives any executor. tidy: what it shuffled goes at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     # a writer holds a row group in memory
     df.write.option("parquet.block.size", 16 << 20).parquet(path)
     # what the write shuffled is of no more use; else it stays until the driver happens to collect its garbage
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import country, dates, eligibility, fit, pay, posting_rules, posting_signals, roles, scores
 from ..functions.text import posting_id, posting_key, text
+from ..operators import memo
 from ..operators.dedupe import deduplicated
 from ..sources.csv_postings import infer_fields, read_csv
 
@@ -18,11 +21,9 @@ def _label(action: str) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in ACTION_LABELS.items() for x in kv)), F.col(action))
 
 
-def scored(rows: DataFrame, profile: fit.Profile, today: Column, excluded: str | None = None) -> DataFrame:
-    """rows with pay, role, company, flags, signals, profile match, category scores, total, bucket and actions.
+def analysed(rows: DataFrame, profile: fit.Profile) -> DataFrame:
+    """rows with what doesn't change from day to day: pay, role, company, flags, signals, technology, profile match, fit, place and scores.
 
-    rows: company, title, location, remote_status, compensation, description, requirements, deadline,
-    internship_type. excluded: a column with the reason why a posting is closed to the reader, null if it isn't.
     All of it is projections of built-in functions: one stage, no shuffle.
     """
     df = pay.with_pay(rows, "compensation", "pay")
@@ -35,13 +36,23 @@ def scored(rows: DataFrame, profile: fit.Profile, today: Column, excluded: str |
     about = F.concat_ws(" ", text("description"), text("requirements"))
     df = df.withColumns({"technology": posting_signals.tools(F.concat_ws(" ", text("requirements"), text("description"))), "profile_match": fit.matched(profile), "place": fit.place(profile)})
     df = fit.with_fit(df, profile)
-    df = df.withColumns({"deadline_days_left": dates.days_left(dates.parse_date("deadline"), today)})
-    df = df.withColumn("categories", F.struct(
+    return df.withColumn("static_scores", F.struct(
         F.col("fit.score").alias("role_relevance"), pay.pay_score("pay").alias("compensation"),
         posting_rules.legitimacy("red_flags", "positive_signals", "company_class.category", "pay").alias("legitimacy"), posting_rules.learning("red_flags", "positive_signals").alias("learning_value"),
         posting_rules.technical_depth(F.size("technology"), F.col("role_track").isin(*posting_signals.SOFTWARE_TRACKS)).alias("technical_depth"), posting_rules.effort(about).alias("effort_vs_value"),
-        F.col("place.score").alias("location_convenience"), dates.urgency("deadline_days_left").alias("deadline_urgency"),
+        F.col("place.score").alias("location_convenience"),
     ))
+
+
+#: What analysed() adds, and what it reads.
+ANALYSIS = ("pay", "role_class", "role", "role_track", "company_class", "red_flags", "positive_signals", "technology", "profile_match", "place", "fit", "static_scores")
+ANALYSED_FIELDS = ("company", "title", "description", "requirements", "compensation", "location", "remote_status")
+
+
+def decided(df: DataFrame, profile: fit.Profile, today: Column, excluded: str | None = None) -> DataFrame:
+    """analysed rows with what a day decides: days left, category scores, total, bucket, actions, reasons and concerns. No long text is read."""
+    df = df.withColumn("deadline_days_left", dates.days_left(dates.parse_date("deadline"), today))
+    df = df.withColumn("categories", F.struct("static_scores.*", dates.urgency("deadline_days_left").alias("deadline_urgency")))
     reason = F.col(excluded) if excluded else F.lit(None).cast("string")
     count = lambda severity: F.size(F.filter("red_flags", lambda f: f["severity"] == severity))
     df = df.withColumns({"_open": reason.isNull(), "_critical": count("critical"), "_major": count("major"), "_raw": scores.weighted_total({k: F.col(f"categories.{k}").cast("double") for k in scores.WEIGHTS})})
@@ -57,7 +68,40 @@ def scored(rows: DataFrame, profile: fit.Profile, today: Column, excluded: str |
         "watcher_action": scores.fit_action(fit_score, F.col("watcher_eligible"), expired),
     })
     df = df.withColumns({"action_label": _label("action"), "watcher_action_label": _label("watcher_action"), "reasons": _reasons(), "concerns": _concerns(expired, F.coalesce(reason, F.col("watcher_ineligible_reason")))})
-    return df.drop("_open", "_critical", "_major", "_raw", "fit", "place")
+    return df.drop("_open", "_critical", "_major", "_raw", "fit", "place", "static_scores")
+
+
+def scored(rows: DataFrame, profile: fit.Profile, today: Column, excluded: str | None = None) -> DataFrame:
+    """rows with pay, role, company, flags, signals, profile match, category scores, total, bucket and actions.
+
+    rows: company, title, location, remote_status, compensation, description, requirements, deadline,
+    internship_type. excluded: a column with the reason why a posting is closed to the reader, null if it isn't.
+    """
+    return decided(analysed(rows, profile), profile, today, excluded)
+
+
+def context(profile: fit.Profile) -> str:
+    """What an analysis depends on besides its row."""
+    return memo.stable_json(dataclasses.asdict(profile))
+
+
+def with_fingerprint(rows: DataFrame, profile: fit.Profile) -> DataFrame:
+    """rows with the fingerprint of what their analysis reads; to be written where postings are taken in, so that later runs needn't read texts."""
+    return rows.withColumn("fingerprint", memo.fingerprint({c: text(c) for c in ANALYSED_FIELDS}, context(profile)))
+
+
+def scored_with_memo(rows: DataFrame, path: str, profile: fit.Profile, today: Column, now, version: int = 1) -> tuple[DataFrame, memo.Stats]:
+    """scored(), analysing only rows whose fingerprint the memo at path has no analysis of. rows: with_fingerprint(), read from a table.
+
+    The result's plan reads neither descriptions nor requirements.
+    """
+
+    def analyse(missing: DataFrame) -> DataFrame:
+        return analysed(missing, profile).select("fingerprint", *ANALYSIS)
+
+    keep = rows.drop("description", "requirements")
+    found, stats = memo.remembered(rows, path, analyse, version, now, keep=keep.columns, valid=F.col("fit").isNotNull() & F.col("role_class").isNotNull())
+    return decided(found, profile, today), stats
 
 
 def _reasons() -> Column:

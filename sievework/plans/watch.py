@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.decisions import STUDENT_REASONS
 from ..functions.posting_rules import is_internship, is_open
 from ..functions.text import C, col, text
+from ..operators.storage import written
 
 # Tracks that the role swe takes in, and texts of decisions.
 SWE_TRACKS = (
@@ -64,11 +65,12 @@ def with_gate(scored: DataFrame, targets: Collection[str] = ("swe",), students:
     ))
 
 
-def matches(scored: DataFrame, targets: Collection[str] = ("swe",), least: int | None = None, active: C | None = None) -> DataFrame:
+def matches(scored: DataFrame, targets: Collection[str] = ("swe",), least: int | None = None, active: C | None = None, write: bool = False) -> DataFrame:
     """The rows of scored, with their gate, that are open internships, pass it and fit by `least` or more. scored: title, internship_type, deadline_days_left too.
 
-    scored should be a written table: on the plan of a posting run itself it didn't end within minutes, even for four rows.
+    write: scored is the plan of a run, not a table. It is written to the shared folder first: a filter on the gate would be
+    pushed into the run's projections and copy the whole derivation of each column into every use of it.
     """
-    gated = with_gate(scored, targets)
+    gated = with_gate(written(scored, "scored") if write else scored, targets)
     kept = is_internship() & is_open(F.lit(None).cast("boolean") if active is None else active) & F.col("gate.watcher_eligible")
     return gated.where(kept if least is None else kept & (F.col("gate.fit_score") >= least))

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from sievework.plans import posting_queries, posting_run, watch
@@ -33,6 +35,10 @@ def test_from_files_to_matches(spark, tmp_path):
         'Dome,Backend Engineer,"Boston, MA",Build REST APIs.,"Python, SQL"\n'
     )
     out, _ = posting_run.run(spark, str(path), posting_queries.PROFILE, F.lit("2026-06-09").cast("date"))
+    began = time.perf_counter()
+    kept = watch.matches(out, write=True).select("company")
+    kept._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - began < 60 and [r.company for r in kept.collect()] == ["Acme"]
     out.write.parquet(str(tmp_path / "scored"))
     out = spark.read.parquet(str(tmp_path / "scored"))
     gates = {r.company: r.gate for r in watch.with_gate(out).collect()}
