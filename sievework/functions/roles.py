@@ -114,18 +114,23 @@ PAIRS = (
 )
 CLOUD_BESIDE = r"code|api|service|platform|developer|software"
 AI_ANALYST_TITLES = ("data ai intern analyst", "data and ai intern analyst")
-BANKS, BANK_TITLES, BANK_SEASON = ("capital one", "capital one financial"), ("technology intern", "technology internship program", "technology internship program intern"), r"^technology internship program summer [0-9]{4}$"
+CAPITAL_ONE, CAPITAL_ONE_TITLES, CAPITAL_ONE_SEASON = ("capital one", "capital one financial"), ("technology intern", "technology internship program", "technology internship program intern"), r"^technology internship program summer [0-9]{4}$"
 NOTHING = "No clear role signals in the title or description."
 
 ROLE = "struct<role:string,label:string,confidence:double,evidence:array<string>,role_track:string,role_track_label:string,software_evidence:array<string>,non_swe_evidence:array<string>>"
 
 
+def _any_case(pattern: str) -> str:
+    """Capitals with accents too, where a pattern has any such letter."""
+    return f"(?i){pattern}" if pattern.isascii() else f"(?iu){pattern}"
+
+
 def _has(c: Column, pattern: str) -> Column:
-    return c.rlike(f"(?i){pattern}")
+    return c.rlike(_any_case(pattern))
 
 
 def _first(c: Column, pattern: str) -> Column:
-    return F.trim(F.regexp_extract(c, f"(?i){pattern}", 0))
+    return F.trim(F.regexp_extract(c, _any_case(pattern), 0))
 
 
 def found(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
@@ -186,7 +191,7 @@ def _decisions() -> list[Decision]:
     no = F.array().cast("array<string>")
     return [
         Decision(key.isin(*AI_ANALYST_TITLES), "ml_ai", 0.82, [_quoted("exact Data & AI internship title: ", title)], only_software=F.array(title)),
-        Decision(company_key("company").isin(*BANKS) & (key.isin(*BANK_TITLES) | key.rlike(BANK_SEASON)), "general_swe", 0.82, [_quoted("Capital One technology internship title: ", title)], only_software=F.array(title)),
+        Decision(company_key("company").isin(*CAPITAL_ONE) & (key.isin(*CAPITAL_ONE_TITLES) | key.rlike(CAPITAL_ONE_SEASON)), "general_swe", 0.82, [_quoted("Capital One technology internship title: ", title)], only_software=F.array(title)),
         # clerical work isn't data work
         Decision(_has(title, "data entry"), "non_technical", 0.9, ['title: "data entry"'], other=F.array(F.lit("data entry"))),
         Decision((strategy != "") & soft.isNull(), "non_technical", 0.86, [_quoted("business-strategy title: ", strategy)], also=F.array(F.concat(F.lit("non_technical: "), strategy))),

@@ -1,4 +1,4 @@
-"""Queries of the posting side: rules on fixed postings with rows worked out by hand, decisions on the driver's tables with their SQL."""
+"""Queries of the posting side: rules on parts advertised by given wordings, decisions on the driver's tables, each with SQL of the rule."""
 
 from __future__ import annotations
 
@@ -109,33 +109,97 @@ COUNTRY_ROWS = (
 PROFILE = fit.Profile(skills=("python", "java", "sql", "react", "docker"), interests=("backend", "ml/ai"), preferred_locations=("ithaca", "new york", "boston"))
 
 
-def _sql(rows, names: str, picked: tuple[int, ...]) -> str:
+def _values(rows, names: str) -> str:
     def lit(v):
-        return "NULL" if v is None else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+        return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(lit(r[i]) for i in picked) + ')' for r in rows)}) AS t({names})"
+    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
 
 
 def _postings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([r[:5] for r in ROLE_ROWS], "k int, title string, company string, description string, requirements string")
 
 
-@query(_sql(ROLE_ROWS, "k, role, role_track, confidence", (0, 5, 6, 7)))
+def _advertised(spark: SparkSession, sf: str, texts: DataFrame, n: int) -> DataFrame:
+    """Each part, advertised by the wordings of one of the texts (k, title, company, description, requirements): its name and type follow the description, every other title is in capitals."""
+    p = read(spark, sf, "part")
+    own = p.join(F.broadcast(texts), F.pmod("p_partkey", F.lit(n)) + 1 == F.col("k")).drop("k")
+    return own.select(
+        F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 2 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"), F.coalesce("company", "p_brand").alias("company"),
+        F.concat_ws(" ", "description", "p_name", "p_type").alias("description"), "requirements",
+    )
+
+
+def _advertised_sql(rows) -> str:
+    """The same in SQL, with texts in lower case: title, company, body, whole."""
+    values = _values([r[:5] for r in rows], "n, title, company, description, requirements")
+    return f"""a AS (SELECT p_partkey AS k, lower(coalesce(title, '')) AS title, lower(coalesce(company, p_brand)) AS company, lower(concat_ws(' ', description, p_name, p_type, coalesce(requirements, ''))) AS body FROM part JOIN {values} ON p_partkey % {len(rows)} + 1 = n),
+b AS (SELECT *, title || ' ' || body AS whole FROM a)"""
+
+
+#: The decisions in their order, as far as the wordings above go: condition on the texts, track, confidence.
+ROLE_RULES = (
+    ("title = 'data & ai intern - analyst'", "'ml_ai'", 0.82),
+    ("company = 'capital one' AND title = 'technology intern'", "'general_swe'", 0.82),
+    ("contains(title, 'data entry')", "'non_technical'", 0.9),
+    ("contains(title, 'strategy')", "'non_technical'", 0.86),
+    (r"regexp_matches(title, '\bembedded intern')", "CASE WHEN regexp_matches(whole, 'firmware|embedded software') THEN 'embedded_software' ELSE 'electrical_hardware' END", 0.78),
+    ("contains(title, 'automation test')", "'sdet_qa_automation'", 0.78),
+    ("contains(title, 'web developer')", "'full_stack'", 0.78),
+    ("contains(title, 'internship program') AND regexp_matches(body, 'tracks include.*software')", "'general_swe'", 0.64),
+    ("contains(title, 'backend') AND regexp_matches(whole, 'apis?|software')", "'backend'", 0.87),
+    ("contains(title, 'backend')", "'backend'", 0.82),
+    ("contains(title, 'devops')", "'devops'", 0.82),
+    ("contains(title, 'product manager') AND regexp_matches(whole, 'production code|programming')", "CASE WHEN contains(whole, 'api') THEN 'backend' ELSE 'general_swe' END", 0.7),
+    ("contains(title, 'quality engineer') AND contains(whole, 'qa automation')", "'sdet_qa_automation'", 0.82),
+    ("contains(title, 'automation engineer') AND NOT contains(title, 'factory') AND regexp_matches(whole, 'software|apis?')", "'platform_infra'", 0.72),
+    ("contains(title, 'automation engineer') AND contains(whole, 'firmware')", "'firmware'", 0.74),
+    ("contains(title, 'product manager')", "'product'", 0.82),
+    ("contains(title, 'mechanical engineer')", "'mechanical_manufacturing'", 0.82),
+    ("contains(title, 'cloud') AND contains(whole, 'platform services')", "'cloud'", 0.68),
+    ("contains(title, 'cloud')", "'other_engineering'", 0.68),
+    ("contains(title, 'embedded engineer')", "CASE WHEN regexp_matches(whole, 'firmware|software|production code') THEN 'embedded_software' ELSE 'electrical_hardware' END", 0.7),
+    ("contains(title, 'engineer') AND regexp_matches(whole, 'software|production code')", "'general_swe'", 0.68),
+    ("contains(title, 'engineer')", "'other_engineering'", 0.66),
+    ("contains(body, 'data engineering')", "'data_engineering'", 0.58),
+    ("regexp_matches(whole, 'code review|software')", "'general_swe'", 0.58),
+    ("contains(body, 'marketing')", "'non_technical'", 0.55),
+    ("true", "'unknown'", 0.2),
+)
+ROLES_OF_SQL = {"swe": ("backend", "full_stack", "general_swe", "platform_infra", "devops", "cloud", "embedded_software", "firmware", "sdet_qa_automation"), "data_science": ("data_engineering",), "ml_ai": ("ml_ai",), "product": ("product",), "non_technical": ("non_technical",)}
+ROLE_SQL = f"""{_advertised_sql(ROLE_ROWS)},
+c AS (SELECT k, whole, CASE {' '.join(f"WHEN {when} THEN {track}" for when, track, _ in ROLE_RULES)} END AS role_track, CASE {' '.join(f"WHEN {when} THEN CAST({sure} AS DOUBLE)" for when, _, sure in ROLE_RULES)} END AS confidence FROM b),
+r AS (SELECT *, CASE {' '.join(f"WHEN role_track IN {tracks if len(tracks) > 1 else repr(tracks).replace(',', '')} THEN '{role}'" for role, tracks in ROLES_OF_SQL.items())} ELSE 'unknown' END AS role FROM c)"""
+
+
+@query(f"WITH {ROLE_SQL} SELECT k, role, role_track, confidence FROM r")
 def role_classes(spark, sf):
-    c = roles.with_role(_postings(spark))
+    c = roles.with_role(_advertised(spark, sf, _postings(spark), len(ROLE_ROWS)))
     return c.select("k", "role_class.role", "role_class.role_track", "role_class.confidence")
 
 
-@query(_sql(FIT_ROWS, "k, score, explanation", (0, 1, 2)))
+@query(f"""WITH {ROLE_SQL},
+f AS (SELECT k, CASE role_track {' '.join(f"WHEN '{t}' THEN {n}" for t, n in fit.TRACK_AFFINITY.items() if n)} ELSE 0 END AS base, role_track, whole,
+  CAST(regexp_matches(whole, '\\bpython\\b') AS INTEGER) + CAST(regexp_matches(whole, '\\bjava\\b') AS INTEGER) + CAST(regexp_matches(whole, '\\brest\\b|\\bapis?\\b|\\bbackend\\b|\\bservices?\\b') AS INTEGER)
+  + CAST(contains(whole, 'analytics') AS INTEGER) + CAST(regexp_matches(whole, '\\btesting\\b') AS INTEGER) AS skills,
+  2 * (CAST(regexp_matches(whole, '\\bdeploy\\b') AS INTEGER) + CAST(regexp_matches(whole, '\\bfinance\\b') AS INTEGER)) AS small,
+  CASE WHEN regexp_matches(whole, 'firmware|embedded|hardware|mechanical|cad\\b') OR role_track IN ('embedded_software', 'firmware') THEN 10 ELSE 0 END AS cost FROM r)
+SELECT k, CAST(CASE WHEN base = 0 OR role_track IN ('cloud', 'devops') AND NOT regexp_matches(whole, 'apis?\\b|services?\\b|backend') THEN 0 ELSE least(94, base + least(16, 4 * skills) + least(6, small) - cost) END AS INTEGER) AS score FROM f""")
 def role_relevance(spark, sf):
-    c = roles.with_role(_postings(spark)).where(F.col("k").isin(*(r[0] for r in FIT_ROWS)))
-    return fit.with_fit(c, fit.Profile()).select("k", "fit.score", "fit.explanation")
+    c = roles.with_role(_advertised(spark, sf, _postings(spark), len(ROLE_ROWS)))
+    return fit.with_fit(c, fit.Profile()).select("k", "fit.score")
+
+
+PLACE_TEXTS = tuple(r[:3] for r in PLACE_ROWS)
 
 
-@query(_sql(PLACE_ROWS, "k, score", (0, 3)))
+@query(f"""WITH p AS (SELECT p_partkey AS k, lower(coalesce(location, '')) AS loc, lower(coalesce(how, '')) AS how FROM part JOIN {_values(PLACE_TEXTS, "n, location, how")} ON p_partkey % {len(PLACE_TEXTS)} + 1 = n),
+l AS (SELECT *, regexp_matches(loc, 'ithaca|new york|boston') AS liked FROM p)
+SELECT k, CASE WHEN contains(how, 'remote') OR trim(loc) = 'remote' THEN 100 WHEN contains(how, 'hybrid') AND liked THEN 85 WHEN contains(how, 'hybrid') THEN 60 WHEN liked THEN 75 WHEN loc = '' THEN 60 WHEN regexp_matches(loc, 'india|bengaluru|bangalore|london|berlin|toronto|singapore') THEN 30 ELSE 50 END AS score FROM l""")
 def place_scores(spark, sf):
-    rows = spark.createDataFrame([r[:3] for r in PLACE_ROWS], "k int, location string, remote_status string")
-    return rows.select("k", fit.place(PROFILE)["score"].alias("score"))
+    at = spark.createDataFrame(PLACE_TEXTS, "k int, location string, remote_status string")
+    rows = read(spark, sf, "part").join(F.broadcast(at), F.pmod("p_partkey", F.lit(len(PLACE_TEXTS))) + 1 == F.col("k"))
+    return rows.select(F.col("p_partkey").alias("k"), fit.place(PROFILE)["score"].alias("score"))
 
 
 @query(None)
@@ -223,17 +287,52 @@ def alert_modes(spark, sf):
     return read(spark, sf, "events").select("event_id", allowed.alias("allowed"))
 
 
-@query(_sql(ELIGIBILITY_ROWS, "k, exclusion_reason, degree_level, negated, mixed", (0, 5, 6, 7, 8)))
+ELIGIBILITY_TEXTS = tuple((k, title, company, description, requirements) for k, company, title, requirements, description, *_ in ELIGIBILITY_ROWS)
+
+
+#: What closes a posting, as far as the wordings above go: condition on the title or the body, reason, level.
+CLOSING_RULES = (
+    ("regexp_matches(title, 'post-?doc')", "phd_only", "postdoctoral"),
+    ("regexp_matches(title, '(phd|doctoral).*intern') OR regexp_matches(body, 'enrolled in a (phd|doctoral)')", "phd_only", "phd"),
+    ("regexp_matches(title, 'graduate (student |research )?intern') AND NOT contains(title, 'undergraduate')", "graduate_only", "graduate"),
+    ("regexp_matches(title, 'mba intern')", "graduate_only", "mba"),
+    ("regexp_matches(title, 'law student intern')", "graduate_only", "jd"),
+    ("regexp_matches(body, 'must be enrolled in a master')", "graduate_only", "masters"),
+    ("regexp_matches(body, '(^|[^r])graduate students only')", "graduate_only", "graduate"),
+    ("regexp_matches(body, '(freshmen|freshman|sophomores) only|exclusively to first-year')", "freshman_only", "undergraduate"),
+    ("regexp_matches(title, 'returning intern') OR regexp_matches(body, 'return internship for former|prior internship program participants|completed an internship with acme')", "returning_intern_only", "unspecified"),
+)
+_UNDER = "undergraduate|bachelor|freshm[ae]n|first-year|sophomore|third year"
+
+
+@query(f"""WITH {_advertised_sql(ELIGIBILITY_TEXTS)}
+SELECT k, CASE {' '.join(f"WHEN {when} THEN '{reason}'" for when, reason, _ in CLOSING_RULES)} END AS exclusion_reason,
+CASE {' '.join(f"WHEN {when} THEN '{level}'" for when, _, level in CLOSING_RULES)} WHEN regexp_matches(whole, '{_UNDER}') THEN 'undergraduate' ELSE 'unspecified' END AS degree_level,
+regexp_matches(body, 'degree not required') AS negated,
+regexp_matches(body, 'bachelor.s, master.s|bachelor.s program, currently enrolled in a master|freshmen and sophomores') AS mixed FROM b""")
 def student_eligibility(spark, sf):
-    df = spark.createDataFrame([r[:5] for r in ELIGIBILITY_ROWS], "k int, company string, title string, requirements string, description string")
+    texts = spark.createDataFrame(ELIGIBILITY_TEXTS, "k int, title string, company string, description string, requirements string")
     e = "student_eligibility."
-    return eligibility.with_eligibility(df).select("k", e + "exclusion_reason", e + "degree_level", F.col(e + "negation_detected").alias("negated"), F.col(e + "mixed_eligibility_detected").alias("mixed"))
+    return eligibility.with_eligibility(_advertised(spark, sf, texts, len(ELIGIBILITY_TEXTS))).select("k", e + "exclusion_reason", e + "degree_level", F.col(e + "negation_detected").alias("negated"), F.col(e + "mixed_eligibility_detected").alias("mixed"))
+
+
+COUNTRY_TEXTS = tuple(r[:5] for r in COUNTRY_ROWS)
+_US_SQL, _OTHER_SQL = r"\b(usa|u s a?|us|united states|puerto rico|guam)\b", r"\b(united kingdom|mexico|canada|india|emea|france|germany|sao tome and principe|czech republic|cote d ivoire)\b"
 
 
-@query(_sql(COUNTRY_ROWS, "k, status, reason", (0, 5, 6)))
+@query(f"""WITH p AS (SELECT p_partkey AS k, coalesce(country, '') AS country, coalesce(location, '') AS location, regexp_replace(lower(strip_accents(replace(concat_ws(' / ', location, how), chr(8217), ' '))), '[^a-z0-9]+', ' ', 'g') AS loc,
+  regexp_replace(lower(concat_ws(' ', description, p_name)), 'join us', '') AS said FROM part JOIN {_values(COUNTRY_TEXTS, "n, country, location, how, description")} ON p_partkey % {len(COUNTRY_TEXTS)} + 1 = n),
+q AS (SELECT *, regexp_replace(loc, 'new mexico', '') AS bare, regexp_extract(said, '[^.]*\\b(team in|work in|based|located|offices?)\\b[^.]*') AS sentence FROM p),
+r AS (SELECT k, CASE WHEN country IN ('US', 'USA') THEN 'us' WHEN country <> '' AND (length(country) = 2 OR regexp_matches(lower(country), '{_OTHER_SQL}')) THEN 'outside_us' WHEN country = '' AND regexp_matches(loc, '{_US_SQL}') THEN 'us'
+  WHEN country = '' AND (regexp_matches(bare, '{_OTHER_SQL}') OR regexp_matches(location, '^(IND|GBR|CAN) -')) THEN 'outside_us' END AS placed,
+  CASE WHEN regexp_matches(sentence, 'united states') THEN 'us' WHEN regexp_matches(sentence, '{_OTHER_SQL}') THEN 'outside_us' END AS told FROM q),
+s AS (SELECT k, CASE WHEN placed = 'us' OR told = 'us' THEN 'us' ELSE coalesce(placed, told, 'ambiguous') END AS status FROM r)
+SELECT k, status, CASE WHEN status = 'outside_us' THEN status END AS reason FROM s""")
 def places_of_work(spark, sf):
-    df = spark.createDataFrame([r[:5] for r in COUNTRY_ROWS], "k int, country string, location string, remote_status string, description string")
-    return country.with_country(df, country="country").select("k", "location_decision.status", "location_decision.reason")
+    at = spark.createDataFrame(COUNTRY_TEXTS, "n int, country string, location string, remote_status string, description string")
+    rows = read(spark, sf, "part").join(F.broadcast(at), F.pmod("p_partkey", F.lit(len(COUNTRY_TEXTS))) + 1 == F.col("n"))
+    rows = rows.select(F.col("p_partkey").alias("k"), "country", "location", "remote_status", F.concat_ws(" ", "description", "p_name").alias("description"))
+    return country.with_country(rows, country="country").select("k", "location_decision.status", "location_decision.reason")
 
 
 GATE_SQL = """WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'phd_only' WHEN o_orderkey % 35 = 1 THEN 'unheard_of' END AS student, CASE WHEN o_orderkey % 3 = 0 THEN 'outside_us' END AS place,

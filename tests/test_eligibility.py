@@ -65,6 +65,7 @@ def test_columns_of_others_stay(spark):
     assert eligibility.with_eligibility(df.where("score < 0")).count() == 0
 
 
-def test_rows_of_the_query(spark, sf):
-    got = {r.k: (r.exclusion_reason, r.degree_level, r.negated, r.mixed) for r in posting_queries.QUERIES["student_eligibility"](spark, sf).collect()}
+def test_rows_worked_out_by_hand(spark):
+    df = spark.createDataFrame([r[:5] for r in posting_queries.ELIGIBILITY_ROWS], "k int, company string, title string, requirements string, description string")
+    got = {r.k: (e.exclusion_reason, e.degree_level, e.negation_detected, e.mixed_eligibility_detected) for r in eligibility.with_eligibility(df).collect() for e in [r.student_eligibility]}
     assert got == {r[0]: r[5:] for r in posting_queries.ELIGIBILITY_ROWS}

@@ -16,6 +16,15 @@ def classes(spark):
     return {r.k: r.role_class for r in roles.with_role(posting_queries._postings(spark)).collect()}
 
 
+def test_rows_worked_out_by_hand(spark, classes):
+    assert {k: (c.role, c.role_track, c.confidence) for k, c in classes.items()} == {r[0]: r[5:] for r in posting_queries.ROLE_ROWS}
+    f = fit.with_fit(roles.with_role(posting_queries._postings(spark)), fit.Profile())
+    got = {r.k: (r.fit.score, r.fit.explanation) for r in f.collect()}
+    assert all(got[k] == (score, said) for k, score, said in posting_queries.FIT_ROWS)
+    at = spark.createDataFrame([r[:3] for r in posting_queries.PLACE_ROWS], "k int, location string, remote_status string")
+    assert {r.k: r.score for r in at.select("k", fit.place(posting_queries.PROFILE)["score"].alias("score")).collect()} == {r[0]: r[3] for r in posting_queries.PLACE_ROWS}
+
+
 def test_evidence_of_roles(classes):
     assert classes[1].evidence == ['title: "Backend"'] and classes[1].software_evidence == ["APIs", "Java with backend/API context"]
     assert classes[1].role_track_label == "Backend software" and classes[1].label == "Software engineering"
@@ -27,6 +36,13 @@ def test_evidence_of_roles(classes):
     assert classes[25].evidence == ["No clear role signals in the title or description."] and classes[25].software_evidence == []
 
 
+def test_capitals_with_accents(spark):
+    titles = ["Ingeniería informática", "INGENIERÍA INFORMÁTICA", "szoftverfejlesztő", "SZOFTVERFEJLESZTŐ", "DÉVELOPPEUR IA ET AUTOMATISATION", "développeur ia et automatisation"]
+    df = spark.createDataFrame([(t, "", "", "") for t in titles], "title string, company string, description string, requirements string")
+    got = {r.title: r.role_class.role_track for r in roles.with_role(df).collect()}
+    assert all(got[t] == got[t.lower()] for t in titles if t.lower() in got) and got["INGENIERÍA INFORMÁTICA"] != "unknown"
+
+
 def test_scored_postings(spark, tmp_path):
     path = tmp_path / "jobs.csv"
     path.write_text(
