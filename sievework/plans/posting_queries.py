@@ -323,7 +323,7 @@ _US_SQL, _OTHER_SQL = r"\b(usa|u s a?|us|united states|puerto rico|guam)\b", r"\
 @query(f"""WITH p AS (SELECT p_partkey AS k, coalesce(country, '') AS country, coalesce(location, '') AS location, regexp_replace(lower(strip_accents(replace(concat_ws(' / ', location, how), chr(8217), ' '))), '[^a-z0-9]+', ' ', 'g') AS loc,
   regexp_replace(lower(concat_ws(' ', description, p_name)), 'join us', '') AS said FROM part JOIN {_values(COUNTRY_TEXTS, "n, country, location, how, description")} ON p_partkey % {len(COUNTRY_TEXTS)} + 1 = n),
 q AS (SELECT *, regexp_replace(loc, 'new mexico', '') AS bare, regexp_extract(said, '[^.]*\\b(team in|work in|based|located|offices?)\\b[^.]*') AS sentence FROM p),
-r AS (SELECT k, CASE WHEN country IN ('US', 'USA') THEN 'us' WHEN country <> '' AND (length(country) = 2 OR regexp_matches(lower(country), '{_OTHER_SQL}')) THEN 'outside_us' WHEN country = '' AND regexp_matches(loc, '{_US_SQL}') THEN 'us'
+r AS (SELECT k, CASE WHEN country IN ('US', 'USA') THEN 'us' WHEN country <> '' AND (length(country) = 2 OR regexp_matches(lower(strip_accents(replace(country, chr(8217), ' '))), '{_OTHER_SQL}')) THEN 'outside_us' WHEN country = '' AND regexp_matches(loc, '{_US_SQL}') THEN 'us'
   WHEN country = '' AND (regexp_matches(bare, '{_OTHER_SQL}') OR regexp_matches(location, '^(IND|GBR|CAN) -')) THEN 'outside_us' END AS placed,
   CASE WHEN regexp_matches(sentence, 'united states') THEN 'us' WHEN regexp_matches(sentence, '{_OTHER_SQL}') THEN 'outside_us' END AS told FROM q),
 s AS (SELECT k, CASE WHEN placed = 'us' OR told = 'us' THEN 'us' ELSE coalesce(placed, told, 'ambiguous') END AS status FROM r)
