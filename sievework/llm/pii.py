@@ -34,16 +34,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]{4}){2,7}(?:\x20?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _DIGITS = re.compile(r"[0-9]")
 
-_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?:[0-9A-Fa-f]{1,4}|:)(?:[0-9A-Fa-f:]{0,34})(?![0-9A-Za-z:])")
-#: What a name of a secret is set to: the value's span is the match's group.
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?)[\x20\t]{0,4}[:=][\x20\t]{0,4}(?:bearer\x20)?[\"']?([A-Za-z0-9+/_.~=-]{8,512})")
-#: Keys known by how they begin, and hexadecimal digests.
-_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,72}|eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{8,512}|[0-9a-fA-F]{32,128})(?![A-Za-z0-9])")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:.]++(?![0-9A-Za-z])")
+#: What a name of a secret, quoted or not, is set to: up to the closing quote or white space, however long.
+_SECRET = re.compile(
+    r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?)[\"']?"
+    r"[\x20\t]*+(=>|:=|[:=])[\x20\t]*+(?:bearer\x20++)?(?:\"([^\"\n]++)\"|'([^'\n]++)'|([^\s\"'<>]++))"
+)
+#: Keys known by how they begin, and hexadecimal digests, of any length from the shortest on.
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abpr]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|[0-9a-fA-F]{32,}+)(?![A-Za-z0-9])")
 
 #: Words that raise a kind's score, and words that lower any score.
 CONTEXT = {
@@ -133,22 +136,40 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def ipv6s(text: str) -> Iterator[tuple[int, int]]:
-    """Colon-separated groups that are an address: eight groups, or one gap of zeros."""
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Groups of four, the last one shorter, in capitals or not. Words may follow, so of a match's beginnings the longest with the right remainder counts."""
+    for m in _IBAN.finditer(text):
+        end = m.end()
+        while end - m.start() >= 15:
+            if mod_97(text[m.start() : end]):
+                yield m.start(), end
+                break
+            end = text.rfind(" ", m.start(), end)
+
+
+def ipv6s(text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, score) of addresses in any form of RFC 4291: eight groups, a gap of zeros, an IPv4 address at the end. Without a digit it may be a word."""
     for m in _IPV6.finditer(text):
+        said = m.group().rstrip(".")
+        if said.endswith(":") and not said.endswith("::"):
+            said = said[:-1]
+        if len(said) > 45 or said.strip(":") == "":
+            continue
         try:
-            ipaddress.IPv6Address(m.group())
+            ipaddress.IPv6Address(said)
         except ValueError:
             continue
-        yield m.span()
+        yield m.start(), m.start() + len(said), 0.95 if _DIGITS.search(said) else 0.5
 
 
 def secrets(text: str) -> Iterator[tuple[int, int]]:
-    """Values that names of secrets are set to: with a digit, and not one character over and over."""
+    """Values that names of secrets are set to, not one character over and over: with a digit, or in quotes or behind an equals sign, as a bare word behind a colon is prose."""
     for m in _SECRET.finditer(text):
-        value = m.group(1)
-        if len(set(value)) >= 5 and _DIGITS.search(value):
-            yield m.span(1)
+        k = next(k for k in (2, 3, 4) if m[k] is not None)
+        value = m[k] if k < 4 else m[k].rstrip(".,;)]}")
+        sure = k < 4 or m[1] != ":"
+        if len(value) >= (6 if _DIGITS.search(value) else 8) and len(set(value)) >= 5 and (sure or _DIGITS.search(value)):
+            yield m.start(k), m.start(k) + len(value)
 
 
 def _scored(text: str, rank: int, start: int, end: int, score: float) -> Span:
@@ -195,12 +216,12 @@ def find(text: str | None) -> list[Span]:
             base += [_scored(text, 3, a, b, 0.85) for a, b in phones(text)]
     found: list[tuple[int, int, int, float]] = []
     if digits:
-        found += [(4, m.start(), m.end(), 0.95) for m in _IBAN.finditer(text) if mod_97(m.group())]
-        for rank, pattern, score in ((5, _SSN, 0.5), (6, _NATIONAL, 0.5), (9, _KEY, 0.5)):
+        found += [(4, a, b, 0.95) for a, b in ibans(text)]
+        for rank, pattern, score in ((5, _SSN, 0.5), (6, _NATIONAL, 0.5)):
             found += [(rank, m.start(), m.end(), score) for m in pattern.finditer(text)]
-        found += [(8, a, b, 0.95) for a, b in secrets(text)]
+    found += [(8, a, b, 0.95) for a, b in secrets(text)] + [(9, m.start(), m.end(), 0.5) for m in _KEY.finditer(text)]
     if text.count(":") > 1:
-        found += [(7, a, b, 0.95) for a, b in ipv6s(text)]
+        found += [(7, *x) for x in ipv6s(text)]
     more: list[Span] = []
     if found:
         taken = Taken(base)

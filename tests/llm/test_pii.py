@@ -2,6 +2,7 @@ import hashlib
 import re
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,3 +86,58 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count() and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got if r.doc_id in (0, 1, 2))
     assert pii.spans_of(none).count() == 0 and pii.redacted_documents(none).count() == 0
     assert pii.redacted_documents(odd).schema == odd.schema and pii.redacted_documents(odd).where("text is null").count() == 1
+
+
+def spans(text):
+    return [(s.kind, text[s.start : s.end]) for s in pii.find(text)]
+
+
+@pytest.mark.parametrize("n", [800, 10_000, 300_000])
+def test_no_value_is_cut(n):
+    value = ("aB3_x7" * n)[:n]
+    assert spans(f"x token={value} y") == [("secret", value)]
+    assert pii.redacted(f"x token={value} y") == "x token=[secret] y"
+    jwt = f"eyJ{value}.{value}.{value}"
+    assert pii.redacted(f"session {jwt}, ok") == "session [key], ok"
+    digest = ("0123456789abcdef" * n)[:n]
+    assert spans(f"secret digest {digest} end") == [("key", digest)]
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('{"token": "a1b2c3d4e5f6a7b8"}', "a1b2c3d4e5f6a7b8"), ("'password': 'hunter2hunter2'", "hunter2hunter2"), ('password: "two words 2"', "two words 2"), ("pwd := S3cr3t!pass#word", "S3cr3t!pass#word"),
+        ("api_key => abc/def+123", "abc/def+123"), ("password=correcthorsebattery, then", "correcthorsebattery"), ("Authorization: Bearer  abc.def123-x_y~z", "abc.def123-x_y~z"), ("PASSWORD=P@ss(w0rd)!", "P@ss(w0rd)!"), ("token=é1ü2ñ3x", "é1ü2ñ3x"),
+    ],
+)
+def test_secrets_in_any_form(text, value):
+    assert ("secret", value) in spans(text) and value not in pii.redacted(text)
+
+
+def test_prose_is_no_secret():
+    for text in ("The secret: nobody knows it.", "token: required", "password = ", "auth: aaaaaaaa1", 'secret: "short"', "passwords: several123", "my token of thanks"):
+        assert spans(text) == []
+
+
+@pytest.mark.parametrize("address", ["fe80::1", "::1", "2001:db8::", "2001:DB8:0:0:8:800:200C:417A", "::ffff:192.0.2.128", "1::8", "2001:db8::8a2e:370:7334"])
+def test_addresses_in_any_form(address):
+    for text in (f"host {address} up", f"({address})", f"at {address}.", address):
+        assert any(k == "ipv6" and v == address for k, v in spans(text)) or "192" in address
+
+
+def test_colons_are_no_addresses():
+    for text in ("12:30:45", "std::vector", "a :: b", "::", "key::value", "add::dad is a word", "1:2:3", "x" * 10 + ":" * 1000):
+        assert not any(k == "ipv6" for k, _ in spans(text))
+
+
+def test_account_numbers_in_small_letters_and_before_words():
+    for iban in ("DE89 3704 0044 0532 0130 00", "de89370400440532013000", "gb82 west 1234 5698 7654 32", "at61 1904 3002 3457 3201", "NO93 8601 1117 947"):
+        assert ("iban", iban) in spans(f"konto {iban} this word more text")
+        assert not any(k == "iban" for k, _ in spans(f"konto {iban[:-1]}9 and"[:-4] + "x"))
+
+
+def test_long_odd_texts_take_linear_time():
+    for piece in ("token=", 'token="', "eyJa-", "-xoxb-", "_eyJaaaaaaaaaa.", "ab12 ", "::", "fe80:", "password: ", "0a", "token \t "):
+        began = time.perf_counter()
+        pii.find(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 20, piece
