@@ -6,8 +6,8 @@ and one line of each component stays: the first of the corpus.
 
 Null texts and lines without a word have no part in it and stay as they are; lines of any length are read
 whole; a line shorter than a shingle is its own set; equal lines are one line, and of a tie the smaller
-doc_id, then the smaller line number, stays; empty tables give empty tables. Columns of docs
-other than id and text are carried along, whatever their names.
+doc_id, then the smaller line number, stays; empty tables give empty tables. Ids are of any type that
+can be ordered, negative ones too. Columns of docs other than id and text are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..operators.components import components
 from .tables import forget, fresh, written
@@ -30,6 +31,8 @@ GROUPS, UNITS = 3, 4
 THRESHOLD = 0.8
 #: White space of lines and words: ASCII.
 _WORD = "[^\\x20\\x09-\\x0D]"
+#: Stands for a null id: one more than the largest.
+_NO_ID = str(1 << 63)
 
 
 def _characters(line: Column) -> Column:
@@ -58,11 +61,31 @@ def _seeds(n: int) -> list[tuple[int, int]]:
     return [(x >> 34 | 1, x & 0xFFFFFFFF) for x in found]
 
 
+def _is_whole(docs: DataFrame, id_col: str) -> bool:
+    return isinstance(docs.select(id_col).schema[0].dataType, IntegralType)
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(place, line) of every line with a word; place orders lines by doc_id (null last) and number."""
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).cast("decimal(19,0)").alias("_d"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("_no", "line"))
-    place = F.col("_d") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("_no").cast("decimal(10,0)")
-    return rows.select(place.cast("decimal(38,0)").alias("place"), "line").where(F.col("line").rlike(_WORD))
+    """(place, line) of every line with a word; place orders lines by doc_id (null last) and number.
+
+    Places of ids that are whole numbers are numbers, id x 2^31 + number, which aggregate without sorting; others are structs.
+    """
+    rows = docs.select(F.col(id_col).alias("_d"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("_no", "line"))
+    if _is_whole(docs, id_col):
+        of = F.coalesce(F.col("_d").cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)"))
+        place = (of * F.lit(1 << 31).cast("decimal(11,0)") + F.col("_no").cast("decimal(10,0)")).cast("decimal(38,0)")
+    else:
+        place = F.struct(F.col("_d").isNull().alias("nameless"), F.col("_d").alias("doc_id"), F.col("_no").alias("line_no"))
+    return rows.select(place.alias("place"), "line").where(F.col("line").rlike(_WORD))
+
+
+def _taken_apart(kept: DataFrame, whole: bool) -> DataFrame:
+    """doc_id and line_no of places; the remainder is never negative, so ids below zero come back too."""
+    if not whole:
+        return kept.select("place.doc_id", "place.line_no")
+    no = F.pmod("place", F.lit(1 << 31).cast("decimal(38,0)"))
+    doc = ((F.col("place") - no) / F.lit(1 << 31).cast("decimal(11,0)")).cast("decimal(20,0)")
+    return kept.select(F.when(doc < F.lit(_NO_ID).cast("decimal(20,0)"), doc.cast("long")).alias("doc_id"), no.cast("int").alias("line_no"))
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -140,8 +163,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = components(_links(members, sets, threshold)).withColumnRenamed("node", "_node")
     place = places.join(alike, F.col("node") == F.col("_node"), "left")
     kept = place.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("place").alias("place"))
-    doc, no = F.expr(f"place div {1 << 31}"), F.expr(f"cast(place % {1 << 31} as int)")
-    return kept.select(F.when(doc < F.lit((1 << 63) - 1), doc).alias("doc_id"), no.alias("line_no"))
+    return _taken_apart(kept, _is_whole(docs, id_col))
 
 
 def _kept_numbers(kept: DataFrame) -> DataFrame:

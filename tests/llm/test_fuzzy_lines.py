@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from sievework.llm import fuzzy_lines
 
@@ -141,3 +142,13 @@ def test_odd_rows(odd, none):
     assert {r.doc_id for r in got if r.n_kept} >= {3, 5, 7, 8} and all(r.n_kept == 0 for r in got if r.doc_id in (4, None))
     assert fuzzy_lines.counted(none).count() == 0 and fuzzy_lines.deduplicated(none).count() == 0
     assert fuzzy_lines.deduplicated(odd).columns == odd.columns
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [-3, 0, -1, (1 << 63) - 1, -(1 << 63), None, 5]), ("string", ["b", "", "-3", None, "5"])])
+def test_ids_of_any_kind(spark, kind, ids):
+    """Unlike lines of one document all stay, whatever its id: below zero, zero, the least and the largest, none, or a text."""
+    text = "an own line of words\nanother one altogether\n\nthe third is short"
+    frame = spark.createDataFrame([(i, text) for i in ids], f"doc_id {kind}, text string")
+    first = min(i for i in ids if i is not None)
+    assert {r.doc_id: r.kept for r in fuzzy_lines.counted(frame).collect()} == {i: [0, 1, 3] if i == first else [] for i in ids}
+    assert [r.kept for r in fuzzy_lines.counted(frame.where("doc_id is null")).collect()] == [[0, 1, 3]]
