@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 
 def transitions(df: DataFrame, key: str, order: Sequence[str], state: Column) -> DataFrame:
     """df with state, previous (of the key), changed and recovered (from true to false)."""
@@ -43,38 +45,34 @@ def trailing_count(df: DataFrame, key: str, time: str, seconds: int, name: str =
     return df.withColumn("_t", epoch(time)).withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(key).orderBy("_t").rangeBetween(-seconds, 0))).drop("_t")
 
 
-def _anchors(df: DataFrame, key: str, time: str, order: Sequence[str], step: Column, start: Column) -> DataFrame:
-    """One row a key: a fold over its sorted events. A key's events are one row's array: keys are many, events of a key few."""
-    events = F.array_sort(F.collect_list(F.struct(epoch(time).alias("t"), *order)))
-    return df.groupBy(key).agg(events.alias("events")).withColumn("folded", F.aggregate("events", start, lambda acc, e: step(acc, e)))
-
-
 def cooldown(df: DataFrame, key: str, time: str, order: str, seconds: int) -> DataFrame:
     """(key, order) of the events that are let through: the first of a key, then each that comes `seconds` or more after the last let through."""
-    kind = "struct<last:bigint,out:array<bigint>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out")).cast(kind)
 
-    def step(acc, e):
-        passes = acc["last"].isNull() | (e["t"] - acc["last"] >= seconds)
-        return F.struct(F.when(passes, e["t"]).otherwise(acc["last"]).alias("last"), F.when(passes, F.concat(acc["out"], F.array(e[order]))).otherwise(acc["out"]).alias("out")).cast(kind)
+    def step(state: dict, t: int | None, e: object):
+        if t is not None and ("last" not in state or t - state["last"] >= seconds):
+            state["last"] = t
+            yield (e,)
 
-    return _anchors(df, key, time, [order], step, start).select(key, F.explode("folded.out").alias(order))
+    return ordered_fold(df, key, {"t": epoch(time), order: F.col(order)}, [order], step)
 
 
 def anchored_batches(df: DataFrame, key: str, time: str, order: str, seconds: int) -> DataFrame:
     """(key, batch_start, n_events): a batch is opened by the first event after the one before has closed, and closes `seconds` later."""
-    kind = "struct<open:bigint,out:array<struct<start:bigint,n:bigint>>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("open"), F.array().cast("array<struct<start:bigint,n:bigint>>").alias("out")).cast(kind)
-
-    def step(acc, e):
-        opens = acc["open"].isNull() | (e["t"] - acc["open"] >= seconds)
-        last = F.element_at(acc["out"], -1)
-        more = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (last["n"] + 1).alias("n"))))
-        fresh = F.concat(acc["out"], F.array(F.struct(e["t"].alias("start"), F.lit(1).cast("bigint").alias("n"))))
-        return F.struct(F.when(opens, e["t"]).otherwise(acc["open"]).alias("open"), F.when(opens, fresh).otherwise(more).alias("out")).cast(kind)
-
-    out = _anchors(df, key, time, [order], step, start).select(key, F.explode("folded.out").alias("b"))
-    return out.select(key, F.col("b.start").alias("batch_start"), F.col("b.n").alias("n_events"))
+
+    def step(state: dict, t: int | None, _: object):
+        if t is None:
+            return
+        if "open" in state and t - state["open"] < seconds:
+            state["n"] += 1
+            return
+        yield from end(state)
+        state.update(open=t, n=1)
+
+    def end(state: dict):
+        if "open" in state:
+            yield state["open"], state["n"]
+
+    return ordered_fold(df, key, {"t": epoch(time), order: F.col(order)}, {"batch_start": "long", "n_events": "long"}, step, end)
 
 
 def sessions(df: DataFrame, key: str, time: str, order: Sequence[str], seconds: int) -> DataFrame:
