@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alerts, memo
+from ..operators import absence, alerts, cohorts, memo
 from ..operators.storage import shared_dir
 from .driver_queries import query, read
 
@@ -88,3 +88,43 @@ def memo_word_counts(spark, sf):
     memo.remembered(d.where("lang = 'en'"), path, counts(1), 1, day, keep=["fingerprint"])
     out, _ = memo.remembered(d, path, counts(2), 1, day, keep=["doc_id", "fingerprint"])
     return out.select("doc_id", "n_words", "n_chars", (F.col("turn") == 1).alias("was_known"))
+
+
+# -- generations and cohorts ------------------------------------------------------------------------
+
+_SEASON = "nullif(CAST(CAST(props->>'$.k' AS BIGINT) // 40 AS VARCHAR), '0')"
+
+
+@query(f"""WITH s AS (SELECT user_id || '-' || event_type AS identity, user_id AS company, ts AS observed_at, event_id AS seq, {_SEASON} AS season FROM events WHERE event_type IN ('view', 'purchase')),
+r AS (SELECT user_id AS company, ts AS observed_at, event_type <> 'error' AS clean FROM events WHERE event_type IN ('error', 'click', 'signup')),
+l AS (SELECT *, lag(observed_at) OVER o AS last_seen, last_value(season IGNORE NULLS) OVER (PARTITION BY identity ORDER BY observed_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stored FROM s WINDOW o AS (PARTITION BY identity ORDER BY observed_at, seq)),
+m AS (SELECT l.*, (SELECT arg_max(clean, (r.observed_at, NOT clean)) FROM r WHERE r.company = l.company AND r.observed_at <= l.observed_at) AS clean,
+  (SELECT max(r.observed_at) FROM r WHERE r.company = l.company AND NOT clean AND r.observed_at <= l.observed_at) AS broke,
+  (SELECT min(r.observed_at) FROM r WHERE r.company = l.company) AS opened FROM l WHERE last_seen IS NOT NULL),
+n AS (SELECT *, (epoch(observed_at)::BIGINT - epoch(last_seen)::BIGINT) / 86400.0 AS days, CASE WHEN clean THEN coalesce((SELECT min(r.observed_at) FROM r WHERE r.company = m.company AND r.observed_at > m.broke), opened) END AS since FROM m),
+t AS (SELECT *, CASE WHEN season <> stored THEN 'season_change' WHEN since <= last_seen AND floor(epoch(observed_at))::BIGINT - floor(epoch(last_seen))::BIGINT >= 2 * 86400 THEN 'sustained_absence' END AS trigger FROM n)
+SELECT identity, seq, trigger, last_seen, stored AS stored_season, season FROM t WHERE trigger IS NOT NULL""")
+def generation_events(spark, sf):
+    """Views and purchases as sightings of postings, errors, clicks and signups as runs of their user's source."""
+    e = read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    season = F.nullif(F.floor(k / 40).cast("string"), F.lit("0"))
+    s = e.where("event_type in ('view', 'purchase')").select(F.concat_ws("-", "user_id", "event_type").alias("identity"), F.col("user_id").alias("company"), F.col("ts").alias("observed_at"), F.col("event_id").alias("seq"), season.alias("season"))
+    r = e.where("event_type in ('error', 'click', 'signup')").select(F.col("user_id").alias("company"), F.col("ts").alias("observed_at"), (F.col("event_type") != "error").alias("clean"))
+    out = absence.generation_events(s, r, 2)
+    return out.join(s.select("identity", "observed_at", "seq"), ["identity", "observed_at"]).select("identity", "seq", "trigger", "last_seen", "stored_season", "season")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS id, o_totalprice AS price, o_orderpriority AS track FROM orders),
+a AS (SELECT id, row_number() OVER (ORDER BY sha256(concat_ws(chr(31), '11:random', CAST(id AS VARCHAR))), id) AS place FROM p QUALIFY place <= 100),
+b AS (SELECT id, row_number() OVER (ORDER BY price DESC, id) AS place FROM p QUALIFY place <= 100),
+q AS (SELECT id, track, row_number() OVER (PARTITION BY track ORDER BY sha256(concat_ws(chr(31), '11:track', CAST(id AS VARCHAR))), id) AS turn FROM p QUALIFY turn <= 100),
+c AS (SELECT id, row_number() OVER (ORDER BY turn, CASE WHEN track = '5-LOW' THEN 1 ELSE 2 END, track) AS place FROM q QUALIFY place <= 100),
+u AS (SELECT id, 0 AS k, 'random' AS g, place FROM a UNION ALL SELECT id, 1, 'top', place FROM b UNION ALL SELECT id, 2, 'mixed', place FROM c),
+v AS (SELECT id, min((k, place)) AS first, string_agg(g, ',' ORDER BY k) AS groups FROM u GROUP BY id)
+SELECT id, groups, CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS position FROM v""")
+def evaluation_cohorts(spark, sf):
+    """A random, a top and a stratified cohort of orders, a hundred each, and their union."""
+    p = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("track"))
+    drawn = {"random": cohorts.random_cohort(p, 100, 11), "top": cohorts.top_cohort(p, 100, [F.desc("price")]), "mixed": cohorts.stratified_cohort(p, 100, 11, "track", ["5-LOW"])}
+    return cohorts.union_of(drawn).select("id", F.array_join("groups", ",").alias("groups"), "position")
