@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.companies import LEGAL_SUFFIXES
 from ..functions.text import LEGAL_FORMS, company_key
-from ..operators import companies, comparison
+from ..operators import companies, comparison, json_tree
 from ..operators.ranking import first_n_per_group
+from ..operators.storage import written
 from .driver_queries import query, read
 
 # -- company matching: sites of pages are companies, first words of their titles other names of them, words of documents labels ------
@@ -137,14 +138,10 @@ def related_duplicates(spark, sf):
     return comparison.with_related_counts(p, _duplicates(p)).select("id", "duplicate_sightings")
 
 
-def _entries(spark, sf):
-    p = _postings(spark, sf)
-    return p, comparison.summaries(p, _duplicates(p), *_watched(spark, sf))
-
-
 @query(f"""WITH {SUMMARY_SQL} SELECT category, count(id) + count(*) FILTER (e.category = 'no_postings') AS n FROM (SELECT unnest(['github_only', 'direct_only', 'both', 'collected_rejected', 'no_postings']) AS category) LEFT JOIN e USING (category) GROUP BY category""")
 def comparison_counts(spark, sf):
-    return comparison.category_counts(_entries(spark, sf)[1])
+    p = _postings(spark, sf)
+    return comparison.category_counts(comparison.summaries(p, _duplicates(p), *_watched(spark, sf)))
 
 
 @query(f"""WITH {SUMMARY_SQL},
@@ -157,7 +154,28 @@ m AS (SELECT id, string_agg(position, ',' ORDER BY position) AS merged FROM rel
 SELECT CAST(display AS INTEGER) AS display, coalesce(id, '') AS id, company, category, final_reason, priority, CAST(duplicate_sightings AS BIGINT) AS duplicate_sightings, coalesce(merged, '') AS merged FROM v LEFT JOIN m USING (id)""")
 def comparison_details(spark, sf):
     """Details of the 2,000 entries that are kept, of all line items and companies."""
-    p, entries = _entries(spark, sf)
-    kept = comparison.details(comparison.select_details(entries), p, _duplicates(p))
+    p = written(_postings(spark, sf), "postings", tidy=False)
+    entries = comparison.summaries(p, _duplicates(p), *_watched(spark, sf))
+    kept = comparison.details(written(comparison.select_details(entries), "selected", tidy=False), p, _duplicates(p))
     merged = F.array_join(F.transform("trace.deduplication.merge_diagnostics", lambda d: d["position"].cast("string")), ",")
     return kept.select("display", F.coalesce("id", F.lit("")).alias("id"), "company", "category", "final_reason", "priority", "duplicate_sightings", F.coalesce(merged, F.lit("")).alias("merged"))
+
+
+# -- JSON of any depth ------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_linestatus FROM lineitem),
+c AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT path, kind, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (
+  SELECT '$.key' AS path, 'bigint' AS kind, CAST(o_orderkey AS DOUBLE) AS v FROM orders UNION ALL SELECT '$.customer.id', 'bigint', o_custkey FROM orders UNION ALL SELECT '$.customer.priority', 'string', NULL FROM orders
+  UNION ALL SELECT '$.lines[]', 'array', NULL FROM c WHERE n = 0 UNION ALL SELECT '$.lines[].number', 'bigint', l_linenumber FROM l JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL SELECT '$.lines[].marks[]', 'string', NULL FROM l JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT '$.lines[].marks[]', 'string', NULL FROM l JOIN orders ON o_orderkey = l_orderkey) GROUP BY path, kind""")
+def json_tree_paths(spark, sf):
+    """Orders as nested JSON with their lines, opened again: leaves by path, places in arrays left out."""
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.array("l_returnflag", "l_linestatus").alias("marks")))).alias("lines"))
+    o = read(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    whole = F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("priority")).alias("customer"), F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"))
+    tips = json_tree.leaves(json_tree.nodes(o.select("o_orderkey", F.to_json(whole).alias("j")), "o_orderkey", "j"))
+    path = F.when(F.col("kind") == "array", F.concat("path", F.lit("[]"))).otherwise(F.regexp_replace("path", r"\[[0-9]+\]", "[]"))
+    number = F.when(F.col("kind") != "string", F.col("value").cast("double"))
+    return tips.groupBy(path.alias("path"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(number).cast("long").alias("total"))

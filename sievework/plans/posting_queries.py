@@ -202,17 +202,22 @@ def place_scores(spark, sf):
     return rows.select(F.col("p_partkey").alias("k"), fit.place(PROFILE)["score"].alias("score"))
 
 
-@query(None)
-def posting_run(spark, sf):
-    """Documents as postings, scored from end to end: the whole text is the description, key figures vary with the id."""
+def document_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as postings: the whole text is the description, key figures vary with the id."""
     k = F.col("doc_id")
     pick = lambda by, *words: F.element_at(F.array(*(F.lit(w) for w in words)), (F.pmod(k, F.lit(by)) % len(words) + 1).cast("int"))
-    d = read(spark, sf, "documents").select(
+    return read(spark, sf, "documents").select(
         k.alias("pos"), pick(97, "Backend Intern", "Data Science Intern", "Marketing Intern", "Software Engineering Intern", "Engineer Intern", "Summer Analyst").alias("title"),
         F.concat(F.lit("Company "), k % 500).alias("company"), pick(89, "Boston, MA", "London", "", "Austin, TX").alias("location"), pick(83, "Remote", "Hybrid", "On-site", "").alias("remote_status"),
         pick(79, "$35/hr", "unpaid", "$80,000 per year", "competitive", "").alias("compensation"), F.coalesce("text", F.lit("")).alias("description"), pick(73, "Python, SQL and REST APIs", "", "3+ years of Java").alias("requirements"),
         pick(71, "2026-06-20", "", "June 1, 2026").alias("deadline"), pick(67, "Summer", "").alias("internship_type"),
     )
+
+
+@query(None)
+def posting_run(spark, sf):
+    """Documents as postings, scored from end to end."""
+    d = document_postings(spark, sf)
     # rules cost far more than dealing rows out: a file of few splits would keep most cores idle
     cores = spark.sparkContext.defaultParallelism
     if d.rdd.getNumPartitions() < cores:
