@@ -76,17 +76,17 @@ def _indexed(names: DataFrame, ratio: float) -> DataFrame:
     return out.select("name", "n", "i", F.substring(F.col("name"), start + 1, _edge(i + 1, n, k) - start).alias("part"))
 
 
-def _probes(names: DataFrame, ratio: float) -> DataFrame:
-    """What _indexed has of any name similar to name: for each length, segment and shift, the characters of name there."""
+def _probes(names: DataFrame, lengths: DataFrame, ratio: float) -> DataFrame:
+    """What _indexed has of any name similar to name: for each of the lengths (n) that there are, each segment and shift, the characters of name there."""
     m, n, k, i, at = (F.col(c) for c in ("m", "n", "k", "i", "at"))
     least = F.greatest(F.ceil(m * F.lit(ratio / (2 - ratio)) - F.lit(1e-6)).cast("int"), F.lit(1))
-    out = names.withColumn("m", F.length("name")).withColumn("n", F.explode(F.sequence(least, _longest(m, ratio))))
+    out = names.withColumn("m", F.length("name")).withColumn("n", F.explode(F.sequence(least, _longest(m, ratio)))).join(F.broadcast(lengths), "n")
     out = out.withColumn("k", _segments(n, ratio)).withColumn("i", F.explode(F.sequence(F.lit(0), k - 1)))
     budget, start, size = _budget(m, n, ratio), _edge(i, n, k), _edge(i + 1, n, k) - _edge(i, n, k)
     # of the unmatched characters (budget + m - n) / 2 at most are name's, the others the similar name's
     low, high = F.greatest(start - F.floor((budget - m + n) / 2).cast("int"), F.lit(0)), F.least(start + F.floor((budget + m - n) / 2).cast("int"), m - size)
     out = out.withColumn("size", size).withColumn("at", F.explode(F.when(low <= high, F.sequence(low, high))))
-    return out.select("name", "n", "i", F.substring(F.col("name"), at + 1, F.col("size")).alias("part")).distinct()
+    return out.select("name", "n", "i", F.substring(F.col("name"), at + 1, F.col("size")).alias("part"))
 
 
 @F.pandas_udf(DoubleType())
@@ -105,9 +105,12 @@ def similar_names(left: DataFrame, right: DataFrame, ratio: float = SIMILAR) ->
     if ratio < LEAST_RATIO:
         raise ValueError(f"ratio below {LEAST_RATIO}")
     clean = lambda df: df.select("name").where("name <> ''").distinct()
-    a, b = _probes(clean(left), ratio).withColumnRenamed("name", "left_name"), _indexed(clean(right), ratio).withColumnRenamed("name", "right_name")
+    known = clean(right)
+    # a row for each length, so no more than the longest name has characters
+    lengths = known.select(F.length("name").alias("n")).distinct()
+    a, b = _probes(clean(left), lengths, ratio).withColumnRenamed("name", "left_name"), _indexed(known, ratio).withColumnRenamed("name", "right_name")
     near = F.expr(f"levenshtein(left_name, right_name) <= floor((length(left_name) + length(right_name)) * {1 - ratio!r} + 1e-6)")
-    pairs = a.join(b.hint("shuffle_hash"), ["n", "i", "part"]).where(near).select("left_name", "right_name").distinct()
+    pairs = a.join(b, ["n", "i", "part"]).where(near).select("left_name", "right_name").distinct()
     return pairs.withColumn("ratio", _ratio("left_name", "right_name")).where(F.col("ratio") >= ratio)
 
 
