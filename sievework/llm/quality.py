@@ -111,23 +111,24 @@ class Rule:
         return np.where(x >= self.good, 1, np.where(x <= self.bad, 2, 0))
 
 
-#: No two rules read the same words or characters for the same thing: marked words have letters, words without letters have none.
+#: Rules overlap on purpose: symbols in words, in place of words, and long words are signs of the same junk, and
+#: from their agreement EM learns which rules can be trusted. Limits are those of weak rules: each errs alone.
 RULES = (
     Rule("marked words", "n_marked", "n_words", 0.02, 0.2),
     Rule("words without letters", "n_bare", "n_words", 0.1, 0.3),
-    Rule("capitals", "n_upper", "n_letters", 0.2, 0.5),
+    Rule("symbols", "n_symbols", "word_chars", 0.01, 0.05),
+    Rule("capitals", "n_upper", "n_letters", 0.03, 0.05),
     Rule("shouting", "n_bangs", "n_words", 0.05, 0.3),
-    Rule("repeated words", "n_repeat_words", "n_words", 0.2, 0.5),
-    Rule("repeated lines", "n_dup_lines", "n_lines", 0.1, 0.4),
-    Rule("long words", "word_chars", "n_words", 9.0, 14.0),
-    Rule("short words", "word_chars", "n_words", 3.0, 2.0),
-    Rule("sentences", "n_ends", "n_words", 0.01, 0.002),
-    Rule("variety", "n_distinct_words", "n_words", 0.25, 0.1),
+    Rule("repeated words", "n_repeat_words", "n_words", 0.05, 0.2),
+    Rule("repeated lines", "n_dup_lines", "n_lines", 0.05, 0.15),
+    Rule("long words", "word_chars", "n_words", 6.5, 7.5),
+    Rule("short words", "word_chars", "n_words", 4.5, 4.2),
+    Rule("sentences", "n_ends", "n_words", 0.05, 0.04),
+    Rule("variety", "n_distinct_words", "n_words", 0.7, 0.6),
 )
 
-
-#: The largest share of good documents that a rule is taken to object to.
-MISTAKES = 0.005
+#: First guess of "good" where no rule objects, one does, more do.
+FIRST = (0.95, 0.5, 0.05)
 
 
 def patterns(s: dict[str, np.ndarray], rules: tuple[Rule, ...]) -> np.ndarray:
@@ -154,13 +155,14 @@ class Fit:
         return {r.name: float(x) for r, x in zip(rules, right / votes, strict=True)}
 
 
-def fit(counts: dict[int, int], rules: int, rounds: int = 100, mistakes: float = MISTAKES) -> Fit:
+def fit(counts: dict[int, int], rules: int, rounds: int = 100) -> Fit:
     """Expectation-maximisation over the documents that are in question: counts may be 0 for patterns of others, which get a posterior too.
 
     A rule has three outcomes (abstains, good, bad) with probabilities of their own on good and on bad
-    documents. It starts from how many rules object: none, one or more. A rule may not object more often
-    to good documents than to bad ones, so that the classes keep their names. Patterns are taken in
-    order: the result doesn't depend on how the table was gathered.
+    documents. It starts from how many rules object (FIRST). How often a rule is mistaken is learned, from
+    how the others vote on what it objects to: one that the others contradict gets little weight. A rule
+    may not object more often to good documents than to bad ones, so that the classes keep their names.
+    Patterns are taken in order: the result doesn't depend on how the table was gathered.
     """
     keys = sorted(counts)
     if not keys:
@@ -168,17 +170,13 @@ def fit(counts: dict[int, int], rules: int, rounds: int = 100, mistakes: float =
     n = np.array([counts[k] for k in keys], float)
     digits = np.array([[k // 3 ** (rules - 1 - j) % 3 for j in range(rules)] for k in keys])
     votes = np.stack([digits == v for v in range(3)], 2).astype(float)
-    p = np.array([0.95, 0.3, 0.05])[np.minimum((digits == 2).sum(1), 2)]
+    p = np.array(FIRST)[np.minimum((digits == 2).sum(1), 2)]
     every = (n @ votes.reshape(len(keys), -1) + 1e-9).reshape(rules, 3) / (n.sum() + 3e-9)
     for _ in range(rounds):
         a, b = n * p, n * (1 - p)
         # smoothed by two documents that vote as the whole corpus does
         good = ((a @ votes.reshape(len(keys), -1)).reshape(rules, 3) + 2 * every + 1e-3) / (a.sum() + 2 + 3e-3)
         bad = ((b @ votes.reshape(len(keys), -1)).reshape(rules, 3) + 2 * every + 1e-3) / (b.sum() + 2 + 3e-3)
-        # what a rule objects to beyond its mistakes must be bad documents: without this, rules that never object together tell the classes nothing
-        over = np.maximum(good[:, 2] - mistakes, 0)
-        good[:, 2] -= over
-        good[:, 1] += over
         wrong = good[:, 2] > bad[:, 2]
         good[wrong] = bad[wrong] = every[wrong] + 1e-9
         prior = float(np.clip((a.sum() + 1) / (n.sum() + 2), 0.01, 0.99))
