@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from sievework.plans import alert_queries, audit_queries, driver_queries, posting_queries  # noqa: F401  each registers its queries
+from sievework.plans import alert_queries, audit_queries, driver_queries, paging_queries, posting_queries  # noqa: F401  each registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
