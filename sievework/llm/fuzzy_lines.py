@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -29,6 +29,12 @@ SHINGLE = 7
 #: 0.0001 at 0.87. At 0.1 it is found with probability 0.002.
 GROUPS, UNITS = 3, 4
 THRESHOLD = 0.8
+#: Words of 64 bits in a candidate's sketch; a power of two.
+SKETCH = 32
+#: Members of a band that each member meets at first; bands of one more are done with then.
+NEAR = 3
+#: Shingles in a row when signatures are made; there the row is a fifth of the cost.
+STEP = 4
 #: White space of lines and words: ASCII.
 _WORD = "[^\\x20\\x09-\\x0D]"
 #: Stands for a null id: one more than the largest.
@@ -51,7 +57,8 @@ def _hash(characters: Column, start: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of a line's shingles."""
-    whole = F.transform(F.array(_characters(line)), lambda c: F.array_distinct(F.transform(_starts(c), lambda i: _hash(c, i))))
+    at = lambda c: F.sequence(F.lit(1), F.greatest(F.length(c) - F.lit(4 * SHINGLE - 1), F.lit(1)), F.lit(4))  # noqa: E731  in bytes
+    whole = F.transform(F.array(_characters(line)), lambda c: F.array_distinct(F.transform(at(c), lambda i: F.xxhash64(F.substr(c, i, F.lit(4 * SHINGLE))))))
     return F.element_at(whole, 1)
 
 
@@ -99,11 +106,15 @@ def signed(lines: DataFrame) -> DataFrame:
 
     Each value is the least of a permutation (h x odd + number, modulo 2^32) of the shingles' hashes. The
     leading bits of a product depend on all of h, so values of different permutations are independent.
-    A line's shingles stand together in a task, so what is shuffled is one row a line.
+    A line's shingles stand together in a task, so what is shuffled is one row a line. STEP shingles make a
+    row before; where fewer are left the last stands in for them, which changes no minimum.
     """
-    each = lines.select("node", _characters(F.col("line")).alias("c")).select("node", "c", F.explode(_starts(F.col("c"))).alias("i"))
-    each = each.select("node", _hash(F.col("c"), F.col("i")).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
-    value = lambda a, b: (F.col("h") * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
+    last = F.greatest((F.length("c") / 4).cast("int") - F.lit(SHINGLE), F.lit(0))
+    each = lines.select("node", _characters(F.col("line")).alias("c")).select("node", "c", last.alias("last"))
+    each = each.select("node", "c", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    hashes = [_hash(F.col("c"), F.least(F.col("i") + F.lit(k), F.col("last"))).bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"h{k}") for k in range(STEP)]
+    each = each.select("node", *hashes)
+    value = lambda a, b: F.least(*((F.col(f"h{k}") * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(STEP)))
     return each.groupBy("node").agg(*(F.min(value(a, b)).alias(f"m{i}") for i, (a, b) in enumerate(_seeds(GROUPS * UNITS * 2))))
 
 
@@ -116,51 +127,96 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select(F.col("node"), F.explode(F.array(*keys)).alias("band"))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, exactly. Lines are what is shuffled; their sets are made again where a pair meets, if their sizes allow."""
-    told = pairs.join(sets.select(F.col("node").alias("_u"), F.col("line").alias("_a"), F.col("n").alias("_n")), F.col("u") == F.col("_u"))
-    told = told.join(sets.select(F.col("node").alias("_v"), F.col("line").alias("_b"), F.col("n").alias("_m")), F.col("v") == F.col("_v"))
-    told = told.where(F.least("_n", "_m") >= F.lit(threshold) * F.greatest("_n", "_m"))
-    both = F.size(F.array_intersect(shingles(F.col("_a")), shingles(F.col("_b"))))
-    told = told.select("u", "v", "_n", "_m", both.alias("both"))
-    return told.where(F.col("both") >= F.lit(threshold) * (F.col("_n") + F.col("_m") - F.col("both"))).select("u", "v")
+def grouped(bands: DataFrame) -> DataFrame:
+    """(band, node, many, others) of the bands that several lines share: how many they are, and whom a member meets first.
+
+    Those are the band's smallest and the NEAR that follow in an order that differs from band to band. What
+    bands are dealt by is read twice, not made or shuffled again.
+    """
+    dealt = bands.repartition("band")
+    low = dealt.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("_high"), F.count(F.lit(1)).alias("many")).where("low < _high")
+    met = dealt.join(low.select(F.col("band").alias("_band"), "low", "many").hint("shuffle_hash"), F.col("band") == F.col("_band"))
+    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "node"), "node")
+    return met.select("band", "node", "many", F.array("low", *(F.lead("node", k).over(order) for k in range(1, NEAR + 1))).alias("others"))
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """node, at (how many positions a line's shingles have) and w0, w1 ...: SKETCH words of 64 bits, a bit set for each shingle."""
+    each = lines.select("node", _characters(F.col("line")).alias("c")).select("node", "c", F.explode(_starts(F.col("c"))).alias("i"))
+    each = each.select("node", "i", _hash(F.col("c"), F.col("i")).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
+    each = each.select("node", "i", bit.alias("bit"), F.col("h").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("word"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(SKETCH)]
+    return each.groupBy("node").agg((F.max("i") + F.lit(1)).cast("long").alias("at"), *words)
+
+
+def _may_reach(threshold: float, own: str, other: str) -> Column:
+    """Whether two sketches, whose columns' names begin so, allow the threshold: every bit that differs is a shingle of one set alone.
+
+    Of sets with n and m shingles that reach it, at most (n + m) x (1 - threshold) / (1 + threshold) are in one alone;
+    positions are no fewer than shingles. So no pair is lost; pairs of very long lines, whose bits are nearly all set, pass.
+    """
+    differ = sum((F.bit_count(F.col(f"{own}w{k}").bitwiseXOR(F.col(f"{other}w{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{own}w0").bitwiseXOR(F.col(f"{other}w0"))))
+    return differ <= (F.col(f"{own}at") + F.col(f"{other}at")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(0.001)
+
+
+def _named(table: DataFrame, prefix: str) -> DataFrame:
+    return table.select(*(F.col(c).alias(prefix + c) for c in table.columns))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose sketches allow the threshold."""
+    told = pairs.join(_named(sketches, "_a"), F.col("u") == F.col("_anode"))
+    return told.join(_named(sketches, "_b"), (F.col("v") == F.col("_bnode")) & _may_reach(threshold, "_a", "_b")).select("u", "v")
+
+
+def _alike(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose sets reach the threshold, exactly. Lines are what is shuffled; their sets are made where a pair meets, once a pair."""
+    told = pairs.join(lines.select(F.col("node").alias("_u"), F.col("line").alias("_a")), F.col("u") == F.col("_u"))
+    told = told.join(lines.select(F.col("node").alias("_v"), F.col("line").alias("_b")), F.col("v") == F.col("_v"))
+    sets = F.array(F.struct(shingles(F.col("_a")).alias("a"), shingles(F.col("_b")).alias("b")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(s["a"]).alias("n"), F.size(s["b"]).alias("m"), F.size(F.array_distinct(F.concat(s["a"], s["b"]))).alias("either")))
+    return told.where(F.exists(sizes, lambda s: s["n"] + s["m"] - s["either"] >= F.lit(threshold) * s["either"])).select("u", "v")
 
 
-def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _links(members: DataFrame, lines: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
     """Links that connect what the links of all candidate pairs connect.
 
-    First each bucket's members meet its smallest, which is the same in most buckets of a group and joins
-    nearly all of a group of alike lines. Then only pairs of a bucket that are still in different
-    components meet: with L members in the bucket's largest component and S in others, S x (L + S) at
-    most, and none where all are joined.
+    First each band's members meet its smallest, which is the same in most bands of a group, and some
+    others: that joins nearly all of a group of alike lines, and in small bands it is every pair. Then only
+    pairs of a larger band that are still in different components meet: with L members in the band's largest
+    component and S in others, S x (L + S) at most, and none where all are joined. They meet by their
+    sketches; lines are read of those alone that may be alike, and no pair's twice.
     """
-    low = members.groupBy(F.col("band").alias("_band")).agg(F.min("node").alias("c"))
-    met = members.join(low, F.col("band") == F.col("_band")).where("node <> c")
-    asked = met.select(F.greatest("node", "c").alias("u"), F.least("node", "c").alias("v")).distinct()
-    links = written(_alike(asked, sets, threshold), "links")
+    asked = members.select("node", F.explode("others").alias("other")).where("node <> other")
+    asked = asked.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+    told = written(_possible(asked, drawn, threshold), "told")
+    links = written(_alike(told, lines, threshold), "links")
     label = components(links).withColumnRenamed("node", "_node")
-    of = written(members.join(label, F.col("node") == F.col("_node"), "left").select("band", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    of = members.where(F.col("many") > F.lit(NEAR + 1)).join(label, F.col("node") == F.col("_node"), "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    of = written(of, "labelled")
     sizes = of.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy(F.col("band").alias("_band")).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     of = of.join(open_, F.col("band") == F.col("_band")).select("band", "node", "label", (F.col("label") == F.col("main")).alias("in_main"))
-    small = of.where("not in_main").select(F.col("band").alias("_band"), F.col("node").alias("_node"), F.col("label").alias("_label"))
-    rest = of.join(small, (F.col("band") == F.col("_band")) & (F.col("label") != F.col("_label")) & (F.col("in_main") | (F.col("node") < F.col("_node"))))
+    of = of.join(_named(drawn, "_a"), F.col("node") == F.col("_anode")).drop("_anode")
+    small = of.where("not in_main").select(F.col("band").alias("_band"), F.col("node").alias("_node"), F.col("label").alias("_label"), *(F.col(f"_a{c}").alias(f"_b{c}") for c in drawn.columns if c != "node"))
+    apart = (F.col("band") == F.col("_band")) & (F.col("label") != F.col("_label")) & (F.col("in_main") | (F.col("node") < F.col("_node")))
+    rest = of.join(small, apart & _may_reach(threshold, "_a", "_b"))
     rest = rest.select(F.greatest("node", "_node").alias("u"), F.least("node", "_node").alias("v")).distinct()
-    return links.unionByName(written(_alike(rest, sets, threshold), "links"))
+    rest = rest.join(told.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
+    return links.unionByName(written(_alike(rest, lines, threshold), "links"))
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line_no) of the lines that stay among those with a word: the first of each component. Writing the lines fixes their numbers."""
     distinct = written(distinct_lines(docs, id_col, text_col), "lines")
     places = written(distinct.select("node", "place"), "places")
-    meet = written(bands(signed(distinct)), "bands")
-    many = meet.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("band").alias("_band"))
-    members = written(meet.join(many, F.col("band") == F.col("_band"), "left_semi"), "members")
-    forget(meet)
-    some = members.select(F.col("node").alias("_node")).distinct()
-    sets = written(distinct.join(some, F.col("node") == F.col("_node"), "left_semi").select("node", "line", F.size(shingles(F.col("line"))).alias("n")), "candidates")
+    members = written(grouped(bands(signed(distinct))), "members")
+    some = members.select(F.col("node").alias("_node")).distinct().hint("shuffle_hash")
+    lines = written(distinct.select("node", "line").join(some, F.col("node") == F.col("_node"), "left_semi"), "candidates")
     forget(distinct)
-    alike = components(_links(members, sets, threshold)).withColumnRenamed("node", "_node")
+    drawn = written(sketches(lines), "sketches")
+    alike = components(_links(members, lines, drawn, threshold)).withColumnRenamed("node", "_node")
     place = places.join(alike, F.col("node") == F.col("_node"), "left")
     kept = place.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("place").alias("place"))
     return _taken_apart(kept, _is_whole(docs, id_col))

@@ -152,3 +152,41 @@ def test_ids_of_any_kind(spark, kind, ids):
     first = min(i for i in ids if i is not None)
     assert {r.doc_id: r.kept for r in fuzzy_lines.counted(frame).collect()} == {i: [0, 1, 3] if i == first else [] for i in ids}
     assert [r.kept for r in fuzzy_lines.counted(frame.where("doc_id is null")).collect()] == [[0, 1, 3]]
+
+
+def test_bands_are_dealt_once_and_not_written(spark, monkeypatch):
+    """A row for each line and band is the largest table there is: it is shuffled once and never kept."""
+    names, write = [], fuzzy_lines.written
+    monkeypatch.setattr(fuzzy_lines, "written", lambda df, what: names.append(what) or write(df, what))
+    frame = spark.createDataFrame([(i, f"line {i // 2} of words that go on and on for a while {'x' * (i % 2)}") for i in range(40)], "doc_id long, text string")
+    assert len(kept_of(fuzzy_lines.counted(frame))) <= 40 and "members" in names and "bands" not in names
+    lines = write(fuzzy_lines.distinct_lines(frame, "doc_id", "text"), "lines")
+    found = fuzzy_lines.grouped(fuzzy_lines.bands(fuzzy_lines.signed(lines)))
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
+    of = defaultdict(set)
+    for r in fuzzy_lines.bands(fuzzy_lines.signed(lines)).collect():
+        of[r.band].add(r.node)
+    want = {(b, n): len(nodes) for b, nodes in of.items() if len(nodes) > 1 for n in nodes}
+    assert {(r.band, r.node): r.many for r in rows} == want and all(min(of[r.band]) == r.others[0] for r in rows)
+    # in bands of NEAR + 1 lines at most, every two meet
+    met = {(r.band, frozenset((r.node, o))) for r in rows for o in r.others if o is not None}
+    assert all((b, frozenset((x, y))) in met for b, n in of.items() if 1 < len(n) <= fuzzy_lines.NEAR + 1 for x in n for y in n if x != y)
+
+
+def test_sketches_let_every_alike_pair_through(spark):
+    rng = np.random.default_rng(3)
+    letters, lines = list("abcdefgh "), ["", "a", "aaaaaaaaaaaaaaaaaaaa", "ab" * 40, "ab" * 41]
+    for n in (8, 30, 200, 3000):
+        for _ in range(4):
+            line = "".join(rng.choice(letters, n))
+            at = rng.integers(0, n, max(1, n // 60))
+            lines += [line, "".join("#" if i in at else c for i, c in enumerate(line)), line[: n - n // 5], line + line[: n // 9]]
+    frame = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(lines)) for j in range(i)], "u long, v long")
+    through = {tuple(r) for r in fuzzy_lines._possible(pairs, fuzzy_lines.sketches(frame), 0.8).collect()}
+    sets = [set_of(x) for x in lines]
+    alike = {(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike <= through and len(alike) > 20 and len(through) < len(lines) * (len(lines) - 1) // 3
+    assert {tuple(r) for r in fuzzy_lines._alike(pairs, frame, 0.8).collect()} == alike
