@@ -33,8 +33,6 @@ THRESHOLD = 0.8
 SKETCH = 32
 #: Members of a band that each member meets at first; bands of one more are done with then.
 NEAR = 3
-#: Shingles in a row when signatures are made; there the row is a fifth of the cost.
-STEP = 4
 #: White space of lines and words: ASCII.
 _WORD = "[^\\x20\\x09-\\x0D]"
 #: Stands for a null id: one more than the largest.
@@ -106,15 +104,11 @@ def signed(lines: DataFrame) -> DataFrame:
 
     Each value is the least of a permutation (h x odd + number, modulo 2^32) of the shingles' hashes. The
     leading bits of a product depend on all of h, so values of different permutations are independent.
-    A line's shingles stand together in a task, so what is shuffled is one row a line. STEP shingles make a
-    row before; where fewer are left the last stands in for them, which changes no minimum.
+    A line's shingles stand together in a task, so what is shuffled is one row a line.
     """
-    last = F.greatest((F.length("c") / 4).cast("int") - F.lit(SHINGLE), F.lit(0))
-    each = lines.select("node", _characters(F.col("line")).alias("c")).select("node", "c", last.alias("last"))
-    each = each.select("node", "c", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
-    hashes = [_hash(F.col("c"), F.least(F.col("i") + F.lit(k), F.col("last"))).bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"h{k}") for k in range(STEP)]
-    each = each.select("node", *hashes)
-    value = lambda a, b: F.least(*((F.col(f"h{k}") * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(STEP)))
+    each = lines.select("node", _characters(F.col("line")).alias("c")).select("node", "c", F.explode(_starts(F.col("c"))).alias("i"))
+    each = each.select("node", _hash(F.col("c"), F.col("i")).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
+    value = lambda a, b: (F.col("h") * F.lit(a).cast("long") + F.lit(b).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
     return each.groupBy("node").agg(*(F.min(value(a, b)).alias(f"m{i}") for i, (a, b) in enumerate(_seeds(GROUPS * UNITS * 2))))
 
 
@@ -212,8 +206,9 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = written(distinct_lines(docs, id_col, text_col), "lines")
     places = written(distinct.select("node", "place"), "places")
     members = written(grouped(bands(signed(distinct))), "members")
-    some = members.select(F.col("node").alias("_node")).distinct().hint("shuffle_hash")
-    lines = written(distinct.select("node", "line").join(some, F.col("node") == F.col("_node"), "left_semi"), "candidates")
+    # a table of its own: what the bands shuffled is gone before lines are
+    some = written(members.select(F.col("node").alias("_node")).distinct(), "some")
+    lines = written(distinct.select("node", "line").join(some.hint("shuffle_hash"), F.col("node") == F.col("_node"), "left_semi"), "candidates")
     forget(distinct)
     drawn = written(sketches(lines), "sketches")
     alike = components(_links(members, lines, drawn, threshold)).withColumnRenamed("node", "_node")
