@@ -55,8 +55,13 @@ def _hash(characters: Column, start: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of a line's shingles."""
+    return F.array_distinct(_all_shingles(line))
+
+
+def _all_shingles(line: Column) -> Column:
+    """Hashes of a line's shingles, in their order and with repeats."""
     at = lambda c: F.sequence(F.lit(1), F.greatest(F.length(c) - F.lit(4 * SHINGLE - 1), F.lit(1)), F.lit(4))  # noqa: E731  in bytes
-    whole = F.transform(F.array(_characters(line)), lambda c: F.array_distinct(F.transform(at(c), lambda i: F.xxhash64(F.substr(c, i, F.lit(4 * SHINGLE))))))
+    whole = F.transform(F.array(_characters(line)), lambda c: F.transform(at(c), lambda i: F.xxhash64(F.substr(c, i, F.lit(4 * SHINGLE)))))
     return F.element_at(whole, 1)
 
 
@@ -135,23 +140,25 @@ def grouped(bands: DataFrame) -> DataFrame:
 
 
 def sketches(lines: DataFrame) -> DataFrame:
-    """node, at (how many positions a line's shingles have) and w0, w1 ...: SKETCH words of 64 bits, a bit set for each shingle."""
-    each = lines.select("node", _characters(F.col("line")).alias("c")).select("node", "c", F.explode(_starts(F.col("c"))).alias("i"))
-    each = each.select("node", "i", _hash(F.col("c"), F.col("i")).alias("h"))
+    """node, n (how many shingles its set has) and w0, w1 ...: SKETCH words of 64 bits, a bit set for each shingle."""
+    each = lines.select("node", shingles(F.col("line")).alias("set")).select("node", F.size("set").cast("long").alias("n"), F.explode("set").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 58).cast("int"))
-    each = each.select("node", "i", bit.alias("bit"), F.col("h").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("word"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(SKETCH)]
-    return each.groupBy("node").agg((F.max("i") + F.lit(1)).cast("long").alias("at"), *words)
+    each = each.select("node", "n", bit.alias("bit"), F.col("h").bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("word"))
+    # a row a word first: one update a shingle, not one for each word
+    each = each.groupBy("node", "n", "word").agg(F.bit_or("bit").alias("bits"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(SKETCH)]
+    return each.groupBy("node", "n").agg(*words)
 
 
 def _may_reach(threshold: float, own: str, other: str) -> Column:
     """Whether two sketches, whose columns' names begin so, allow the threshold: every bit that differs is a shingle of one set alone.
 
-    Of sets with n and m shingles that reach it, at most (n + m) x (1 - threshold) / (1 + threshold) are in one alone;
-    positions are no fewer than shingles. So no pair is lost; pairs of very long lines, whose bits are nearly all set, pass.
+    Of sets with n and m shingles that reach it, at most (n + m) x (1 - threshold) / (1 + threshold) are in one alone,
+    so no pair is lost. n and m are those of the sets: a line that repeats itself has far more positions, and would let
+    pairs pass that are not nearly alike. Pairs of very long lines, whose bits are nearly all set, pass.
     """
     differ = sum((F.bit_count(F.col(f"{own}w{k}").bitwiseXOR(F.col(f"{other}w{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{own}w0").bitwiseXOR(F.col(f"{other}w0"))))
-    return differ <= (F.col(f"{own}at") + F.col(f"{other}at")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(0.001)
+    return differ <= (F.col(f"{own}n") + F.col(f"{other}n")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(0.001)
 
 
 def _named(table: DataFrame, prefix: str) -> DataFrame:
@@ -168,37 +175,46 @@ def _alike(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, exactly. Lines are what is shuffled; their sets are made where a pair meets, once a pair."""
     told = pairs.join(lines.select(F.col("node").alias("_u"), F.col("line").alias("_a")), F.col("u") == F.col("_u"))
     told = told.join(lines.select(F.col("node").alias("_v"), F.col("line").alias("_b")), F.col("v") == F.col("_v"))
-    sets = F.array(F.struct(shingles(F.col("_a")).alias("a"), shingles(F.col("_b")).alias("b")))
-    sizes = F.transform(sets, lambda s: F.struct(F.size(s["a"]).alias("n"), F.size(s["b"]).alias("m"), F.size(F.array_distinct(F.concat(s["a"], s["b"]))).alias("either")))
-    return told.where(F.exists(sizes, lambda s: s["n"] + s["m"] - s["either"] >= F.lit(threshold) * s["either"])).select("u", "v")
+    # each explode of a single struct keeps the condition from being moved below what it is made of, which would be worked out once a use
+    met = told.select("u", "v", F.explode(F.array(F.struct(_all_shingles(F.col("_a")).alias("a"), _all_shingles(F.col("_b")).alias("b")))).alias("s"))
+    sizes = F.struct(F.size(F.array_distinct("s.a")).alias("n"), F.size(F.array_distinct("s.b")).alias("m"), F.size(F.array_intersect("s.a", "s.b")).alias("both"))
+    sized = met.select("u", "v", F.explode(F.array(sizes)).alias("s"))
+    return sized.where(F.col("s.both") >= F.lit(threshold) * (F.col("s.n") + F.col("s.m") - F.col("s.both"))).select("u", "v")
 
 
-def _links(members: DataFrame, lines: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
-    """Links that connect what the links of all candidate pairs connect.
+def _labels(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """node and label of every line with a link: its component by the links of all candidate pairs. Rows may repeat.
 
     First each band's members meet its smallest, which is the same in most bands of a group, and some
     others: that joins nearly all of a group of alike lines, and in small bands it is every pair. Then only
     pairs of a larger band that are still in different components meet: with L members in the band's largest
     component and S in others, S x (L + S) at most, and none where all are joined. They meet by their
-    sketches; lines are read of those alone that may be alike, and no pair's twice.
+    sketches, which only they have; lines are read of those alone that may be alike, and no pair's twice. What these links join is
+    components, so only their labels, not all links, are joined again.
     """
     asked = members.select("node", F.explode("others").alias("other")).where("node <> other")
     asked = asked.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-    told = written(_possible(asked, drawn, threshold), "told")
+    told = written(asked, "told")
     links = written(_alike(told, lines, threshold), "links")
     label = components(links).withColumnRenamed("node", "_node")
     of = members.where(F.col("many") > F.lit(NEAR + 1)).join(label, F.col("node") == F.col("_node"), "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     of = written(of, "labelled")
     sizes = of.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy(F.col("band").alias("_band")).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    of = of.join(open_, F.col("band") == F.col("_band")).select("band", "node", "label", (F.col("label") == F.col("main")).alias("in_main"))
+    of = written(of.join(open_, F.col("band") == F.col("_band")).select("band", "node", "label", (F.col("label") == F.col("main")).alias("in_main")), "open")
+    drawn = written(sketches(lines.join(of.select(F.col("node").alias("_node")).distinct(), F.col("node") == F.col("_node"), "left_semi")), "sketches")
     of = of.join(_named(drawn, "_a"), F.col("node") == F.col("_anode")).drop("_anode")
     small = of.where("not in_main").select(F.col("band").alias("_band"), F.col("node").alias("_node"), F.col("label").alias("_label"), *(F.col(f"_a{c}").alias(f"_b{c}") for c in drawn.columns if c != "node"))
     apart = (F.col("band") == F.col("_band")) & (F.col("label") != F.col("_label")) & (F.col("in_main") | (F.col("node") < F.col("_node")))
     rest = of.join(small, apart & _may_reach(threshold, "_a", "_b"))
     rest = rest.select(F.greatest("node", "_node").alias("u"), F.least("node", "_node").alias("v")).distinct()
     rest = rest.join(told.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
-    return links.unionByName(written(_alike(rest, lines, threshold), "links"))
+    more = written(_alike(rest, lines, threshold), "links")
+    for end in ("u", "v"):
+        more = more.join(label, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("label", end)).select("u", "v")
+    joined = components(more).select(F.col("node").alias("_old"), F.col("label").alias("_new"))
+    last = label.join(joined, F.col("label") == F.col("_old"), "left").select(F.col("_node").alias("node"), F.coalesce("_new", "label").alias("label"))
+    return last.unionByName(joined.toDF("node", "label"))
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -210,8 +226,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = written(members.select(F.col("node").alias("_node")).distinct(), "some")
     lines = written(distinct.select("node", "line").join(some.hint("shuffle_hash"), F.col("node") == F.col("_node"), "left_semi"), "candidates")
     forget(distinct)
-    drawn = written(sketches(lines), "sketches")
-    alike = components(_links(members, lines, drawn, threshold)).withColumnRenamed("node", "_node")
+    alike = _labels(members, lines, threshold).withColumnRenamed("node", "_node")
     place = places.join(alike, F.col("node") == F.col("_node"), "left")
     kept = place.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("place").alias("place"))
     return _taken_apart(kept, _is_whole(docs, id_col))

@@ -190,3 +190,38 @@ def test_sketches_let_every_alike_pair_through(spark):
     alike = {(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert alike <= through and len(alike) > 20 and len(through) < len(lines) * (len(lines) - 1) // 3
     assert {tuple(r) for r in fuzzy_lines._alike(pairs, frame, 0.8).collect()} == alike
+
+
+def test_sketches_of_lines_that_repeat_themselves(spark):
+    """A passage over and over has no more shingles than once, so far fewer may differ than it has positions."""
+    rng = np.random.default_rng(8)
+    letters, lines = list("abcdefghijklmnopqrstuvwxyz "), []
+    for _ in range(12):
+        once = "".join(rng.choice(letters, 300))
+        other = "".join("#" if i % 25 == 12 else c for i, c in enumerate(once))
+        lines += [once * 4, other * 4]
+    frame = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    sets = [set_of(x) for x in lines]
+    assert all(0.4 < len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.65 for i in range(0, len(lines), 2))
+    pairs = spark.createDataFrame([(i, j) for i in range(len(lines)) for j in range(i)], "u long, v long")
+    assert fuzzy_lines._possible(pairs, fuzzy_lines.sketches(frame), 0.8).count() == 0
+    again = spark.createDataFrame([(0, lines[0]), (1, lines[0] + lines[0][:700]), (2, lines[0][: 4 * 300 - 1])], "node long, line string")
+    through = fuzzy_lines._possible(spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "u long, v long"), fuzzy_lines.sketches(again), 0.8)
+    assert through.count() == 3
+
+
+def test_later_links_join_components_not_lines(spark, monkeypatch):
+    """Where members meet the smallest alone at first, what is left open is joined by labels, to the same components; only open lines have sketches."""
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 1000))
+    windows = [text[15 * k : 15 * k + 200] for k in rng.permutation(40).tolist()]
+    alone = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 150)) for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(windows + [x for a in alone for x in (a, a + "!")])), "doc_id long, text string")
+    want, edges, drawn, join, draw = brute([(r.doc_id, r.text) for r in frame.collect()])[0], [], [], fuzzy_lines.components, fuzzy_lines.sketches
+    monkeypatch.setattr(fuzzy_lines, "NEAR", 0)
+    monkeypatch.setattr(fuzzy_lines, "components", lambda e: edges.append(e.select("u", "v").collect()) or join(e))
+    monkeypatch.setattr(fuzzy_lines, "sketches", lambda x: drawn.append(x.count()) or draw(x))
+    assert kept_of(fuzzy_lines.counted(frame)) == want and len(want) == 21
+    first, later = edges
+    label = {r.u: r.label for r in join(spark.createDataFrame(first, "u long, v long")).withColumnRenamed("node", "u").collect()}
+    assert later and all(label.get(x, x) == x for e in later for x in e) and 0 < drawn[0] <= 40
