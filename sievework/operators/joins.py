@@ -42,13 +42,19 @@ def any_key_anti_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[st
 
 
 def tiered_join(left: DataFrame, right: DataFrame, tiers: Sequence[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id, tier) of the best tier for each left row: equal keys of an earlier pair win, ties go to the smaller right_id."""
-    found = []
-    for n, (a, b) in enumerate(tiers):
-        l_, r = left.select(F.col(left_id), F.col(a).alias("_a")), right.select(F.col(right_id), F.col(b).alias("_b"))
-        found.append(l_.join(r, F.col("_a") == F.col("_b")).where("_a <> ''").select(left_id, right_id, F.lit(n).alias("tier")))
-    every = reduce(DataFrame.unionByName, found)
-    best = every.groupBy(left_id).agg(F.min(F.struct("tier", right_id)).alias("_best"))
+    """(left_id, right_id, tier) of the best tier for each left row: equal keys of an earlier pair win, ties go to the smaller right_id, null last.
+
+    Of the right rows of a key only the smallest can win, so it alone meets the left rows: a key that many rows of both
+    tables have is as many rows as the left table has.
+    """
+    found = left.select(F.col(left_id), *(F.col(a).alias(f"_a{n}") for n, (a, _) in enumerate(tiers)))
+    arms = []
+    for n, (_, b) in enumerate(tiers):
+        least = right.where(F.col(b) != "").groupBy(F.col(b).alias(f"_b{n}")).agg(F.min(right_id).alias("_least"))
+        least = least.select(f"_b{n}", F.struct(F.lit(n).alias("tier"), F.col("_least").isNull().alias("_none"), F.col("_least").alias(right_id)).alias(f"_t{n}"))
+        found = found.join(least, F.col(f"_a{n}") == F.col(f"_b{n}"), "left")
+        arms.append(F.col(f"_t{n}"))
+    best = found.select(F.col(left_id), F.coalesce(*arms).alias("_best")).where("_best is not null").groupBy(left_id).agg(F.min("_best").alias("_best"))
     return best.select(left_id, F.col(f"_best.{right_id}").alias(right_id), F.col("_best.tier").alias("tier"))
 
 
