@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .posting_signals import skills
 from .scores import clamp
-from .text import C, col, labels_of, text
+from .text import C, col, text
+from .wordings import has, labels_of
 
 
 @dataclass(frozen=True)
@@ -102,17 +103,19 @@ def with_fit(df: DataFrame, profile: Profile, role: str = "role_class", name: st
     r = col(role)
     track, base = r["role_track"], affinity(role, profile)
     df = df.withColumn("_all", F.concat_ws(" ", text("title"), text("description"), text("requirements")))
-    df = df.withColumns({"_strong": labels_of("_all", STRONG_SKILLS), "_small": labels_of("_all", SMALL_GAINS), "_core": F.col("_all").rlike(CORE_STACK)})
-    full, strong, small, core = F.col("_all"), F.col("_strong"), F.col("_small"), F.col("_core")
+    df = df.withColumn("_low", F.lower("_all"))
+    says = lambda pattern: has("_all", "_low", pattern)
+    df = df.withColumns({"_strong": labels_of("_all", STRONG_SKILLS, "_low"), "_small": labels_of("_all", SMALL_GAINS, "_low"), "_core": says(CORE_STACK)})
+    strong, small, core = F.col("_strong"), F.col("_small"), F.col("_core")
     # Costs, each with its condition and its words.
     costs = (
-        (full.rlike(CPLUS) & ~core, 6, "C++ stack with no Python/Java/SQL/JS/TS overlap"),
-        (full.rlike(GO_RUST) & ~core, 8, "Go/Rust stack with no Python/Java/SQL/JS/TS overlap"),
-        (full.rlike(LOW_LEVEL) | track.isin("embedded_software", "firmware"), 10, "low-level/embedded/hardware-heavy context"),
-        (track.isin("devops", "cloud") & full.rlike(OPERATIONS) & ~full.rlike(PRODUCT_WORK), 10, "ops/cloud/SRE work without backend product development"),
-        (full.rlike(REPORTING) & ~full.rlike(DATA_WORK), 8, "analytics/reporting without data-engineering or software evidence"),
+        (says(CPLUS) & ~core, 6, "C++ stack with no Python/Java/SQL/JS/TS overlap"),
+        (says(GO_RUST) & ~core, 8, "Go/Rust stack with no Python/Java/SQL/JS/TS overlap"),
+        (says(LOW_LEVEL) | track.isin("embedded_software", "firmware"), 10, "low-level/embedded/hardware-heavy context"),
+        (track.isin("devops", "cloud") & says(OPERATIONS) & ~says(PRODUCT_WORK), 10, "ops/cloud/SRE work without backend product development"),
+        (says(REPORTING) & ~says(DATA_WORK), 8, "analytics/reporting without data-engineering or software evidence"),
         (text("title").rlike(VAGUE_TITLE) & (F.size(strong) < 2), 12, "vague technical title with unclear software duties"),
-        (full.rlike(COMMERCIAL), 15, "commercial/customer-facing/support orientation"),
+        (says(COMMERCIAL), 15, "commercial/customer-facing/support orientation"),
         (F.coalesce(r["confidence"], F.lit(1.0)) < 0.5, 10, "low classification confidence"),
     )
     df = df.withColumn("_costs", F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("n"), F.lit(f"{words} (-{n})").alias("said"))) for c, n, words in costs))))
@@ -132,7 +135,7 @@ def with_fit(df: DataFrame, profile: Profile, role: str = "role_class", name: st
         F.when(F.size(said) > 0, F.concat(F.lit("penalties: "), F.array_join(F.slice(said, 1, 3), "; "))),
         F.when(score >= 95, "near-perfect fit requires multiple direct resume matches"),
     )
-    unowned = track.isin("cloud", "devops") & ~(full.rlike(BACKEND) | full.rlike(PRODUCTION) | full.rlike(OWNERSHIP))
+    unowned = track.isin("cloud", "devops") & ~(says(BACKEND) | says(PRODUCTION) | says(OWNERSHIP))
     as_struct = lambda s, e: F.struct(s.cast("int").alias("score"), e.alias("explanation"))
     out = (
         F.when(base <= 0, as_struct(F.lit(0), ineligible_reason(role, profile)))
@@ -140,7 +143,7 @@ def with_fit(df: DataFrame, profile: Profile, role: str = "role_class", name: st
         .when(track.isin(*LOW_TRACKS), as_struct(F.least(base, F.lit(20)), F.concat(r["role_track_label"], F.lit(" is visible as a low-priority adjacent track, capped at 20."))))
         .otherwise(as_struct(score, F.concat(details, F.lit("."))))
     )
-    return df.withColumn(name, out).drop("_all", "_strong", "_small", "_core", "_costs", "_score")
+    return df.withColumn(name, out).drop("_all", "_low", "_strong", "_small", "_core", "_costs", "_score")
 
 
 def place(profile: Profile, location: C = "location", remote: C = "remote_status") -> Column:
@@ -160,11 +163,12 @@ def place(profile: Profile, location: C = "location", remote: C = "remote_status
     )
 
 
-def matched(profile: Profile) -> Column:
-    """struct(matched_skills, matched_interests, summary)."""
-    have = skills(F.concat_ws(" ", text("title"), text("description"), text("requirements")), profile.skills)
-    blob = F.concat_ws(" ", text("title"), text("description"))
-    liked = F.array_compact(F.array(*(F.when(blob.rlike("(?i)" + INTERESTS.get(i, re.escape(i))), i) for i in profile.interests))) if profile.interests else F.array().cast("array<string>")
+def with_matched(df: DataFrame, profile: Profile, name: str = "profile_match") -> DataFrame:
+    """df with struct(matched_skills, matched_interests, summary); each text is a column of its own, so it is built once."""
+    df = df.withColumns({"_blob": F.concat_ws(" ", text("title"), text("description")), "_all": F.lower(F.concat_ws(" ", text("title"), text("description"), text("requirements")))})
+    df = df.withColumn("_low", F.lower("_blob"))
+    have = skills("_all", profile.skills, "_all")
+    liked = labels_of("_blob", [(i, "(?i)" + INTERESTS.get(i, re.escape(i))) for i in profile.interests], "_low")
     n, two = F.size(have), F.array_join(F.slice(liked, 1, 2), ", ")
     summary = (
         F.when((n > 0) & (F.size(liked) > 0), F.concat(F.lit("Matches your "), two, F.lit(" interest and uses "), n, F.lit(" of your skills.")))
@@ -172,4 +176,4 @@ def matched(profile: Profile) -> Column:
         .when(F.size(liked) > 0, F.concat(F.lit("Aligned with your interest in "), two, F.lit(".")))
         .otherwise("Little overlap with your stated skills and interests.")
     )
-    return F.struct(have.alias("matched_skills"), liked.alias("matched_interests"), summary.alias("summary"))
+    return df.withColumn(name, F.struct(have.alias("matched_skills"), liked.alias("matched_interests"), summary.alias("summary"))).drop("_blob", "_all", "_low")

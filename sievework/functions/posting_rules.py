@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .scores import clamp
 from .text import C, col, company_key, text
+from .wordings import first, has
 
 # Wordings of internships, of what excludes them, and of seasons with a year.
 _DASH = "[\\-‐‑‒–— ]"
@@ -53,9 +54,9 @@ OTHER_TRADES = (
 TEAM = r"(?i)(\d{1,3})[- ]person team"
 
 
-def hits(value: C, patterns: tuple[str, ...]) -> Column:
-    """What each pattern that matches matches first, in the patterns' order."""
-    found = F.array(*(F.trim(F.regexp_extract(col(value), f"(?i){p}", 0)) for p in patterns))
+def hits(value: C, patterns: tuple[str, ...], low: C | None = None) -> Column:
+    """What each pattern that matches matches first, in the patterns' order. low: the text in lower case, as a column."""
+    found = F.array(*(F.trim(first(value, low, f"(?i){p}")) for p in patterns))
     return F.filter(found, lambda x: x != "")
 
 
@@ -65,10 +66,10 @@ def with_company_class(df: DataFrame, known_tech: tuple[str, ...] = (), known_ot
     known_*: names in company_key form. technical: whether the role is, which keeps the employer from being ruled out.
     """
     context = F.concat_ws(" ", text("description"), text("requirements"), text("title"))
-    df = df.withColumn("_context", context)
-    team = F.regexp_extract("_context", TEAM, 1).try_cast("int")
-    df = df.withColumns({"_tech": hits("_context", TECH), "_other": hits(F.concat_ws(" ", "_context", text("company")), OTHER_TRADES), "_start": hits("_context", STARTUP)})
-    df = df.withColumn("_start", F.when(team <= 50, F.array_append("_start", F.regexp_extract("_context", TEAM, 0))).otherwise(F.col("_start")))
+    df = df.withColumn("_context", context).withColumn("_named", F.concat_ws(" ", "_context", text("company"))).withColumns({"_low": F.lower("_context"), "_named_low": F.lower("_named")})
+    team = first("_context", "_low", TEAM, 1).try_cast("int")
+    df = df.withColumns({"_tech": hits("_context", TECH, "_low"), "_other": hits("_named", OTHER_TRADES, "_named_low"), "_start": hits("_context", STARTUP, "_low")})
+    df = df.withColumn("_start", F.when(team <= 50, F.array_append("_start", first("_context", "_low", TEAM))).otherwise(F.col("_start")))
     n_tech, n_other, n_start = F.size("_tech"), F.size("_other"), F.size("_start")
     key, words = company_key("company"), F.split(F.lower(text("company")), "[^a-z0-9.]+")
     by_name = F.exists(words, lambda w: reduce(lambda x, y: x | y, (w.startswith(t) for t in NAME_TOKENS))) | text("company").rlike(AI_NAME)
@@ -86,7 +87,7 @@ def with_company_class(df: DataFrame, known_tech: tuple[str, ...] = (), known_ot
     category = F.coalesce(*(F.when(ok, c) for ok, c, _ in layers), F.lit("unknown"))
     confidence = F.bround(F.least(F.coalesce(*(F.when(ok, x) for ok, _, x in layers), F.lit(0.25)), F.lit(0.97)), 2)
     out = F.struct(category.alias("category"), confidence.alias("confidence"), (category == "startup").alias("is_startup"), F.col("_tech").alias("tech"), F.col("_start").alias("startup"), F.col("_other").alias("other"))
-    return df.withColumn(name, out).drop("_context", "_tech", "_other", "_start")
+    return df.withColumn(name, out).drop("_context", "_named", "_low", "_named_low", "_tech", "_other", "_start")
 
 
 # Costs and gains of flags, signals and hoops.
@@ -118,7 +119,6 @@ def technical_depth(n_tools: C, software: C) -> Column:
     return F.when(col(software), score).otherwise(F.least(score, F.lit(35)))
 
 
-def effort(about: C) -> Column:
-    c = col(about)
-    cost = reduce(lambda x, y: x + y, (F.when(c.rlike(f"(?i){p}"), v).otherwise(0) for p, v in HOOPS))
-    return clamp(70 - cost + F.when(c.rlike(EASY), 12).otherwise(0))
+def effort(about: C, low: C | None = None) -> Column:
+    cost = reduce(lambda x, y: x + y, (F.when(has(about, low, f"(?i){p}"), v).otherwise(0) for p, v in HOOPS))
+    return clamp(70 - cost + F.when(has(about, low, EASY), 12).otherwise(0))

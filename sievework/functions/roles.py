@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import C, col, company_key, squash, text
+from .wordings import first, has
 
 # Tracks, their labels, the role of each, and the roles' labels.
 TRACK_LABELS = {
@@ -125,31 +126,37 @@ def _any_case(pattern: str) -> str:
     return f"(?i){pattern}" if pattern.isascii() else f"(?iu){pattern}"
 
 
-def _has(c: Column, pattern: str) -> Column:
-    return c.rlike(_any_case(pattern))
+def _has(c: Column, pattern: str, low: C | None = None) -> Column:
+    return has(c, low, _any_case(pattern))
 
 
-def _first(c: Column, pattern: str) -> Column:
-    return F.trim(F.regexp_extract(c, _any_case(pattern), 0))
+def _first(c: Column, pattern: str, low: C | None = None) -> Column:
+    return F.trim(first(c, low, _any_case(pattern)))
 
 
-def found(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+def found(c: Column, table: tuple[tuple[str, str], ...], low: C | None = None) -> Column:
     """(track, hit) of each entry of a table that a text matches, in the table's order."""
-    return F.filter(F.array(*(F.struct(F.lit(track).alias("track"), _first(c, p).alias("hit")) for track, p in table)), lambda x: x["hit"] != "")
+    return F.filter(F.array(*(F.struct(F.lit(track).alias("track"), _first(c, p, low).alias("hit")) for track, p in table)), lambda x: x["hit"] != "")
 
 
-def software_evidence(full: C) -> Column:
+def _both(a: Column, b: Column) -> Column:
+    """Both, the second looked at only if the first holds."""
+    return F.when(a, b).otherwise(False)
+
+
+def software_evidence(full: C, low: C | None = None) -> Column:
     """The first five words of software work in a text, then what its languages show beside them; each once."""
     c = col(full)
-    words = F.transform(F.slice(F.regexp_extract_all(c, F.lit(f"(?i){SOFTWARE}"), F.lit(0)), 1, 5), lambda x: F.trim(x))
-    shown = F.array_compact(F.array(*(F.when(_has(c, a) & _has(c, b), said) for a, b, said in PAIRS)))
-    return F.array_distinct(F.concat(words, shown))
+    words = F.regexp_extract_all(c, F.lit(f"(?i){SOFTWARE}"), F.lit(0))
+    words = words if low is None else F.when(_has(c, SOFTWARE, low), words).otherwise(F.array().cast("array<string>"))
+    shown = F.array_compact(F.array(*(F.when(_both(_has(c, a, low), _has(c, b, low)), said) for a, b, said in PAIRS)))
+    return F.array_distinct(F.concat(F.transform(F.slice(words, 1, 5), lambda x: F.trim(x)), shown))
 
 
-def is_software_work(full: C) -> Column:
+def is_software_work(full: C, low: C | None = None) -> Column:
     """Explicit software work, not tools alone."""
     c = col(full)
-    return _has(c, SOFTWARE) | (_has(c, r"\b(java|python|sql)\b") & _has(c, BACKEND)) | (_has(c, PAIRS[3][0]) & _has(c, CLOUD_BESIDE))
+    return F.when(_has(c, SOFTWARE, low), True).when(_both(_has(c, r"\b(java|python|sql)\b", low), _has(c, BACKEND, low)), True).otherwise(_both(_has(c, PAIRS[3][0], low), _has(c, CLOUD_BESIDE, low)))
 
 
 @dataclass
@@ -178,16 +185,17 @@ def _decisions() -> list[Decision]:
     title, full, body = F.col("_title"), F.col("_full"), F.col("_body")
     soft, other, scoped = F.get("_soft_title", F.lit(0)), F.get("_other_title", F.lit(0)), F.get("_scoped", F.lit(0))
     soft_body, other_body = F.get("_soft_body", F.lit(0)), F.get("_other_body", F.lit(0))
+    in_full = lambda pattern: _has(full, pattern, "_full_low")
     strong, key = F.col("_strong"), squash("_title")
     strategy, embedded = _first(title, STRATEGY), F.regexp_extract(title, r"(?i)\bembedded intern(?:ship)?\b", 0)
     is_other = other.isNotNull()
-    backend_else = lambda otherwise: F.when(_has(full, BACKEND), "backend").otherwise(otherwise)
+    backend_else = lambda otherwise: F.when(in_full(BACKEND), "backend").otherwise(otherwise)
     overridden = lambda why: F.concat(F.lit('non-SWE title signal "'), other["hit"], F.lit(f'" overridden by {why}'))
-    rescued = is_other & ((other["track"] == "product") | ((other["track"] == "non_technical") & _has(title, OTHER_TITLES[9][1]))) & strong & _has(full, DUTIES)
-    tested = is_other & other["track"].isin("factory_automation", "quality_test") & _has(full, CLEAR_CODE)
+    rescued = is_other & ((other["track"] == "product") | ((other["track"] == "non_technical") & _has(title, OTHER_TITLES[9][1]))) & strong & in_full(DUTIES)
+    tested = is_other & other["track"].isin("factory_automation", "quality_test") & in_full(CLEAR_CODE)
     cloud, devops, embedded_engineer = _has(title, r"\bcloud\b"), _has(title, r"\bdevops\b"), _has(title, r"\bembedded engineer")
     engineer = _has(title, r"\b(engineer|engineering intern)\b")
-    program = F.when(_has(title, UMBRELLA), _first(body, PROGRAM_TRACK))
+    program = F.when(_has(title, UMBRELLA), _first(body, PROGRAM_TRACK, "_body_low"))
     no = F.array().cast("array<string>")
     return [
         Decision(key.isin(*AI_ANALYST_TITLES), "ml_ai", 0.82, [_quoted("exact Data & AI internship title: ", title)], only_software=F.array(title)),
@@ -195,20 +203,20 @@ def _decisions() -> list[Decision]:
         # clerical work isn't data work
         Decision(_has(title, "data entry"), "non_technical", 0.9, ['title: "data entry"'], other=F.array(F.lit("data entry"))),
         Decision((strategy != "") & soft.isNull(), "non_technical", 0.86, [_quoted("business-strategy title: ", strategy)], also=F.array(F.concat(F.lit("non_technical: "), strategy))),
-        Decision(embedded != "", F.when(_has(full, EMBEDDED_CODE), "embedded_software").otherwise("electrical_hardware"), 0.78, [_quoted("scoped technical title: ", embedded)]),
+        Decision(embedded != "", F.when(in_full(EMBEDDED_CODE), "embedded_software").otherwise("electrical_hardware"), 0.78, [_quoted("scoped technical title: ", embedded)]),
         Decision(scoped.isNotNull(), scoped["track"], 0.78, [_quoted("scoped technical title: ", scoped["hit"])], F.when(scoped["track"].isin(*SOFTWARE_TRACKS), F.array(scoped["hit"])).otherwise(no)),
         Decision(F.coalesce(program, F.lit("")) != "", "general_swe", 0.64, [_quoted("explicit technical program track: ", program)], F.array(F.lit("explicit technology/analytics/engineering program track"))),
         Decision(soft.isNotNull(), soft["track"], 0.82 + F.when(F.size("_software") > 0, 0.05).otherwise(0.0), [_quoted("title: ", soft["hit"]), F.when(soft_body.isNotNull(), _quoted("", soft_body["hit"]))], F.array(soft["hit"])),
-        Decision(rescued, F.when(_has(full, BACKEND), "backend").when(_has(full, r"full[- ]?stack|react|typescript|next\.?js"), "full_stack").otherwise("general_swe"), 0.7, [overridden("clear software duties")]),
-        Decision(is_other & (other["track"] == "quality_test") & _has(full, r"\bsdet\b|qa automation|software test automation|automated testing framework"), "sdet_qa_automation", 0.82, [_quoted("title: ", other["hit"]), "software QA automation context"], F.array(F.lit("software QA automation"))),
+        Decision(rescued, F.when(in_full(BACKEND), "backend").when(in_full(r"full[- ]?stack|react|typescript|next\.?js"), "full_stack").otherwise("general_swe"), 0.7, [overridden("clear software duties")]),
+        Decision(is_other & (other["track"] == "quality_test") & in_full(r"\bsdet\b|qa automation|software test automation|automated testing framework"), "sdet_qa_automation", 0.82, [_quoted("title: ", other["hit"]), "software QA automation context"], F.array(F.lit("software QA automation"))),
         Decision(is_other & (other["track"] == "factory_automation") & strong & ~_has(title, MANUFACTURING), "platform_infra", 0.72, [_quoted("title: ", other["hit"]), "software automation context"]),
-        Decision(tested, F.when(_has(full, r"\bfirmware\b"), "firmware").when(_has(full, "embedded software"), "embedded_software").otherwise("general_swe"), 0.74, [overridden("explicit software context")]),
+        Decision(tested, F.when(in_full(r"\bfirmware\b"), "firmware").when(in_full("embedded software"), "embedded_software").otherwise("general_swe"), 0.74, [overridden("explicit software context")]),
         Decision(is_other, other["track"], 0.82, [_quoted("title: ", other["hit"])], other=F.array(other["hit"])),
         Decision(cloud & strong, "cloud", 0.68, ['title: "cloud"', "software/platform context"]),
         Decision(cloud, "other_engineering", 0.68, ['title: "cloud" without software ownership context']),
         Decision(devops & strong, "devops", 0.68, ['title: "DevOps"', "developer tooling/software context"]),
         Decision(devops, "other_engineering", 0.68, ['title: "DevOps" without software ownership context']),
-        Decision(embedded_engineer, F.when(_has(full, r"firmware|embedded software|software|production code|programming|coding"), "embedded_software").otherwise("electrical_hardware"), 0.7, ['title: "embedded engineer"']),
+        Decision(embedded_engineer, F.when(in_full(r"firmware|embedded software|software|production code|programming|coding"), "embedded_software").otherwise("electrical_hardware"), 0.7, ['title: "embedded engineer"']),
         Decision(engineer & strong, backend_else("general_swe"), 0.68, ["generic engineer title with strong software context"]),
         Decision(engineer, "other_engineering", 0.66, ["generic engineer title without strong software context"]),
         Decision(soft_body.isNotNull(), soft_body["track"], 0.58, [_quoted("", soft_body["hit"])]),
@@ -229,10 +237,11 @@ def with_role(df: DataFrame, name: str = "role_class") -> DataFrame:
     """
     df = df.withColumns({"_title": text("title"), "_body": F.concat_ws(" ", text("description"), text("requirements"))})
     df = df.withColumn("_full", F.concat_ws(" ", "_title", "_body"))
+    df = df.withColumns({"_body_low": F.lower("_body"), "_full_low": F.lower("_full")})
     title, body = F.col("_title"), F.col("_body")
     df = df.withColumns({
-        "_soft_title": found(title, SOFTWARE_TITLES), "_soft_body": found(body, SOFTWARE_TITLES), "_other_title": found(title, OTHER_TITLES), "_other_body": found(body, OTHER_TITLES),
-        "_scoped": found(title, SCOPED_TITLES), "_software": software_evidence("_full"), "_strong": is_software_work("_full"),
+        "_soft_title": found(title, SOFTWARE_TITLES), "_soft_body": found(body, SOFTWARE_TITLES, "_body_low"), "_other_title": found(title, OTHER_TITLES), "_other_body": found(body, OTHER_TITLES, "_body_low"),
+        "_scoped": found(title, SCOPED_TITLES), "_software": software_evidence("_full", "_full_low"), "_strong": is_software_work("_full", "_full_low"),
     })
     df = df.withColumn("_others", F.transform(F.concat("_other_title", "_other_body"), lambda x: F.concat(x["track"], F.lit(": "), x["hit"])))
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -250,5 +259,5 @@ def with_role(df: DataFrame, name: str = "role_class") -> DataFrame:
         F.col("_role").alias("role"), _map(ROLE_LABELS, F.col("_role"), "Unknown").alias("label"), F.bround(F.least(v["confidence"], F.lit(0.95)), 2).alias("confidence"), F.slice(v["why"], 1, 5).alias("evidence"),
         v["track"].alias("role_track"), _map(TRACK_LABELS, v["track"], "Unknown").alias("role_track_label"), F.slice(v["software"], 1, 6).alias("software_evidence"), F.slice(v["other"], 1, 6).alias("non_swe_evidence"),
     )
-    made = ("_title", "_body", "_full", "_soft_title", "_soft_body", "_other_title", "_other_body", "_scoped", "_software", "_strong", "_others", "_verdict", "_role")
+    made = ("_title", "_body", "_full", "_body_low", "_full_low", "_soft_title", "_soft_body", "_other_title", "_other_body", "_scoped", "_software", "_strong", "_others", "_verdict", "_role")
     return df.withColumn(name, out.cast(ROLE)).drop(*made)

@@ -68,12 +68,6 @@ def clean_cell(c: C, single_line: bool = False) -> Column:
     return F.when(F.lower(s).isin(*BLANKS), "").otherwise(s)
 
 
-def labels_of(value: C, patterns: Sequence[tuple[str, str]]) -> Column:
-    """The labels of the patterns (label, regular expression) that a text matches, in their order."""
-    c = col(value)
-    return F.array_compact(F.array(*(F.when(c.rlike(p), label) for label, p in patterns)))
-
-
 def has_phrase(value: C, phrase: C) -> Column:
     """Whether a squashed text has a squashed phrase as whole words."""
     return F.contains(F.concat(F.lit(" "), col(value), F.lit(" ")), F.concat(F.lit(" "), col(phrase), F.lit(" ")))

@@ -33,15 +33,15 @@ def analysed(rows: DataFrame, profile: fit.Profile) -> DataFrame:
     df = posting_rules.with_company_class(df, profile.known_tech, profile.known_other, technical)
     df = posting_signals.with_flags(df, "pay", "role")
     df = posting_signals.with_signals(df, profile.skills, profile.reputable, profile.least_pay)
-    about = F.concat_ws(" ", text("description"), text("requirements"))
-    df = df.withColumns({"technology": posting_signals.tools(F.concat_ws(" ", text("requirements"), text("description"))), "profile_match": fit.matched(profile), "place": fit.place(profile)})
-    df = fit.with_fit(df, profile)
+    df = df.withColumns({"_about": F.concat_ws(" ", text("description"), text("requirements")), "_named": posting_signals.padded(F.concat_ws(" ", text("requirements"), text("description")))})
+    df = df.withColumns({"_about_low": F.lower("_about"), "technology": posting_signals.tools("_named", "_named"), "place": fit.place(profile)})
+    df = fit.with_fit(fit.with_matched(df, profile), profile)
     return df.withColumn("static_scores", F.struct(
         F.col("fit.score").alias("role_relevance"), pay.pay_score("pay").alias("compensation"),
         posting_rules.legitimacy("red_flags", "positive_signals", "company_class.category", "pay").alias("legitimacy"), posting_rules.learning("red_flags", "positive_signals").alias("learning_value"),
-        posting_rules.technical_depth(F.size("technology"), F.col("role_track").isin(*posting_signals.SOFTWARE_TRACKS)).alias("technical_depth"), posting_rules.effort(about).alias("effort_vs_value"),
+        posting_rules.technical_depth(F.size("technology"), F.col("role_track").isin(*posting_signals.SOFTWARE_TRACKS)).alias("technical_depth"), posting_rules.effort("_about", "_about_low").alias("effort_vs_value"),
         F.col("place.score").alias("location_convenience"),
-    ))
+    )).drop("_about", "_about_low", "_named")
 
 
 #: What analysed() adds, and what it reads.
