@@ -16,13 +16,13 @@ from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ..operators.components import components
 from .arrowtext import LOWER, SPACE_WORDS, Texts, hashes, inside, mix, slices, texts_of, windows, words_of
-from .tables import fresh, small_batches, written
+from .tables import forget, fresh, small_batches, written
 
 _U = np.uint64
 #: Shingles that one comparing task holds of each of two blocks, about.
@@ -31,6 +31,8 @@ BLOCK = 1_000_000
 TAGS = 128
 #: Sets that a task remembers, to sign copies once; beyond them it starts anew, which costs work and changes nothing.
 SEEN = 1_000_000
+#: Signatures that a task packs at once, about, and buckets that it deals them to.
+PACK, BUCKETS = 1_000_000, 4096
 
 
 def shingles(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,11 +249,42 @@ def combined(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([node[lead], a[at], b[at]]), np.concatenate([sig[lead], own, own])
 
 
+def packed(node: np.ndarray, sig: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(batch, nodes, buckets, words, where each bucket's words begin) of (node, signature) rows.
+
+    A word is 44 bits of a signature and the place of its node among the batch's; the bucket is 12 more bits. So a
+    signature is shuffled as eight bytes. 8 of its 57 bits besides the tag are left out: that finds no pair less, and
+    sets that only seem to share a signature are compared exactly like others. A batch is named by its nodes' digest.
+    """
+    nodes, at = np.unique(node, return_inverse=True)
+    word = (sig >> _U(15) << _U(7)) | (sig & _U(TAGS - 1))
+    order = np.argsort(word)
+    word, at = word[order], at[order].astype(_U)
+    buckets, first = np.unique((word >> _U(44)).astype(np.int32), return_index=True)
+    batch = int.from_bytes(hashlib.blake2b(nodes.tobytes(), digest_size=8).digest(), "little") >> 21
+    return batch, nodes, buckets, (word << _U(20)) | at, np.append(first, len(word))
+
+
 def signed(docs: DataFrame, words: int, method: PartEnum, text_col: str = "text") -> DataFrame:
-    """(node, sig) of every set; the node is the first half of the set's name. A slice of texts gives each set once."""
+    """The signatures of every set, packed: bucket, batch and words, or a batch's nodes; a node is the first half of a set's name. A task gives each set once."""
+
+    def rows(held):
+        node, sig = combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        if not len(node):
+            return
+        # places have 20 bits
+        for part in np.array_split(np.argsort(node, kind="stable"), 1 + len(node) // (1 << 20)):
+            batch, nodes, buckets, word, first = packed(node[part], sig[part])
+            data = pa.Array.from_buffers(pa.binary(), len(buckets), [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(word)])
+            none = pa.nulls(len(buckets), pa.binary())
+            for i in range(0, len(buckets), 500):
+                n = len(buckets[i : i + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[i : i + n]), pa.array([batch] * n, pa.int64()), none.slice(i, n), data.slice(i, n)], names=["bucket", "batch", "nodes", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch % BUCKETS], pa.int32()), pa.array([batch], pa.int64()), pa.array([nodes.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["bucket", "batch", "nodes", "words"])
 
     def scan(batches):
         seen: set[int] = set()
+        held, many = [], 0
         for whole in batches:
             for b in slices(whole):
                 value, first = shingles(texts_of(b.column(0)), words)
@@ -264,17 +297,69 @@ def signed(docs: DataFrame, words: int, method: PartEnum, text_col: str = "text"
                         seen.add(x)
                         new[i] = True
                 doc, sig = method.signatures(value[np.repeat(new, np.diff(first))], np.concatenate([[0], np.cumsum(np.diff(first)[new])]))
-                node, sig = combined(hi[new][doc], sig)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sig.view(np.int64))], names=["node", "sig"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(scan, "node long, sig long")
+                held.append((hi[new][doc], sig))
+                many += len(sig)
+                if many >= PACK:
+                    yield from rows(held)
+                    held, many = [], 0
+        if held:
+            yield from rows(held)
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(scan, "bucket int, batch long, nodes binary, words binary")
+
+
+def _met(batches):
+    """Of packed signatures, bucket by bucket: (a, b, tag) that join the nodes of one signature, as places in batches; and (place, node, -1) of all nodes."""
+    held, bucket, pairs = [], None, []
+
+    def meet():
+        place = np.concatenate([np.full(len(w), n << 20, np.int64) | (w & _U((1 << 20) - 1)).astype(np.int64) for n, w in held])
+        sig = np.concatenate([w >> _U(20) for _, w in held])
+        order = np.argsort(sig, kind="stable")
+        sig, place = sig[order], place[order]
+        lead = np.ones(len(sig), dtype=bool)
+        lead[1:] = sig[1:] != sig[:-1]
+        if not lead.all():
+            of = np.flatnonzero(lead)[np.cumsum(lead) - 1][~lead]
+            pairs.append(np.stack([place[~lead], place[of], (sig[~lead] & _U(TAGS - 1)).astype(np.int64)]))
+
+    def out(rows):
+        for i in range(0, rows.shape[1], 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 20_000]) for x in rows], names=["a", "b", "tag"])
+
+    for b in batches:
+        for k, n, nodes, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            if nodes.is_valid:
+                node = np.frombuffer(nodes.as_buffer(), np.int64)
+                yield from out(np.stack([(n << 20) + np.arange(len(node)), node, np.full(len(node), -1)]))
+                continue
+            if k != bucket and held:
+                meet()
+                held.clear()
+                if sum(x.shape[1] for x in pairs) >= PACK:
+                    # pairs that share more signatures are found again and again
+                    pairs[:] = [np.unique(np.concatenate(pairs, axis=1), axis=1)]
+                    if pairs[0].shape[1] >= PACK // 2:
+                        yield from out(pairs.pop())
+            bucket = k
+            held.append((n, np.frombuffer(words.as_buffer(), _U)))
+    if held:
+        meet()
+    if pairs:
+        yield from out(np.unique(np.concatenate(pairs, axis=1), axis=1))
 
 
 def candidates(sigs: DataFrame) -> DataFrame:
-    """(a, b, tag) that join all nodes of one signature to its smallest."""
-    low = F.min("node").over(Window.partitionBy("sig"))
-    found = sigs.withColumn("b", low).where("node <> b")
-    return found.select(F.col("node").alias("a"), "b", F.col("sig").bitwiseAND(F.lit(TAGS - 1)).alias("tag")).distinct()
+    """(a, b, tag) that join all nodes of one signature to one of them; what was shuffled to find them is gone."""
+    met = written(sigs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "a long, b long, tag long"), "met")
+    node = met.where("tag = -1").select(F.col("a").alias("_place"), F.col("b").alias("_node")).dropDuplicates(["_place"])
+    found = met.where("tag >= 0").distinct()
+    for c in ("a", "b"):
+        # a batch that was made again from other rows would have another name
+        found = found.join(node.hint("merge"), F.col(c) == F.col("_place"), "left").withColumn(c, F.coalesce("_node", F.raise_error(F.lit("a batch of signatures changed while it was read")))).drop("_place", "_node")
+    out = written(found.where("a <> b").distinct(), "candidates")
+    forget(met)
+    return out
 
 
 def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int) -> DataFrame:
@@ -285,9 +370,9 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     # a class is the rows of one set; its number is fixed as it is written, and is what links are between
     classes = sets.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_many"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "hi", "lo", "n", "rep", "_many"), "classes")
-    pairs = written(candidates(signed(rows, words, PartEnum(percent))), "candidates")
+    met = candidates(signed(rows, words, PartEnum(percent)))
     # sets are gathered band by band: a set has a node in each of its two bands, so chains over many sizes don't form
-    pairs = pairs.select(F.xxhash64("a", "tag").alias("u"), F.xxhash64("b", "tag").alias("v"), "a", "b", "tag")
+    pairs = met.select(F.xxhash64("a", "tag").alias("u"), F.xxhash64("b", "tag").alias("v"), "a", "b", "tag")
     coarse = components(pairs.select("u", "v"))
     nodes = pairs.select(F.col("u").alias("_node"), F.col("a").alias("_hi"), "tag").unionByName(pairs.select(F.col("v").alias("_node"), F.col("b").alias("_hi"), "tag")).distinct()
     # where several sets may link: each class, with the blocks it is compared in
@@ -296,6 +381,7 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     total = near.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / block), F.lit(1)).alias("blocks")).withColumnRenamed("label", "_label")
     near = near.join(total, F.col("label") == F.col("_label"))
     near = written(near.groupBy("cid", "rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).agg(F.collect_list(F.struct("label", "tag", "blocks", F.col("_many").alias("many"))).alias("groups")), "near")
+    forget(met)
     # near grows with the corpus: it is never broadcast
     features = _sets_of(rows.join(near.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))), words)
     features = features.select("cid", "features", F.inline("groups"))
@@ -319,6 +405,7 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     # a row is a link of the forest (u, v) or says with how many rows u is linked (rows)
     links = written(pairs.groupBy("label", "a", "b").applyInArrow(compare, "u long, v long, rows long"), "links")
+    forget(near)
     joined = components(links.where("v is not null").select("u", "v")).select(F.col("node"), F.col("label").alias("_class"))
     low = joined.join(classes.select("cid", "rep"), F.col("node") == F.col("cid")).groupBy(F.col("_class").alias("_low")).agg(F.min("rep").alias("_component"))
     joined = joined.join(low, F.col("_class") == F.col("_low")).select("node", "_component")

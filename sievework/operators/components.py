@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import forget, written
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(most):
-        now = written(_small(_large(now)), "edges")
+        last, now = now, written(_small(_large(now)), "edges")
+        forget(last)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
