@@ -6,6 +6,7 @@ the report of merged rows, have position, kept_identity, company, title, reason.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 from ..functions.decisions import comparison_category
 from ..functions.text import company_key, redact, squash, text
 from .ranking import first_n_per_group
+from .storage import written
 
 # Categories in the order of a report, reasons that reject as a matter of routine, states of a source that is in trouble.
 CATEGORIES = ("github_only", "direct_only", "both", "collected_rejected", "no_postings")
 ROUTINE_REASONS = ("not_internship", "closed", "wrong_season", "nontechnical_role", "watcher_role_ineligible", "outside_us", "below_min_score")
 TROUBLED = ("degraded", "failed", "failing", "unknown")
 TROUBLED_COVERAGE = ("degraded", "failing", "uncovered")
+PARTS = ("identity", "deduplication", "sources", "decision")
 ROUTINE_SAMPLE, MOST_DETAILS, MOST_SIMILAR = 25, 2_000, 25
 
 
@@ -133,6 +136,10 @@ def sample_key() -> Column:
     return F.sha2(F.concat_ws("\x1f", text("identity"), text("id"), F.lower("company"), F.lower("title"), "final_reason"), 256)
 
 
+def _order() -> list[Column]:
+    return [F.col("sample_key"), F.col("identity"), text("id"), F.lower("company"), F.lower("title")]
+
+
 def select_details(entries: DataFrame, per_reason: int = ROUTINE_SAMPLE, most: int = MOST_DETAILS) -> DataFrame:
     """The summaries whose details are kept, with priority, sample_key and display (their place from 1).
 
@@ -141,7 +148,7 @@ def select_details(entries: DataFrame, per_reason: int = ROUTINE_SAMPLE, most: i
     are numbered in one task.
     """
     keyed = entries.withColumn("priority", priority()).withColumn("sample_key", sample_key()).withColumn("_routine", is_routine())
-    order = [F.col("sample_key"), F.col("identity"), text("id"), F.lower("company"), F.lower("title")]
+    order = _order()
     sampled = first_n_per_group(keyed.where("_routine"), ["final_reason"], order, per_reason)
     kept = keyed.where("not _routine").unionByName(sampled).orderBy("priority", *order).limit(most)
     place = F.array_position(F.array(*(F.lit(c) for c in CATEGORIES)), F.col("category"))
@@ -149,21 +156,38 @@ def select_details(entries: DataFrame, per_reason: int = ROUTINE_SAMPLE, most: i
     return kept.drop("_routine").withColumn("display", F.row_number().over(shown))
 
 
-def details(selected: DataFrame, postings: DataFrame, duplicates: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+def selected(postings: DataFrame, duplicates: DataFrame, companies: DataFrame, coverage: DataFrame, per_reason: int = ROUTINE_SAMPLE, most: int = MOST_DETAILS) -> DataFrame:
+    """select_details() of summaries(), with the duplicates looked up only of postings that can be kept.
+
+    A posting that some source kept goes before all others, whatever was merged into it. Where such postings fill the
+    selection, the first `most` of them are all of it, and no other is shuffled; else every posting is looked up.
+    """
+    kept = postings.where(comparison_category("sources", "final_reason").isin(*CATEGORIES[:3])).withColumn("_whole", F.struct(*postings.columns))
+    kept = kept.withColumns({c: redact(c) for c in ("company", "title", "identity", "final_reason")}).withColumn("sample_key", sample_key())
+    first = written(kept.orderBy(*_order()).limit(most).select("_whole.*"), "first")
+    return select_details(summaries(first if first.count() >= most else postings, duplicates, companies, coverage), per_reason, most)
+
+
+def details(selected: DataFrame, postings: DataFrame, duplicates: DataFrame, similar: DataFrame | None = None, parts: Sequence[str] = PARTS) -> DataFrame:
     """selected with a struct `trace` of what an entry's posting is, what it was merged from and what stands beside it; null for companies without postings.
 
-    Only selected postings are looked at: the joins take their few ids to the postings.
+    Only selected postings are looked at: the joins take their few ids, and the roles beside them, to the postings.
+    parts: which of the trace's parts are made; what stands beside a posting is looked up only for `identity`.
     """
     chosen = postings.join(F.broadcast(selected.select("id").where("id is not null")), "id", "left_semi")
-    similar = similar_requisitions(postings) if similar is None else similar
-    looked = chosen.join(related_duplicates(chosen, duplicates), "id", "left").join(similar.join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "left")
+    looked = chosen.join(related_duplicates(chosen, duplicates), "id", "left")
     none = lambda c: F.coalesce(c, F.array().cast(looked.schema[c].dataType))
-    trace = F.struct(
-        F.struct("identity", "requisition", "url", F.col("generic_url").alias("generic_or_shared_url"), none("similar").alias("similar_requisitions")).alias("identity"),
-        F.struct(F.size(none("diagnostics")).alias("duplicate_sightings"), none("diagnostics").alias("merge_diagnostics")).alias("deduplication"),
-        F.struct("sources", F.array_contains("sources", "direct_ats").alias("direct_found"), F.exists("sources", lambda s: s != "direct_ats").alias("feed_found")).alias("sources"),
-        F.struct("final_reason", (F.col("final_reason") == "pending").alias("pending")).alias("decision"),
-    )
+    made = {}
+    if "identity" in parts:
+        if similar is None:
+            roles = with_role(chosen).select("_company", "_title").distinct()
+            similar = similar_requisitions(with_role(postings).join(F.broadcast(roles), ["_company", "_title"], "left_semi").select(*postings.columns))
+        looked = looked.join(similar.join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "left")
+        made["identity"] = F.struct("identity", "requisition", "url", F.col("generic_url").alias("generic_or_shared_url"), none("similar").alias("similar_requisitions"))
+    made["deduplication"] = F.struct(F.size(none("diagnostics")).alias("duplicate_sightings"), none("diagnostics").alias("merge_diagnostics"))
+    made["sources"] = F.struct("sources", F.array_contains("sources", "direct_ats").alias("direct_found"), F.exists("sources", lambda s: s != "direct_ats").alias("feed_found"))
+    made["decision"] = F.struct("final_reason", (F.col("final_reason") == "pending").alias("pending"))
+    trace = F.struct(*(made[p].alias(p) for p in PARTS if p in parts))
     return selected.join(looked.select("id", trace.alias("trace")), "id", "left")
 
 

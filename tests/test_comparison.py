@@ -103,3 +103,28 @@ def test_source_totals(spark):
     states = spark.createDataFrame([("a", "healthy_empty"), ("b", "failed")], "health_key string, status string")
     r = cmp.source_totals(attempts, states).first()
     assert (r.direct_empty, r.direct_failed, r.direct_unknown, r.github_healthy, r.github_failed, r.direct_healthy) == (1, 1, 1, 1, 1, 0)
+
+
+@pytest.mark.parametrize("most", [5, 40, 1000])
+def test_selection_that_looks_up_few_is_the_selection_of_all(spark, run, most):
+    postings, duplicates = run
+    # most of 5 is filled by postings that a source kept, the others aren't
+    assert 5 < sum(p[7] == "pending" for p in postings) < 1000
+    p, d, e = entries(spark, run)
+    watched = spark.createDataFrame([("Acme", ["ACME LLC"]), ("Bolt", None), ("Nobody", ["None Such"]), ("Quiet", None)], "company string, names array<string>")
+    coverage = spark.createDataFrame([("Bolt Inc", 1, "healthy", "direct", True), ("bolt", 2, "failed", "", False), ("Quiet", 1, "", "uncovered", True)], "company string, position int, direct_status string, direct_coverage string, backstop boolean")
+    want = cmp.select_details(e, per_reason=2, most=most)
+    got = cmp.selected(p, d, watched, coverage, per_reason=2, most=most)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    if most == 5:
+        # counts of duplicates meet the few alone: a table of five rows is all that is read of the postings
+        assert "/first-" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_a_trace(spark, run):
+    p, d, e = entries(spark, run)
+    kept = cmp.select_details(e, per_reason=2, most=30)
+    whole = {r.display: r.trace for r in cmp.details(kept, p, d).collect()}
+    part = cmp.details(kept, p, d, parts=["deduplication", "decision"])
+    assert part.schema["trace"].dataType.names == ["deduplication", "decision"]
+    assert {r.display: r.trace and tuple(r.trace) for r in part.collect()} == {k: t and (t.deduplication, t.decision) for k, t in whole.items()}
