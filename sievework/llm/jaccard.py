@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import comb, exp, sqrt
 
@@ -362,6 +363,23 @@ def candidates(sigs: DataFrame) -> DataFrame:
     return out
 
 
+def turns(sizes: dict[int, int]) -> list[tuple[int, int]]:
+    """From and to which distance blocks meet in each turn, for so many shingles (sizes) in groups of so many blocks.
+
+    At distance 0 a set is shuffled once, at others twice; a turn shuffles no more than all sets twice, however many
+    blocks a group has. So the disk that comparing takes doesn't grow with a group's square, its time does.
+    """
+    last = max(sizes, default=1) // 2
+    cost = [sum(n * (2 if d else 1) for blocks, n in sizes.items() if blocks // 2 >= d) for d in range(last + 1)]
+    out, sum_ = [], 0
+    for d, c in enumerate(cost):
+        if out and sum_ + c <= 2 * cost[0]:
+            out[-1], sum_ = (out[-1][0], d), sum_ + c
+        else:
+            out, sum_ = [*out, (d, d)], c
+    return out
+
+
 def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int) -> DataFrame:
     """linked(), with the key of each row's text."""
     small_batches(docs.sparkSession)
@@ -380,14 +398,15 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     near = near.join(classes, F.col("_hi") == F.col("hi")).select("label", "tag", "cid", "rep", "hi", "lo", "n", "_many")
     total = near.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / block), F.lit(1)).alias("blocks")).withColumnRenamed("label", "_label")
     near = near.join(total, F.col("label") == F.col("_label"))
-    near = written(near.groupBy("cid", "rep", F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).agg(F.collect_list(F.struct("label", "tag", "blocks", F.col("_many").alias("many"))).alias("groups")), "near")
+    near = written(near.groupBy("cid", "rep", "n", F.col("hi").alias("_hi"), F.col("lo").alias("_lo")).agg(F.collect_list(F.struct("label", "tag", "blocks", F.col("_many").alias("many"))).alias("groups")), "near")
     forget(met)
     # near grows with the corpus: it is never broadcast
     features = _sets_of(rows.join(near.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))), words)
-    features = features.select("cid", "features", F.inline("groups"))
+    # texts were shuffled to be read: that is gone before sets are
+    features = written(features.select("cid", "groups", "features"), "features")
+    sizes = {r.blocks: r.n for r in near.select("n", F.inline("groups")).groupBy("blocks").agg(F.sum("n").alias("n")).collect()}
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    pairs = features.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    pairs = pairs.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "tag", "many", "own", "cid", "features")
+    blocks = features.select("cid", "features", F.inline("groups")).withColumn("own", own).withColumn("blocks", F.col("blocks").cast("int"))
 
     def compare(part: pa.Table) -> pa.Table:
         part = part.sort_by("cid")
@@ -404,8 +423,17 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "rows": pa.array([None] * len(found) + rows[some].tolist(), pa.int64())})
 
     # a row is a link of the forest (u, v) or says with how many rows u is linked (rows)
-    links = written(pairs.groupBy("label", "a", "b").applyInArrow(compare, "u long, v long, rows long"), "links")
+    links = []
+    for low, high in turns(sizes):
+        # blocks stand in a ring, and two of them meet at their distance
+        apart = F.sequence(F.lit(low), F.least(F.lit(high), (F.col("blocks") / 2).cast("int")))
+        other = F.array_distinct(F.flatten(F.transform(apart, lambda d: F.array(F.pmod(F.col("own") + d, F.col("blocks")), F.pmod(F.col("own") - d, F.col("blocks"))))))
+        pairs = blocks.where((F.col("blocks") / 2).cast("int") >= low).withColumn("other", F.explode(other))
+        pairs = pairs.select("label", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "tag", "many", "own", "cid", "features")
+        links.append(written(pairs.groupBy("label", "a", "b").applyInArrow(compare, "u long, v long, rows long"), "links"))
+    links = reduce(DataFrame.unionByName, links)
     forget(near)
+    forget(features)
     joined = components(links.where("v is not null").select("u", "v")).select(F.col("node"), F.col("label").alias("_class"))
     low = joined.join(classes.select("cid", "rep"), F.col("node") == F.col("cid")).groupBy(F.col("_class").alias("_low")).agg(F.min("rep").alias("_component"))
     joined = joined.join(low, F.col("_class") == F.col("_low")).select("node", "_component")

@@ -57,3 +57,17 @@ def test_a_signature_is_eight_bytes_and_nothing_is_nothing(spark):
     rows = jaccard.signed(docs, 4, jaccard.PartEnum())
     assert rows.columns == ["bucket", "batch", "nodes", "words"]
     assert {len({r.a, r.b}) for r in jaccard.candidates(rows).collect()} == {2}
+
+
+def test_a_turn_shuffles_no_set_more_than_twice():
+    assert jaccard.turns({}) == [(0, 0)] and jaccard.turns({1: 100}) == [(0, 0)]
+    assert jaccard.turns({1: 10, 7: 90}) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    for sizes in ({1: 1000, 40: 10}, {2: 5, 3: 5, 100: 1000}, {1: 3, 9: 1}):
+        got = jaccard.turns(sizes)
+        assert [d for low, high in got for d in range(low, high + 1)] == list(range(max(sizes) // 2 + 1))
+        for low, high in got:
+            assert sum(n * (2 if d else 1) for d in range(low, high + 1) for b, n in sizes.items() if b // 2 >= d) <= 2 * sum(sizes.values())
+    # at the distances of a ring each two blocks meet once
+    for blocks in range(1, 9):
+        met = [tuple(sorted((i, (i + d) % blocks))) for d in range(blocks // 2 + 1) for i in range(blocks)]
+        assert set(met) == {(i, j) for j in range(blocks) for i in range(j + 1)}
